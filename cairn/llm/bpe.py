@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of the per-worker memory of encoded pre-tokens, and the longest pre-token kept in it (bounds on memory only).
-MEMORY, MEMORY_LENGTH = 400_000, 64
+MEMORY, MEMORY_LENGTH = 1_200_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -33,39 +33,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Buckets by rank under a three-level bitmap. Empty again whenever it has been drained."""
+    """Buckets by rank under a three-level bitmap: low has a bit for each rank, mid for each word of low, top for each word of mid.
+
+    Empty again whenever it has been drained, so that one serves all pre-tokens. Its steps stand in line in
+    Encoder.merge, where calls would cost as much as they do.
+    """
 
     def __init__(self, ranks: int):
         self.buckets: list[list[int]] = [[] for _ in range(ranks)]
         self.low = [0] * (ranks // 64 + 1)
         self.mid = [0] * (ranks // 4096 + 1)
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets[rank]
-        if not bucket:
-            word, group = rank >> 6, rank >> 12
-            self.low[word] |= 1 << (rank & 63)
-            self.mid[group] |= 1 << (word & 63)
-            self.top |= 1 << group
-        heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        """The lowest rank and the leftmost position under it."""
-        group = (self.top & -self.top).bit_length() - 1
-        bits = self.mid[group]
-        word = (group << 6) + (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        rank = (word << 6) + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.low[word] &= ~(1 << (rank & 63))
-            if not self.low[word]:
-                self.mid[group] &= ~(1 << (word & 63))
-                if not self.mid[group]:
-                    self.top &= ~(1 << group)
-        return rank, position
+        self.bit = [1 << k for k in range(64)]
 
 
 class Encoder:
@@ -73,46 +51,78 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.tokens = {str(rank): token for token, rank in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values()) + 1)
+        self.pairs = [ranks.get(bytes(divmod(k, 256)), -1) for k in range(65536)]
         self.memory: dict[str, str] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks, queue, n = self.ranks, self.queue, len(piece)
+        ranks = self.ranks
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
+        queue, n, get = self.queue, len(piece), ranks.get
+        buckets, low, mid, bit = queue.buckets, queue.low, queue.mid, queue.bit
+        top = 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n  # the rank of the pair that starts here, -1 for none
-        for at in range(n - 1):
-            rank = ranks.get(piece[at : at + 2])
-            if rank is not None:
-                pair[at] = rank
-                queue.push(rank, at)
-        while queue.top:
-            rank, at = queue.pop()
+        pair = [self.pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]  # the rank of the pair that starts here, -1 for none
+        pair.append(-1)
+        for at, rank in enumerate(pair):
+            if rank >= 0:
+                bucket = buckets[rank]
+                if not bucket:
+                    word = rank >> 6
+                    low[word] |= bit[rank & 63]
+                    mid[word >> 6] |= bit[word & 63]
+                    top |= bit[word >> 6]
+                bucket.append(at)  # positions come in order, so the list is a heap
+        while top:
+            group = (top & -top).bit_length() - 1  # find the first set bit, level by level
+            bits = mid[group]
+            word = (group << 6) + (bits & -bits).bit_length() - 1
+            bits = low[word]
+            rank = (word << 6) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            at = heappop(bucket)
+            if not bucket:
+                low[word] ^= bit[rank & 63]
+                if not low[word]:
+                    mid[group] ^= bit[word & 63]
+                    if not mid[group]:
+                        top ^= bit[group]
             if pair[at] != rank:
                 continue  # stale
             gone = after[at]
-            far = after[gone]
-            after[at] = far
-            pair[gone] = -1
+            far = after[at] = after[gone]
+            pair[gone] = pair[at] = -1
+            left = before[at]
             if far < n:
                 before[far] = at
-                rank = ranks.get(piece[at : after[far]])
-                pair[at] = -1 if rank is None else rank
+                rank = get(piece[at : after[far]])
                 if rank is not None:
-                    queue.push(rank, at)
-            else:
-                pair[at] = -1
-            left = before[at]
+                    pair[at] = rank
+                    bucket = buckets[rank]
+                    if not bucket:
+                        word = rank >> 6
+                        low[word] |= bit[rank & 63]
+                        mid[word >> 6] |= bit[word & 63]
+                        top |= bit[word >> 6]
+                    heappush(bucket, at)
             if left >= 0:
-                rank = ranks.get(piece[left:far])
-                pair[left] = -1 if rank is None else rank
-                if rank is not None:
-                    queue.push(rank, left)
+                rank = get(piece[left:far])
+                if rank is None:
+                    pair[left] = -1
+                elif rank != pair[left]:
+                    pair[left] = rank
+                    bucket = buckets[rank]
+                    if not bucket:
+                        word = rank >> 6
+                        low[word] |= bit[rank & 63]
+                        mid[word >> 6] |= bit[word & 63]
+                        top |= bit[word >> 6]
+                    heappush(bucket, left)
         ids, at = [], 0
         while at < n:
             ids.append(ranks[piece[at : after[at]]])
@@ -134,8 +144,9 @@ class Encoder:
             add(known)
         return " ".join(out)
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: str) -> bytes:
+        """The bytes of ids in decimal, joined by one space."""
+        return b"".join(map(self.tokens.__getitem__, ids.split()))
 
 
 _encoders: dict[tuple[int, str], Encoder] = {}
@@ -172,7 +183,7 @@ def _run(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, sch
                 part = batch.slice(start, 256)
                 ids = [coder.encode(text) if text else "" for text in part.column(1).to_pylist()]
                 counts = [s.count(" ") + 1 if s else 0 for s in ids]
-                decoded = [coder.decode(map(int, s.split())) for s in ids]
+                decoded = [coder.decode(s) for s in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), *shape(ids, decoded)], names=names)
 
     kind = df.schema[id_col].dataType.simpleString()
