@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import cut
 
 TRAIN_ROWS, LEXICON = 20_000, 4_000
+LEAST_G, SURE = 12.0, 25.0  # evidence that an entry needs, and that gives it its full weight
 SHORTEST, LONGEST = 3, 8  # word beginnings of so many letters
 FEATURES = ("density", "strong_share", "strong_count", "top_mean", "mass", "address", "address_hits", "capitals", "punctuation", "obfuscated", "elongated", "size", "peak")
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos ti tuyo usted ustedes vosotros".split())
@@ -172,9 +173,11 @@ def learn_lexicon(sample: DataFrame, entries: int = LEXICON) -> list[dict[str, f
         td, nd = add("td"), add("nd")
         ratio = F.log((td + 0.5) / (total["td"] + 1)) - F.log((nd + 0.5) / (total["nd"] + 1))
         rate = F.log((add("tw") + 0.5) / (total["tw"] + 1)) - F.log((add("nw") + 0.5) / (total["nw"] + 1))
-        z = ratio / F.sqrt(1 / (td + 0.5) + 1 / (nd + 0.5))
-        rows = table.where("part <> ''").select("part", F.greatest(ratio, rate).alias("weight"), z.alias("z"), td.alias("td")).where("td >= 3 and z >= 3 and weight >= 0.7")
-        out.append({r["part"]: r["weight"] for r in rows.orderBy(F.desc("z"), "part").limit(entries).collect()})
+        # G statistic of the two-by-two table of texts: how sure it is that the share of toxic texts is higher.
+        share = total["td"] / max(1, total["td"] + total["nd"])
+        g = 2 * (td * F.log(F.greatest(td, F.lit(1e-9)) / ((td + nd) * share)) + nd * F.log(F.greatest(nd, F.lit(1e-9)) / ((td + nd) * (1 - share))))
+        rows = table.where("part <> ''").where(td >= 3).select("part", (F.greatest(ratio, rate) * F.least(F.lit(1.0), g / SURE)).alias("weight"), g.alias("g"), ratio.alias("ratio")).where((F.col("g") >= LEAST_G) & (F.col("ratio") >= 0.7))
+        out.append({r["part"]: r["weight"] for r in rows.orderBy(F.desc("g"), "part").limit(entries).collect()})
     return out
 
 
@@ -213,10 +216,10 @@ def score(docs: DataFrame, labels: DataFrame, cutoff: float = 0.7, train_rows: i
         train = assemble.transform(train.withColumn("toxic", F.col("toxic").cast("double")))
         trees = GBTClassifier(labelCol="toxic", featuresCol="_features", maxIter=20, maxDepth=3, stepSize=0.2, seed=7).fit(train.where("not calibrate"))
         chance = lambda df: trees.transform(df).withColumn("_p", vector_to_array("probability")[1])
-        isotonic = IsotonicRegression(labelCol="toxic", featuresCol="_p").fit(chance(train.where("calibrate")).select("toxic", "_p"))
+        isotonic = IsotonicRegression(labelCol="toxic", featuresCol="_p", predictionCol="_rate").fit(chance(train.where("calibrate")).select("toxic", "_p"))
         ready = chance(assemble.transform(_with_features(named, lexicons[:1], [*names, "_held"])))
         # A little of the raw probability keeps the order within a step of the isotonic map.
-        scored = isotonic.transform(ready).withColumn("_score", 0.98 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction"))) + 0.02 * F.col("_p"))
+        scored = isotonic.transform(ready).withColumn("_score", 0.98 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_rate"))) + 0.02 * F.col("_p"))
     score_col = F.round("_score", 6)
     return scored.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], F.col("_held").alias("held_out"), score_col.alias("score"), (score_col >= cutoff).cast("int").alias("predicted"))
 
