@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -23,3 +28,19 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package where their search path lacks it: once for each Spark context."""
+    root = Path(__file__).resolve().parent.parent
+    paths = {Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]}
+    context = spark.sparkContext
+    if root in paths or context.applicationId in _shipped:
+        return
+    with tempfile.TemporaryDirectory() as folder:
+        made = shutil.make_archive(f"{folder}/{__package__}", "zip", root, __package__)
+        context.addPyFile(made)
+    _shipped.add(context.applicationId)
+
+
+_shipped: set[str] = set()
