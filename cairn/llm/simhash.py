@@ -172,15 +172,17 @@ def shard_keys(nodes: DataFrame, radius: int, most: int, cuts: int = 3) -> DataF
     free = {(): list(range(BITS))}
     name = lambda path: "".join(map(str, path))
 
+    def mask(path: tuple) -> int:
+        return _mask([b for b in range(BITS) if b not in set(free[path])])
+
     def deal(rows: DataFrame, paths: list[tuple]) -> DataFrame:
         """rows (fp, path) to the children of their path: a join with a table of (r + 1)^(2 cuts) masks at most."""
-        masks = [(name(p[:-2]), name(p), _mask([b for b in range(BITS) if b not in set(free[p])])) for p in paths]
-        table = spark.createDataFrame(masks, "path string, child string, mask long")
-        dealt = rows.join(F.broadcast(table), "path")
-        return dealt.select("fp", F.col("child").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("shard"))
+        table = spark.createDataFrame([(name(p[:-2]), name(p), mask(p)) for p in paths], "path string, child string, mask long")
+        return rows.join(F.broadcast(table), "path").select("fp", F.col("child").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("shard"))
 
     level = _children([()], free, parts)
-    keys, out = deal(nodes.select("fp", F.lit("").alias("path")), level), None
+    first = F.explode(F.array(*[F.struct(F.lit(name(p)).alias("path"), F.col("fp").bitwiseAND(F.lit(mask(p))).alias("shard")) for p in level]))
+    keys, out = nodes.select("fp", first.alias("k")).select("fp", "k.path", "k.shard"), None
     for _ in range(cuts - 1):
         keys = cut(keys, "simhash-shards")
         big = cut(keys.groupBy("path", "shard").agg(F.count("*").alias("n")).where(F.col("n") > most).drop("n"), "simhash-large")

@@ -1,6 +1,36 @@
-"""Every query of the library by name, with its DuckDB counterpart."""
+"""Every query of the library by name, with its DuckDB counterpart.
+
+A plan module registers a query with @query("name", fixtures, sql): the function gets its fixtures as
+DataFrames, and the SQL says the same over the same relations.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+from importlib import import_module
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cairn.plans.fixtures import fixture, with_fixtures
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, needs: str, sql: str | None = None):
+    def register(build: Callable[..., DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return build(*[fixture(spark, sf_dir, n) for n in needs.split()])
+
+        run.__name__, run.__doc__ = name, build.__doc__
+        assert name not in QUERIES, name
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLES[name] = with_fixtures(needs, sql)
+        return build
+
+    return register
+
+
+for _module in ("relational", "statistics", "policy", "code_metrics", "code_graph", "memory", "streams"):
+    import_module(f"cairn.plans.{_module}")
