@@ -32,5 +32,5 @@ def query(name: str, needs: str, sql: str | None = None):
     return register
 
 
-for _module in ("relational", "statistics", "policy", "code_metrics", "code_graph", "memory", "streams"):
+for _module in ():
     import_module(f"cairn.plans.{_module}")
