@@ -17,20 +17,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _register(name: str, doc: str | None, needs: str, sql: str | None, run: Callable[[SparkSession, str], DataFrame]) -> None:
+    run.__name__, run.__doc__ = name, doc
+    if name in QUERIES:
+        raise ValueError(f"two queries are named {name}")
+    QUERIES[name] = run
+    if sql is not None:
+        ORACLES[name] = with_fixtures(needs, sql)
+
+
 def query(name: str, needs: str, sql: str | None = None):
     def register(build: Callable[..., DataFrame]):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(*[fixture(spark, sf_dir, n) for n in needs.split()])
-
-        run.__name__, run.__doc__ = name, build.__doc__
-        assert name not in QUERIES, name
-        QUERIES[name] = run
-        if sql is not None:
-            ORACLES[name] = with_fixtures(needs, sql)
+        _register(name, build.__doc__, needs, sql, lambda spark, sf_dir: build(*[fixture(spark, sf_dir, n) for n in needs.split()]))
+        return build
+
+    return register
+
+
+def stream_query(name: str, table: str, sql: str | None = None):
+    """A query whose function gets an input table as a stream."""
+    from cairn.streaming.spans import read_stream
+
+    def register(build: Callable[[DataFrame], DataFrame]):
+        _register(name, build.__doc__, table, sql, lambda spark, sf_dir: build(read_stream(spark, sf_dir, table)))
         return build
 
     return register
 
 
-for _module in ():
+for _module in ("relational", "statistics", "policy", "code_metrics", "code_graph", "memory", "streams"):
     import_module(f"cairn.plans.{_module}")

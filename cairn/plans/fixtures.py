@@ -82,7 +82,7 @@ _add(
     CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failure' WHEN 'click' THEN 'success' WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'degraded' ELSE 'refused' END ELSE 'human_corrected' END AS outcome,
     CASE WHEN event_id % 5 = 0 AND event_id > 0 THEN 'ep' || CAST(event_id - 1 AS STRING) END AS parent_episode_id, ts AS created_at, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, value FROM events""",
 )
-_add("episode_update", "events", "SELECT event_id AS update_id, 'ep' || CAST(event_id - event_id % 11 AS STRING) AS episode_id, CASE WHEN event_id % 2 = 0 THEN 'human_corrected' ELSE 'success' END AS outcome, ts AS created_at FROM events WHERE event_id % 4 = 1")
+_add("episode_update", "events", "SELECT event_id AS update_id, 'ep' || CAST(event_id - event_id % 11 AS STRING) AS episode_id, CASE WHEN event_id % 3 = 0 THEN 'human_corrected' ELSE 'success' END AS outcome, ts AS created_at FROM events WHERE event_id % 4 = 1")
 _add(
     "observation",
     "episode",
@@ -119,6 +119,32 @@ _add(
     FROM (SELECT 'p' || CAST(l_partkey AS STRING) AS scope_id, l_returnflag AS f, CAST(sum(l_quantity) AS DOUBLE) AS q, CAST(max(l_linenumber) AS DOUBLE) AS c, CAST(count(DISTINCT l_orderkey) AS DOUBLE) AS n, CAST(count(DISTINCT l_suppkey) AS DOUBLE) AS s FROM lineitem GROUP BY l_partkey, l_returnflag) x GROUP BY scope_id""",
 )
 
+# A syntax tree: each run of 20 parts is a file with a class, two methods and nested blocks.
+_add(
+    "ast_scope",
+    "part",
+    """SELECT 'p' || CAST(p_partkey - p_partkey % 20 AS STRING) AS file, 'p' || CAST(p_partkey AS STRING) AS scope_id,
+    CASE p_partkey % 20 WHEN 0 THEN NULL WHEN 1 THEN 'p' || CAST(p_partkey - 1 AS STRING) WHEN 2 THEN 'p' || CAST(p_partkey - 1 AS STRING) WHEN 9 THEN 'p' || CAST(p_partkey - 8 AS STRING)
+      ELSE CASE WHEN p_partkey % 20 < 16 THEN 'p' || CAST(p_partkey - 1 AS STRING) ELSE 'p' || CAST(p_partkey - 6 AS STRING) END END AS parent_scope_id,
+    CASE p_partkey % 20 WHEN 0 THEN 'file' WHEN 1 THEN 'class' WHEN 2 THEN 'method' WHEN 9 THEN 'method' ELSE 'block' END AS kind,
+    CASE WHEN p_partkey % 20 IN (0, 1, 2, 9) THEN NULL ELSE CASE p_size % 8 WHEN 0 THEN 'if' WHEN 1 THEN 'else_if' WHEN 2 THEN 'else' WHEN 3 THEN 'for' WHEN 4 THEN 'ternary' WHEN 5 THEN 'logical_and' WHEN 6 THEN 'goto' ELSE 'case' END END AS decision,
+    CAST(p_size % 3 AS BIGINT) AS start_line, CAST(p_size AS BIGINT) AS end_line, CASE WHEN p_partkey % 140 < 20 THEN 'parse_failed' END AS degraded_reason FROM part WHERE p_partkey >= 20""",
+)
+_add("ast_call", "lineitem", "SELECT CAST(l_orderkey * 10 + l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) AS edge_id, CASE WHEN l_tax < 0.01 THEN NULL ELSE 'p' || CAST(l_partkey AS STRING) END AS from_scope, CASE WHEN l_tax > 0.07 THEN NULL ELSE 'p' || CAST(l_partkey + l_linenumber * 3 AS STRING) END AS to_scope FROM lineitem WHERE l_quantity > 40")
+_add("class_member", "part", "SELECT 'c' || CAST(p_size AS STRING) AS class, 'm' || CAST(p_partkey AS STRING) AS method, p_partkey AS k FROM part")
+_add("field_use", "part", "SELECT 'c' || CAST(p_size AS STRING) AS class, 'm' || CAST(p_partkey AS STRING) AS method, 'x' || CAST(p_partkey % 13 AS STRING) AS field FROM part WHERE p_partkey % 3 <> 0")
+_add("member_call", "part", "SELECT 'c' || CAST(p_size AS STRING) AS class, 'm' || CAST(p_partkey AS STRING) AS caller, 'm' || CAST(p_partkey + p_size AS STRING) AS callee FROM part WHERE p_partkey % 4 = 0")
+_add("package_file", "part", "SELECT 'r' || CAST(p_partkey % 3 AS STRING) AS repo, 'f' || CAST(p_partkey AS STRING) AS file, 'k' || CAST(p_partkey % 60 AS STRING) AS package, 'src/k' || CAST(p_partkey % 60 AS STRING) AS dir FROM part")
+_add(
+    "package_import",
+    "lineitem",
+    """SELECT 'r' || CAST(l_partkey % 3 AS STRING) AS repo, 'f' || CAST(l_partkey AS STRING) AS file, CASE l_linenumber % 3 WHEN 0 THEN 'src/k' || CAST((l_suppkey * 3 + l_partkey) % 60 AS STRING) WHEN 1 THEN 'k' || CAST((l_suppkey * 3 + l_partkey) % 60 AS STRING)
+    ELSE 'example.org/mod/src/k' || CAST((l_suppkey * 3 + l_partkey) % 60 AS STRING) END AS target FROM lineitem WHERE l_quantity > 49 AND l_orderkey % 4 = 0""",
+)
+_add("module_path", "", "SELECT r AS repo, m AS module FROM (VALUES ('r0', 'example.org'), ('r0', 'example.org/mod'), ('r1', 'example.org/mod')) t(r, m)")
+_add("method_decl", "part", "SELECT 'f' || CAST(p_partkey % 50 AS STRING) AS file, 'C' || CAST(p_partkey % 5 AS STRING) || '.m' || CAST(p_size % 20 AS STRING) AS name, 'n' || CAST(p_partkey AS STRING) AS node FROM part WHERE p_partkey % 7 < 3")
+_add("call_site", "lineitem", "SELECT DISTINCT 'f' || CAST(l_partkey % 50 AS STRING) AS file, 'n' || CAST(l_partkey AS STRING) AS caller, 'm' || CAST(l_suppkey % 20 AS STRING) AS callee, CASE WHEN l_linenumber % 2 = 0 THEN 'C' || CAST(l_partkey % 5 AS STRING) END AS enclosing FROM lineitem WHERE l_quantity > 45")
+
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived relation or an input table."""
