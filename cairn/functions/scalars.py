@@ -156,7 +156,7 @@ def positive_int(text: ColumnOrName) -> Column:
 
 def like_escape(text: ColumnOrName) -> Column:
     """Text for use in LIKE ... ESCAPE '\\'."""
-    return F.regexp_replace(_c(text), r"([\\%_])", r"\\\\$1")
+    return F.regexp_replace(_c(text), r"([\\%_])", r"\\$1")
 
 
 def glob_regex(glob: ColumnOrName) -> Column:
