@@ -17,11 +17,13 @@ largest; an empty table gives an empty result; further columns are not read.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -38,25 +40,58 @@ SHORTEST, LONGEST = 3, 8  # word beginnings of so many letters
 FEATURES = ("density", "strong_share", "strong_count", "top_mean", "mass", "address", "address_hits", "capitals", "punctuation", "obfuscated", "elongated", "size", "peak")
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos ti tuyo usted ustedes vosotros".split())
 _fold = str.maketrans("013457@$!|", "oieastasil")
-_token = re.compile(r"\S+")
 _word = re.compile(r"[^\W\d_]+")
-_odd = re.compile(r"(?<=[^\W\d_])[\d@$!|*._-]+(?=[^\W\d_])")
-_long = re.compile(r"(\w)\1\1")
-
-
-def words(text: str) -> tuple[list[str], int]:
-    """Lower-case words, obfuscated ones as plain letters, and how many were obfuscated."""
-    low = text.lower()
-    if not _odd.search(low):
-        return _word.findall(low), 0
-    out, odd = [], 0
-    for token in _token.findall(low):
-        if _odd.search(token) and not token.startswith(("http", "www.")) and len(token) <= 40:
+OTHER, LETTER, ODD, SPACE = range(4)
+_PLANES = 0x20000  # code points told apart; those beyond count as letters
+
+
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: its kind, its lower case (a space for all but letters), whether it is upper case."""
+    kind, low, upper = np.full(_PLANES + 1, OTHER, np.uint8), np.full(_PLANES + 1, 32, np.uint32), np.zeros(_PLANES + 1, bool)
+    for code in range(_PLANES):
+        c = chr(code)
+        if c.isdecimal() or c in "@$!|*._-":
+            kind[code] = ODD
+        elif c.isalnum():
+            kind[code], low[code], upper[code] = LETTER, ord(c.lower()[0]), c.isupper()
+        elif c.isspace():
+            kind[code] = SPACE
+    kind[_PLANES], low[_PLANES] = LETTER, 0x2A6D6
+    return kind, low, upper
+
+
+def code_points(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.minimum(codes, _PLANES) if len(codes) and codes.max() > _PLANES else codes
+
+
+def words(text: str, codes: np.ndarray | None = None) -> tuple[list[str], int]:
+    """Lower-case words, obfuscated ones as plain letters too, and how many were obfuscated: signs or digits between letters."""
+    codes = code_points(text) if codes is None else codes
+    kind, low, _ = _tables()
+    kinds = kind[codes]
+    flat = low[codes].tobytes().decode("utf-32-le", "surrogatepass")
+    starts = np.flatnonzero(kinds[1:] != kinds[:-1]) + 1 if len(kinds) else np.zeros(0, np.int64)
+    runs = kinds[np.concatenate(([0], starts))] if len(kinds) else kinds
+    marks = starts[:-1][(runs[1:-1] == ODD) & (runs[:-2] == LETTER) & (runs[2:] == LETTER)] if len(runs) > 2 else starts[:0]
+    if not len(marks):
+        return flat.split(), 0
+    spaces = np.flatnonzero(kinds == SPACE)
+    out, odd, done = [], 0, 0
+    for k in np.unique(np.searchsorted(spaces, marks)).tolist():
+        start = int(spaces[k - 1]) + 1 if k else 0
+        end = int(spaces[k]) if k < len(spaces) else len(text)
+        out.extend(flat[done:start].split())
+        token = text[start:end].lower() if end - start <= 40 else ""
+        if token and not token.startswith(("http", "www.")):
             plain = "".join(_word.findall(re.sub(r"[*._-]", "", token).translate(_fold)))
             if plain:
                 odd += 1
                 out.append(plain)
-        out.extend(_word.findall(token))
+        out.extend(flat[start:end].split())
+        done = end
+    out.extend(flat[done:].split())
     return out, odd
 
 
@@ -68,28 +103,39 @@ def parts(word: str) -> Iterator[str]:
 
 
 class Lexicon:
-    """Weights of words, with a bounded memory of words seen."""
+    """Weights of words, with a bounded memory of words seen; heavy holds those of them with a weight."""
 
     def __init__(self, weights: dict[str, float]):
-        self.weights, self.memory = weights, {}
+        self.weights, self.memory, self.heavy = weights, {}, {}
 
-    def weight(self, word: str) -> float:
-        known = self.memory.get(word)
-        if known is None:
-            if len(self.memory) > 300_000:
-                self.memory.clear()
-            known = self.memory[word] = max((self.weights.get(p, 0.0) for p in parts(word)), default=0.0)
-        return known
+    def hits(self, counts: Counter) -> dict[str, float]:
+        """The words that have a weight, in alphabetical order."""
+        if len(self.memory) > 300_000:
+            self.memory.clear()
+            self.heavy.clear()
+        for word in set(counts).difference(self.memory):
+            self.memory[word] = weight = max((self.weights.get(p, 0.0) for p in parts(word)), default=0.0)
+            if weight > 0:
+                self.heavy[word] = weight
+        return {word: self.heavy[word] for word in sorted(counts.keys() & self.heavy.keys())}
+
+
+def elongated(codes: np.ndarray) -> int:
+    """Runs of three or more equal letters."""
+    same = codes[1:] == codes[:-1]
+    at = np.flatnonzero(same[1:] & same[:-1])
+    at = at[_tables()[0][codes[at]] == LETTER]
+    return int(len(at) - (np.diff(at) == 1).sum())
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     if not text:
         return [0.0] * len(FEATURES)
-    found, odd = words(text)
+    codes = code_points(text)
+    found, odd = words(text, codes)
     n = max(1, len(found))
     counts = Counter(found)
-    weight = lexicon.weight
-    hits = {w: v for w in counts if (v := weight(w)) > 0}
+    hits = lexicon.hits(counts)
     mass = sum(v * counts[w] for w, v in hits.items())
     strong = sum(counts[w] for w, v in hits.items() if v >= 1.5)
     near = peak = 0.0
@@ -114,7 +160,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
             peak = max(peak, total)
     top = sorted(hits.values(), reverse=True)[:3]
     letters = max(1, sum(map(len, found)))
-    return [mass / n, strong / n, math.log1p(strong), sum(top) / 3, math.log1p(mass), near / n, math.log1p(close), sum(map(str.isupper, text)) / letters, (text.count("!") + text.count("?")) / n, odd / n, (len(_long.findall(text)) / n), math.log1p(len(found)), peak]
+    return [mass / n, strong / n, math.log1p(strong), sum(top) / 3, math.log1p(mass), near / n, math.log1p(close), int(_tables()[2][codes].sum()) / letters, (text.count("!") + text.count("?")) / n, odd / n, elongated(codes) / n, math.log1p(len(found)), peak]
 
 
 def held_out(id_col: str = "doc_id") -> Column:
