@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import cut
+from cairn.operators.common import cut
+from cairn.operators.graph import components
 
 SEED, BITS = 42, 64
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -210,26 +211,6 @@ def links(nodes: DataFrame, radius: int = 3, most: int = 4096) -> DataFrame:
     return keys.drop("n").join(paired, ["path", "shard"]).groupBy("path", "shard").applyInPandas(search, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root) for every node of the edges (a, b), by large-star and small-star rounds (Kiveris et al., 2014)."""
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        own = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(own, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        after = cut(small, "stars")
-        changed = after.join(edges, ["u", "v"], "left_anti").limit(1).count() or edges.join(after, ["u", "v"], "left_anti").limit(1).count()
-        edges = after
-        if not changed:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
 def near_duplicates(df: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, fingerprint (hex), component_id: the smallest doc_id that links reach."""
     prints = cut(fingerprints(df, width, id_col, text_col), "fingerprints")
