@@ -102,3 +102,9 @@ def churn_read(churn: DataFrame, repo: str, since: Column) -> DataFrame:
 def upsert_pointer(pointers: DataFrame, rows: DataFrame) -> DataFrame:
     """The pointer table after an upsert: newest row of each five-part key."""
     return latest(pointers.unionByName(rows), FIVE, ["seq"])
+
+
+def faults(samples: DataFrame, kinds: list[str]) -> DataFrame:
+    """samples with fault: an unknown kind, or a value that does not go with degraded; null for sound rows."""
+    fault = F.when(~F.col("metric_kind").isin(*kinds), "unknown_kind").when(F.col("degraded") & F.col("value").isNotNull(), "degraded_with_value").when(~F.col("degraded") & F.col("value").isNull(), "no_value")
+    return samples.withColumn("fault", fault)

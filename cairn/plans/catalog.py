@@ -45,5 +45,5 @@ def stream_query(name: str, table: str, sql: str | None = None):
     return register
 
 
-for _module in ("relational", "statistics", "policy", "code_metrics", "code_graph", "memory", "streams"):
+for _module in ("relational", "statistics", "policy", "code_metrics", "code_graph", "memory", "sources", "streams"):
     import_module(f"cairn.plans.{_module}")

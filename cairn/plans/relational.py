@@ -238,7 +238,7 @@ def latest_finding(findings):
     return C.latest(findings, ["scope_id", "rule_id"], ["created_at", "seq"]).select("scope_id", "rule_id", "finding_id", "severity")
 
 
-@query("win_05_ordered_hydration", "context_log node", "SELECT context_id, position, id AS node_id, n.kind FROM (SELECT context_id, unnest(['n' || k, 'n' || (k * 3), 'x' || k]) AS id, unnest([0, 1, 2]) AS position FROM context_log) x LEFT JOIN node n ON n.node_id = x.id")
+@query("src_11_ordered_hydration", "context_log node", "SELECT context_id, position, id AS node_id, n.kind FROM (SELECT context_id, unnest(['n' || k, 'n' || (k * 3), 'x' || k]) AS id, unnest([0, 1, 2]) AS position FROM context_log) x LEFT JOIN node n ON n.node_id = x.id")
 def ordered_hydration(contexts, nodes):
     served = contexts.select("context_id", F.array(F.concat(F.lit("n"), "k"), F.concat(F.lit("n"), F.col("k") * 3), F.concat(F.lit("x"), "k")).alias("ids"))
     return C.hydrate(served, "context_id", "ids", nodes.select("node_id", "kind"), "node_id").select("context_id", "position", "node_id", "kind")
