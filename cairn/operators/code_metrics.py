@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
 from cairn.operators.common import cut
 from cairn.operators.graph import ancestry, components, strong_components
 
-WINDOW = 50
+WINDOW = 50  # 32 + 16 + 2 tokens, as duplication() puts their hashes together
 SCOPES = ("method", "class", "file")
 
 
@@ -125,9 +125,16 @@ def duplication(files: DataFrame, keys: Sequence[str] | None = None, text: str =
     named = list(dict.fromkeys([*keys, file]))
     rows = files.select(*named, S.tokens(F.coalesce(text, F.lit(""))).alias("_t")).withColumn("_n", F.size("_t"))
     totals = rows.groupBy(*keys).agg(F.sum("_n").alias("tokens"))
-    starts = F.when(F.col("_n") >= WINDOW, F.sequence(F.lit(1), F.col("_n") - WINDOW + 1))
-    hashed = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("_t", i, WINDOW)).alias("h"), F.hash(F.slice(F.col("_t"), i, WINDOW), i * 0).alias("g")))
-    windows = rows.where(F.col("_n") >= WINDOW).select(*named, "_n", F.explode(hashed).alias("w")).select(*named, "_n", "w.*")
+    rows = rows.where(F.col("_n") >= WINDOW).withColumn("_w1", F.transform("_t", lambda t: F.xxhash64(t))).drop("_t")
+
+    def doubled(size: int) -> Column:
+        return F.transform(f"_w{size}", lambda x, i: F.xxhash64(x, F.get(F.col(f"_w{size}"), i + size)))
+
+    for size in (1, 2, 4, 8, 16):  # the hash of 2k tokens from those of k: few steps a token, however wide the window
+        rows = rows.withColumn(f"_w{2 * size}", doubled(size))
+    part = lambda size, i: F.get(F.col(f"_w{size}"), i)
+    whole = lambda i: F.struct(i.alias("at"), F.xxhash64(part(32, i), part(16, i + 32), part(2, i + 48)).alias("h"), F.hash(part(2, i), part(16, i + 2), part(32, i + 18)).alias("g"))
+    windows = rows.select(*named, F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - WINDOW), whole)).alias("w")).select(*named, "w.*")
     repeated = windows.groupBy(*keys, "h", "g").agg(F.count("*").alias("_times")).where("_times > 1").drop("_times")
     hits = windows.join(repeated, [*keys, "h", "g"], "left_semi")
     following = F.lead("at").over(Window.partitionBy(*named).orderBy("at"))

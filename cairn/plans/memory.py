@@ -140,14 +140,14 @@ f AS (SELECT node_id, min(hop) AS hop FROM (SELECT * FROM o UNION ALL SELECT * F
 c AS (SELECT * FROM s UNION ALL SELECT node_id, 'method', (SELECT max(score) FROM s) * pow(0.5, hop), hop FROM f)"""
 
 
-@query("vec_03_04_recall", "embeddings edge", f"WITH {RECALL} SELECT node_id, kind, hop, round(score - 0.1 * hop + CASE WHEN kind = 'concept' THEN 0.05 ELSE 0 END, 5) AS final FROM c ORDER BY round(score - 0.1 * hop + CASE WHEN kind = 'concept' THEN 0.05 ELSE 0 END, 5) DESC, hop, node_id LIMIT 40")
+@query("vec_03_04_recall", "embeddings edge", f"WITH {RECALL} SELECT node_id, kind, hop, round(score - 0.1 * hop + CASE WHEN kind = 'concept' THEN 0.05 ELSE 0 END, 8) AS final FROM c ORDER BY round(score - 0.1 * hop + CASE WHEN kind = 'concept' THEN 0.05 ELSE 0 END, 8) DESC, hop, node_id LIMIT 40")
 def recall(vectors, edges):
     hits = R.nearest(vectors, _query_vector(vectors), 5)
     seeds = hits.select(F.concat(F.lit("n"), "vec_id").alias("node_id"), F.when(F.col("label") == 0, "concept").otherwise("method").alias("kind"), F.round("score", 6).alias("score"))
     links = edges.where(F.col("kind").isin(*G.CALLS)).select(F.col("src_node_id").alias("src"), F.col("dst_node_id").alias("dst"))
     reached = G.reachable(links, seeds.select(F.col("node_id").alias("node")), 2).groupBy(F.col("node").alias("node_id")).agg(F.min("hop").alias("hop")).where("hop > 0")
     ranked = R.with_frontier(seeds, reached.withColumn("kind", F.lit("method")))
-    final = F.round(F.col("score") - 0.1 * F.col("hop") + F.when(F.col("kind") == "concept", 0.05).otherwise(0.0), 5)
+    final = F.round(F.col("score") - 0.1 * F.col("hop") + F.when(F.col("kind") == "concept", 0.05).otherwise(0.0), 8)
     return ranked.withColumn("final", final).orderBy(F.desc("final"), "hop", "node_id").limit(40).select("node_id", "kind", "hop", "final")
 
 
