@@ -22,8 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of the per-worker memory of encoded pre-tokens, and the longest pre-token kept in it (bounds on memory only).
-MEMORY, MEMORY_LENGTH = 1_200_000, 64
+#: Entries of each of the two generations of a worker's memory of encoded pre-tokens, and the longest pre-token kept (bounds on memory only).
+MEMORY, MEMORY_LENGTH = 200_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -56,6 +56,7 @@ class Encoder:
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.pairs = [ranks.get(bytes(divmod(k, 256)), -1) for k in range(65536)]
         self.memory: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -131,15 +132,18 @@ class Encoder:
 
     def encode(self, text: str) -> str:
         """The ids of a text in decimal, joined by one space."""
-        memory, out = self.memory, []
+        memory, older, out = self.memory, self.older, []
         add = out.append
         for piece in self.find(text):
             known = memory.get(piece)
             if known is None:
-                known = " ".join(map(str, self.merge(piece.encode("utf-8"))))
+                known = older.get(piece)
+                if known is None:
+                    known = " ".join(map(str, self.merge(piece.encode("utf-8"))))
                 if len(piece) <= MEMORY_LENGTH:
-                    if len(memory) >= MEMORY:
-                        memory.clear()
+                    if len(memory) >= MEMORY:  # what was used since the last turn stays for another
+                        older = self.older = memory
+                        memory = self.memory = {}
                     memory[piece] = known
             add(known)
         return " ".join(out)
