@@ -20,8 +20,9 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +103,14 @@ def parts(word: str) -> Iterator[str]:
         yield word[:n]
 
 
+class _Parts(dict):
+    """Words to their parts."""
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        found = self[word] = tuple(parts(word))
+        return found
+
+
 class Lexicon:
     """Weights of words, with a bounded memory of words seen; heavy holds those of them with a weight."""
 
@@ -183,28 +192,26 @@ def learn_lexicon(sample: DataFrame, entries: int = LEXICON) -> list[dict[str, f
     """Three lexicons: from all rows, and for fold 0 and 1 from the rows of the other fold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        texts, uses = defaultdict(Counter), defaultdict(Counter)  # by label and fold: texts with a part, and its uses
+        split = _Parts()
         for batch in batches:
             for text, toxic, fold in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                own: Counter = Counter()
-                found = Counter(words(text or "")[0])
-                for word, n in found.items():
-                    for p in parts(word):
-                        own[p] += n
-                for p, n in own.items():
-                    seen[p, toxic, fold, 0] += 1
-                    seen[p, toxic, fold, 1] += n
-                seen["", toxic, fold, 0] += 1
-                seen["", toxic, fold, 1] += sum(found.values())
-                if len(seen) > 500_000:
-                    yield flush(seen)
-        yield flush(seen)
-
-    def flush(seen: Counter) -> pa.RecordBatch:
-        keys = list(seen)
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int32()) for i in (1, 2, 3)), pa.array(list(seen.values()), pa.int64())], names=["part", "toxic", "fold", "what", "n"])
-        seen.clear()
-        return out
+                found = words(text or "")[0]
+                texts[toxic, fold].update({"", *chain.from_iterable(map(split.__getitem__, set(found)))})
+                uses[toxic, fold].update(chain.from_iterable(map(split.__getitem__, found)))
+                uses[toxic, fold][""] += len(found)
+                if len(split) > 50_000:
+                    split.clear()
+                if sum(map(len, uses.values())) > 250_000:
+                    yield from flush(texts, uses)
+        yield from flush(texts, uses)
+
+    def flush(*tables: dict[tuple[int, int], Counter]) -> Iterator[pa.RecordBatch]:
+        for what, table in enumerate(tables):
+            for (toxic, fold), seen in table.items():
+                same = [pa.array([v] * len(seen), pa.int32()) for v in (toxic, fold, what)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *same, pa.array(list(seen.values()), pa.int64())], names=["part", "toxic", "fold", "what", "n"])
+            table.clear()
 
     counts = sample.select("text", "toxic", "fold").mapInArrow(count, "part string, toxic int, fold int, what int, n long")
     cell = lambda toxic, fold, what: F.sum(F.when((F.col("toxic") == toxic) & (F.col("fold") == fold) & (F.col("what") == what), F.col("n")).otherwise(0))
