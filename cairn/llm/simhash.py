@@ -21,6 +21,7 @@ the component has no other; an empty table gives an empty result; further column
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -231,3 +232,107 @@ def keep_one(df: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_
     kept = near_duplicates(df, width, radius, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     named = df.join(kept, df[id_col] == kept["_kept"], "left_semi").withColumn("_same", F.xxhash64(text_col))
     return named.dropDuplicates([id_col, "_same"]).drop("_same").unionByName(df.where(F.col(id_col).isNull()))
+
+
+# --- near copies by the words they share
+
+BUCKETS = 1 << 18
+
+
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text or b"", width))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    whole = len(a) + len(b) - both
+    return both / whole if whole else 1.0
+
+
+def rare_prefix(shingles: np.ndarray, seen: np.ndarray, least: float) -> np.ndarray:
+    """The rarest shingles, so many that two sets with a Jaccard of ``least`` share one of them.
+
+    Sets that share at least ceil(least * n) of their n shingles can't have all of these among the rest;
+    this holds for any order that is the same for all sets. seen: counts of hash buckets.
+    """
+    n = len(shingles) - math.ceil(least * len(shingles) - 1e-9) + 1 if len(shingles) else 0
+    return shingles[np.lexsort((shingles, seen[(shingles % np.uint64(BUCKETS)).astype(np.int64)]))[:n]]
+
+
+def keep_unlike(df: DataFrame, width: int = 5, least: float = 0.8, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of df of which no two have a Jaccard of ``least`` or more over shingles of ``width`` words; each row left out has it with one that stays.
+
+    Candidates: what the BK-trees link within the radius, and all texts that share one of their rarest
+    shingles (rare_prefix). The latter finds every pair: at a Jaccard of 0.8 about 10 of 64 bits differ and up
+    to 16 may, and blocks for 16 bits (17^2 keys of 8 bits) are more work than all pairs. In each component of
+    candidates, rows in the order of their ids (null last) stay unless their exact Jaccard to one that stayed
+    is ``least`` or more. Rarity comes from counts of a fixed number of hash buckets. A component is one task's
+    stream; only the shingles of its rows that stay are in memory.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def name_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = (xxhash.xxh64_intdigest(shingle_set(t.as_py(), width).tobytes(), SEED) for t in batch.column(2))
+            names = np.fromiter(names, np.uint64, batch.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names)], names=["id", "same", "node"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for t in batch.column(1):
+                np.add.at(total, (shingle_set(t.as_py(), width) % np.uint64(BUCKETS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        for start in range(0, len(at), 1 << 16):
+            part = at[start : start + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["bucket", "n"])
+
+    same = F.xxhash64(text_col)
+    named = cut(df.select(F.col(id_col).alias("id"), same.alias("same"), F.col(text_col).cast("binary").alias("text")).mapInArrow(name_sets, f"id {kind}, same long, node long"), "near-sets")
+    first = named.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("f")).select("node", F.col("f.id").alias("_id"), F.col("f.same").alias("_same"))
+    marked = df.withColumn("_text_hash", same)
+    rows = marked.join(first, marked[id_col].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_same"))).dropDuplicates(["node"]).drop("_id", "_same")
+    rows = cut(rows.withColumnRenamed("node", "_node"), "near-rows")
+    texts = rows.select(F.col("_node").alias("node"), F.col(text_col).cast("binary").alias("text"))
+
+    seen = np.zeros(BUCKETS, np.int64)
+    for r in texts.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # a fixed number of rows
+        seen[r["bucket"]] = r["n"]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                found = [rare_prefix(shingle_set(t.as_py(), width), seen, least) for t in part.column(1)]
+                nodes = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(nodes)], names=["shingle", "node"])
+
+    prefix = cut(texts.mapInArrow(prefixes, "shingle long, node long"), "near-prefixes")
+    heads = prefix.groupBy("shingle").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = prefix.join(heads, "shingle").where("a <> node").select("a", F.col("node").alias("b"))
+    near = near_duplicates(texts, width, radius, "node", "text").where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    roots = cut(components(shared.unionByName(near).distinct()).select(F.col("node").alias("_node"), "root"), "near-roots")
+
+    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, stay, where = None, [], {}
+        for batch in batches:
+            out = []
+            for root, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if root != group:
+                    group, stay, where = root, [], {}
+                own = shingle_set(text.as_py(), width)
+                keys = rare_prefix(own, seen, least).tolist()
+                others = {k for key in keys for k in where.get(key, ())}
+                if any(jaccard(own, stay[k]) >= least for k in others if least * len(own) <= len(stay[k]) + 1e-9 and least * len(stay[k]) <= len(own) + 1e-9):
+                    out.append(node)
+                    continue
+                for key in keys:
+                    where.setdefault(key, []).append(len(stay))
+                stay.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["_node"])
+
+    order = rows.join(roots, "_node").select("root", "_node", F.col(text_col).cast("binary").alias("text"), F.col(id_col).alias("id"), "_text_hash")
+    order = order.repartition("root").sortWithinPartitions("root", F.asc_nulls_last("id"), "_text_hash", "_node")
+    gone = order.select("root", "_node", "text").mapInArrow(copies, "_node long")
+    return rows.join(gone, "_node", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -1,6 +1,7 @@
 """Held-out accuracy of the learned operators, and the pipeline on a small table."""
 
 import hashlib
+import random
 import zlib
 from pathlib import Path
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cairn.llm import secrets, toxicity
+from cairn.llm import secrets, simhash, toxicity
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, secret string"
@@ -119,3 +120,53 @@ def test_pipeline_run_equals_stages(spark, stages):
 
 def test_pipeline_does_not_swallow_import_errors():
     assert "except" not in Path(corpus_pipeline.__file__).read_text()
+
+
+def word_sets(text, width=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_dedup_finds_edited_copies_and_keeps_the_rest(spark):
+    """Edits spread over a text move far more than 3 bits of its fingerprint."""
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(120)] for _ in range(60)]
+    texts = [" ".join(b) for b in base]
+    for k, b in enumerate(base):
+        copy = list(b)
+        for at in (20, 80) if k % 2 else (10, 30, 50, 70, 90, 110):  # Jaccard 0.84; 0.59
+            copy[at] = "edited"
+        texts.append(" ".join(copy))
+    sets = [word_sets(t) for t in texts]
+    near = [alike(sets[k], sets[60 + k]) >= 0.8 for k in range(60)]
+    assert sum(near) == 30
+    far = [k for k in range(60) if near[k] and (simhash.fingerprint(texts[k].encode()) ^ simhash.fingerprint(texts[60 + k].encode())).bit_count() > 3]
+    assert far
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, texts), "").collect()}
+    assert kept == set(range(60)) | {60 + k for k in range(60) if not near[k]}
+
+
+def test_near_dedup_leaves_no_near_pair_of_the_documents(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    sets = {r.doc_id: word_sets(r.text) for r in table.collect()}
+    kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, table, SF).collect()]
+    assert len(kept) == len(set(kept))
+    stay, by_shingle = set(kept), {}
+    for i in kept:
+        for s in sets[i]:
+            by_shingle.setdefault(s, set()).add(i)
+    for i, own in sets.items():
+        others = set().union(*(by_shingle.get(s, ()) for s in own)) - {i} if own else stay - {i}
+        assert any(alike(own, sets[k]) >= 0.8 for k in others) != (i in stay), i
+
+
+def test_near_dedup_odd_rows(spark):
+    rows = [(None, "a b c d e f"), (3, "A b c d e f"), (1, None), (2, ""), (4, "x"), (4, "x"), (4, "other words"), (None, "alone here")]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1.0, "x") for i, t in rows], DOCS)
+    kept = sorted((r.doc_id or 0, r.text or "") for r in simhash.keep_unlike(table).collect())
+    assert kept == [(0, "alone here"), (1, ""), (3, "A b c d e f"), (4, "other words"), (4, "x")]
+    assert simhash.keep_unlike(docs(spark, [])).count() == 0
