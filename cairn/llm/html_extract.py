@@ -4,8 +4,8 @@ A page becomes a DOM tree. For every node: C characters and T tags in its subtre
 links. Its density is characters per tag, adjusted by a logarithm for how much of it is links, against
 what the body has. A node's score is the sum of its children's densities; the subtree with the largest
 score is the core, and the smallest density on the path from it up to the body is the threshold that other
-subtrees must reach to be kept beside it. If the core lies in an article element, that article is the
-content. Elements that are furniture by tag, role, class or id are no content wherever they stand.
+subtrees must reach to be kept beside it. If the core lies in an article element, the content is that
+article and the others that reach the threshold. Elements that are furniture by tag, role, class or id are no content wherever they stand.
 
 Defined cases: null and empty pages give an empty text; pages cut off anywhere are parsed as far as they
 go (an unfinished tag is dropped); a page without tags is text as a whole; repeated rows stay; further
@@ -175,16 +175,21 @@ def select(root: Node) -> list[Node]:
         return [root]
     articles = [n for n in _above(core) if n.tag == "article"]
     if articles:
-        return [articles[-1]]
+        core = articles[-1]
     path = []
     for node in _above(core):
         path.append(node)
         if node.tag in ("body", "main"):
             break
     threshold = min(n.density for n in path)
-    chosen, limit = {id(core)}, 0.2 * core.score
-    for node in order:  # blocks beside the path that are as dense as it and weigh something
-        if node.parent in path and node not in path and node.parent is not core and node.density >= threshold and node.score >= limit:
+    chosen, beside, inside = {id(core)}, set(map(id, path)), set()
+    for node in order:  # subtrees beside the path that are as dense as it
+        up = node.parent
+        if up is None or id(node) in beside:
+            continue
+        if up.tag == "article" or id(up) in inside:
+            inside.add(id(node))
+        elif node.density >= threshold and (node.tag == "article" if articles else id(up) in beside and up is not core):
             chosen.add(id(node))
     return [n for n in order if id(n) in chosen]
 

@@ -135,6 +135,25 @@ def test_html_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+LINKS = "<div><a href=/>Home</a> <a href=/a>News</a> <a href=/b>Contact us</a></div>"
+
+
+def paragraphs(name, count):
+    return [f"{name} {i} is a paragraph of the text with a good many words in it, so that it is dense and counts." for i in range(count)]
+
+
+@pytest.mark.parametrize("pieces", [
+    [("h1", ["The headline of the page"]), ("p", paragraphs("lead", 1)), ("div", paragraphs("body", 10))],
+    [("section", paragraphs("short", 1)), ("section", paragraphs("long", 10)), ("section", paragraphs("next", 2))],
+    [("article", paragraphs("first", 2)), ("article", paragraphs("second", 8)), ("article", paragraphs("third", 1))],
+    [("div><article", paragraphs("first", 2)), ("div><article", paragraphs("second", 8))],
+])
+def test_html_keeps_what_stands_beside_the_core(pieces):
+    inner = "".join(f"<{tag}>{texts[0]}</{tag}>" if tag in ("h1", "p") else f"<{tag}>{''.join(f'<p>{t}</p>' for t in texts)}</{tag.split('<')[-1]}>" + "</div>" * ("><" in tag) for tag, texts in pieces)
+    page = f"<html><body>{LINKS}{inner}{LINKS}</body></html>"
+    assert html_extract.main_text(page) == " ".join(t for _, texts in pieces for t in texts)
+
+
 def test_html_deep_and_long(spark):
     deep = "<div>" * 5000 + "core text of the page" + "</div>" * 5000
     frame = pages(spark, [deep, "<p>" + "w " * 200_000, None, "<<<>>> & < b", "<a href=\"x>never closed"])
