@@ -1,13 +1,13 @@
 """Secret scan: patterns find candidates, a random forest removes the false positives. JVM-side throughout.
 
-Candidates of a text are runs of token characters with a digit, quoted values after = or :, and private
-key blocks. Features: length, character transitions, alphabet use, dictionary coverage, the words before
+Candidates of a text are private key blocks, quoted values after = or :, unquoted values after a credential
+word and = or :, and runs of token characters with a digit; the name before = is no part of a value. Features: length, character transitions, alphabet use, dictionary coverage, the words before
 and after, and the path. The forest (Spark ML) is trained from labelled findings and compiled into one
 column expression, so that a document is scanned, judged and redacted in its own row: no join, no shuffle,
 however many candidates a document or a source has.
 
 Labelled findings: a table (candidate, before, after, path, label), or by default labelled_findings(),
-made by rule: keys of common kinds where they are assigned to a credential, against identifiers,
+made by rule and cut out of their lines by the same pattern: keys of common kinds where they are assigned to a credential, against identifiers,
 checksums, addresses, versions, placeholders and words where those stand.
 
 Defined cases: null texts have no findings and stay null; empty texts have none; repeated rows and equal
@@ -22,13 +22,17 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.operators.common import cut
+
+#: Words that go with credentials, words that go with harmless tokens, words of placeholders.
+CREDENTIAL = r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|client[_ -]?secret|auth(?:orization)?|bearer|credentials?)"
+#: A block runs to its END line, header lines included; possessive loops take texts of any length without recursion.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{0,16384}+-----END [A-Z ]{0,30}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9_+/=.~-])(?=[A-Za-z_+/=.~-]*+[0-9])[A-Za-z0-9_+/=.~-]{16,}+"
+    r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
     r"|(?<=[=:] ?[\"'])[^\s\"']{6,}+(?=[\"'])"
+    r"|(?<=[=:>][ \t]{0,3})(?<![=:>\"'] ?[\"'])(?<=(?:" + CREDENTIAL + r")[A-Za-z0-9_-]{0,16}[\"']?[ \t]{0,3}(?::=|=>|[=:])[ \t]{0,3})(?!(?i:bearer|basic)\b)[^\s\"'=:>][^\s\"'<>]{4,}[^\s\"'<>.,;:)\]}]={0,2}+"
+    r"|(?<![A-Za-z0-9_+/.~-])(?=[A-Za-z_+/.~-]*+[0-9])[A-Za-z0-9_+/.~-]{16,}+={0,2}+"
 )
-#: Words that go with credentials, words that go with harmless tokens, words of placeholders.
-CREDENTIAL = r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|client[_ -]?secret|auth(?:orization)?|bearer|credentials?)"
 HARMLESS = r"(?i)(?:commit|sha-?\d+|md5|checksum|digest|hash|etag|revision|uuid|guid|request|trace|span|version|build|href|src|url|path|file|page|index|phone|date|time|ip|address)"
 PLACEHOLDER = r"(?i)(?:example|sample|placeholder|changeme|change_me|dummy|redacted|your[_-]|xxxx|\*{4}|<[^>]+>|\$\{|0{8}|1234567|abcdef|test)"
 KNOWN = r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk[_-](?:live|test|proj)?|AIza|eyJ[A-Za-z0-9_-]+\.|-----BEGIN )"
@@ -74,6 +78,14 @@ def _features(c: Column, before: Column, after: Column, path: Column) -> list[Co
     return [v.cast("double").alias(name) for v, name in zip(values, FEATURES, strict=True)]
 
 
+def _with_candidates(df: DataFrame, text: Column) -> DataFrame:
+    """df with _s_list, _s_between and _s_seen: array of (candidate, before, after)."""
+    out = df.withColumn("_s_list", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+    out = out.withColumn("_s_between", F.when(F.size("_s_list") > 0, F.split(text, CANDIDATE)))
+    between = F.col("_s_between")
+    return out.withColumn("_s_seen", F.transform("_s_list", lambda c, i: F.struct(c.alias("candidate"), F.right(F.get(between, i), F.lit(BEFORE)).alias("before"), F.left(F.get(between, i + 1), F.lit(AFTER)).alias("after"))))
+
+
 def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     """(candidate, before, after, path, label), the same rows each time. The size is fixed; one partition keeps the forest the same."""
     i = F.col("id")
@@ -87,6 +99,8 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         F.concat(F.lit("AKIA"), F.upper(F.translate(b64("f", 256), "+/=abcdefghij", "XYZ0123456789")).substr(1, 16)), F.concat(F.lit("ghp_"), F.translate(b64("g", 256), "+/=", "abc").substr(1, 36)),
         F.concat(F.lit("sk_live_"), F.translate(b64("h", 256), "+/=", "abc").substr(1, 24)), F.concat(F.lit("eyJhbGciOiJIUzI1NiJ9."), F.translate(b64("i", 256), "+/=", "-_a"), F.lit("."), F.translate(b64("j", 256), "+/=", "-_a")),
         cut_to(F.translate(b64("k", 256), "+/=", "!#%"), 10, 8),
+        F.concat(pick("s1", ["Sup3r", "hunter", "Winter", "dr4gon", "Pa55", "monkey", "S3cret", "letme1n"]), pick("s2", ["S3cret", "#", "", "_", "W0rd", "x"]), F.pmod(F.xxhash64(F.lit("s3"), i), F.lit(9999)).cast("string"), pick("s4", ["!", "", "$", "#", "?"])),
+        F.concat(F.lit("-----BEGIN "), pick("r", ["RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,00\n\n", "PRIVATE KEY-----\n", "PGP PRIVATE KEY BLOCK-----\nVersion: 1\n\n"]), b64("r1", 512), b64("r2", 512), F.lit("\n-----END "), pick("r", ["RSA PRIVATE KEY-----", "PRIVATE KEY-----", "PGP PRIVATE KEY BLOCK-----"])),
     ]
     uuid = F.concat_ws("-", digest("l", 256).substr(1, 8), digest("l", 256).substr(9, 4), digest("l", 256).substr(13, 4), digest("l", 256).substr(17, 4), digest("l", 256).substr(21, 12))
     word = pick("w", ["thonnattion", "erkeitlichung", "ciónmenteado", "ereandtioning", "internationally", "verenschung", "documentation", "responsibility"])
@@ -95,18 +109,23 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         F.concat(word, pick("w2", ["ered", "ouen", "schte", "aleque"]), number), uuid, digest("o", 256).substr(1, 40), digest("p", 256), F.concat(F.lit("mail"), number, F.lit("."), word, F.lit(".example.com")), F.concat(F.lit("www."), word, F.lit(".example.com/en/"), number),
         F.concat(F.lit("2024-0"), (F.pmod(i, F.lit(9)) + 1).cast("string"), F.lit("-11T10:00:00.000")), F.concat(pick("q", ["your_token_here_", "changeme-changeme-", "example_secret_", "xxxxxxxxxxxxxxxx", "placeholder-value-"]), number), F.concat(F.lit("0000000000000000"), number),
         F.concat(F.lit("v1."), number, F.lit(".0-release+"), number), F.concat_ws("-", F.lit("section"), number, word), F.concat_ws("_", word, F.lit("id"), number),
+        pick("p", ["required", "string", "undefined", "optional", "nothing", "changed", "process.env.TOKEN", "os.environ", "settings.value", "config.auth.value", "expired", "rotation", "internationally", "documentation", "verenschung", "missing", "invalid", "${TOKEN}", "getenv(NAME", "********"]),
     ]
-    good = pick("x", ['token = "', 'password = "', 'secret: "', 'api_key="', "API_KEY=", "Authorization: Bearer ", 'TOKEN = "', "access_key: ", "client_secret = '", 'credentials = "', "passwd="])
+    good = pick("x", ['token = "', 'password = "', 'secret: "', 'api_key="', "API_KEY=", "Authorization: Bearer ", 'TOKEN = "', "access_key: ", "client_secret = '", 'credentials = "', "passwd=", "password: ", "DB_PASSWORD=", "secret = ", "token: "])
     bad = pick("y", ["", " ", "(", "commit ", "sha256 ", "checksum: ", "id=", 'version="', "see ", 'href="', "request ", "at ", "digest "])
     # Placeholders stand where secrets do, so the context alone does not decide.
     kind = F.pmod(F.xxhash64(F.lit("kind"), i), F.lit(len(harmless))).cast("int")
-    lead = F.when((kind == 7) | (kind == 8), good).otherwise(bad)
+    lead = F.when((kind == 7) | (kind == 8) | (kind == 12), good).otherwise(bad)
     label = F.pmod(i, F.lit(2))
-    candidate = F.when(label == 1, F.element_at(F.array(*secret), F.pmod(F.xxhash64(F.lit("s"), i), F.lit(len(secret))).cast("int") + 1)).otherwise(F.element_at(F.array(*harmless), kind + 1))
-    before = F.concat(pick("v", filler), F.when(label == 1, good).otherwise(lead))
+    value = F.when(label == 1, F.element_at(F.array(*secret), F.pmod(F.xxhash64(F.lit("s"), i), F.lit(len(secret))).cast("int") + 1)).otherwise(F.element_at(F.array(*harmless), kind + 1))
+    before = F.concat(pick("v", filler), F.when(value.startswith("-----BEGIN "), pick("v2", filler)).when(label == 1, good).otherwise(lead))
     after = F.concat(F.when(before.rlike("[\"']$"), F.right(before, F.lit(1))).otherwise(F.lit("")), pick("z", [" and ", "\n", "", ", ", " for the ", ". "]))
     path = pick("t", ["src0", "src7", "conf/app.yaml", "docs/readme.md", "test/fixture.py", "main.go"])
-    return spark.range(0, rows, 1, 1).select(candidate.alias("candidate"), before.alias("before"), after.alias("after"), path.alias("path"), label.cast("double").alias("label"))
+    lines = spark.range(0, rows, 1, 1).select(F.concat(before, value, after).alias("line"), value.alias("value"), path.alias("path"), label.alias("label"))
+    lines = cut(lines, "secret-lines")  # a small table; the expressions above are too large to be repeated
+    found = _with_candidates(lines, F.col("line")).select("value", "path", "label", F.explode("_s_seen").alias("x"))
+    secret_part = (F.col("label") == 1) & F.col("value").contains(F.rtrim(F.col("x.candidate"), F.lit(".,")))
+    return cut(found.select("x.candidate", "x.before", "x.after", "path", secret_part.cast("double").alias("label")), "secret-findings")
 
 
 def train(findings: DataFrame, trees: int = 15, depth: int = 6):
@@ -137,11 +156,7 @@ def judged(df: DataFrame, model, text_col: str = "text", path_col: str = "source
     """df with _s_between (the texts around the candidates) and _s_found: array of (candidate, before, after, score, secret)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     path = F.col(path_col) if path_col in df.columns else F.lit("")
-    out = df.withColumn("_s_list", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    out = out.withColumn("_s_between", F.when(F.size("_s_list") > 0, F.split(text, CANDIDATE)))
-    between = F.col("_s_between")
-    candidates = F.transform("_s_list", lambda c, i: F.struct(c.alias("candidate"), F.right(F.get(between, i), F.lit(BEFORE)).alias("before"), F.left(F.get(between, i + 1), F.lit(AFTER)).alias("after")))
-    out = out.withColumn("_s_seen", candidates)
+    out = _with_candidates(df, text)
     featured = F.transform("_s_seen", lambda x: F.struct(x["candidate"].alias("candidate"), x["before"].alias("before"), x["after"].alias("after"), *_features(x["candidate"], x["before"], x["after"], path)))
     out = out.withColumn("_s_features", featured)
     scored = F.transform("_s_features", lambda x: F.struct(x["candidate"].alias("candidate"), x["before"].alias("before"), x["after"].alias("after"), F.round(forest_expression(model, lambda n: x[n]), 6).alias("score")))

@@ -59,6 +59,22 @@ def test_secrets_are_redacted_and_the_rest_stays(spark):
     assert secrets.scan(docs(spark, [])).count() == 0 and secrets.redact(docs(spark, [])).count() == 0
 
 
+def test_secrets_of_every_form_are_redacted(spark):
+    rng = random.Random(4)
+    body = lambda n: "\n".join("".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(64)) for _ in range(n))
+    aws = "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+    blocks = [
+        f"-----BEGIN RSA PRIVATE KEY-----\n{body(400)}\n-----END RSA PRIVATE KEY-----",
+        f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A1B\n\n{body(12)}\n-----END RSA PRIVATE KEY-----",
+        f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 2\n\n{body(12)}\n=aB3d\n-----END PGP PRIVATE KEY BLOCK-----",
+    ]
+    key = hashlib.sha256(b"k").hexdigest()
+    texts = [f"see {b} end" for b in blocks] + [f"run API_KEY={aws} now", f"x passwd={key}", "the password: Sup3rS3cret! is old", "a password: required by all", "the secret: nothing happens", f"{'-' * 200000} and -----BEGIN PRIVATE KEY----- alone"]
+    rows = {r.doc_id: r.text for r in secrets.redact(docs(spark, texts)).collect()}
+    assert [rows[i] for i in range(6)] == ["see [SECRET] end"] * 3 + ["run API_KEY=[SECRET] now", "x passwd=[SECRET]", "the password: [SECRET] is old"]
+    assert [rows[i] for i in (6, 7, 8)] == texts[6:]
+
+
 # --- toxicity
 
 def test_toxicity_is_right_on_held_out_rows(spark):
