@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -154,6 +155,79 @@ def test_html_keeps_what_stands_beside_the_core(pieces):
     assert html_extract.main_text(page) == " ".join(t for _, texts in pieces for t in texts)
 
 
+@pytest.mark.parametrize("wrap", [
+    "<article class='post has-sidebar'>{}</article>", "<div id='page' class='site no-sidebar'>{}</div>", "<article class='post comments open'>{}</article>",
+    "<div class='content share'>{}</div>", "<div class='research_search x'>{}</div>", "<form id='aspnetForm'>{}<input name=q></form>", "<div class=comments>{}</div>",
+])
+def test_html_names_do_not_empty_an_article(wrap):
+    texts = ["A title", *paragraphs("first", 1), "Words <label>in a label</label> stand in a paragraph of the article as others do."]
+    furniture = "<div class='cookie-notice'>We use cookies on this site.</div><ol id=comments><li>I do not agree with any of this.</ol><footer>(c) us</footer>"
+    page = f"<body>{LINKS}{wrap.format(f'<h1>{texts[0]}</h1><p>{texts[1]}</p><p>{texts[2]}</p>')}{furniture}"
+    assert html_extract.main_text(page) == " ".join(texts).replace("<label>", "").replace("</label>", "")
+
+
+def test_html_furniture_goes_from_within_and_beside_an_article():
+    parts = paragraphs("body", 4)
+    inside = "<aside>Aside text</aside><div class='ad-slot'>Buy this now, it is cheap</div><form>Mail us<input></form><div class='related-posts'><a href=/>More</a></div><script>x()</script>"
+    beside = "<header><p>Site name</p></header><div role=alert>A notice to all of you</div><div class='widget sidebar'><p>Side text that goes on for a while</p></div><section class='comment-list'>" + "".join(f"<p>{t}</p>" for t in paragraphs("comment", 6)) + "</section>"
+    for sections in ("<p>{}</p><p>{}</p>IN<p>{}</p><p>{}</p>", "<section><h2>{}</h2><p>{}</p></section>IN<section><p>{}</p></section>{}"):
+        body = sections.replace("IN", inside).format(*parts)
+        assert html_extract.main_text(f"<body>{beside}<article>{body}</article>{beside}</body>") == " ".join(parts)
+
+
+def random_tree(rng, depth=0):
+    kids = [] if depth > 5 else [random_tree(rng, depth + 1) for _ in range(rng.randrange(4))]
+    tag = rng.choice(["div", "section", "p", "a", "b", "span"]) if depth else "body"
+    return tag, [w for kid in kids for w in (kid, "".join(rng.choice("xyz  ") for _ in range(rng.randrange(30))))] or ["text of a leaf"]
+
+
+def naive_counts(tree, in_link=False):
+    """Characters, tags, link characters and link tags of a tree, counted afresh for each."""
+    tag, parts = tree
+    chars = tags = links = link_tags = 0
+    for part in parts:
+        if isinstance(part, str):
+            n = len(part.replace(" ", ""))
+            chars, links = chars + n, links + n * (in_link or tag == "a")
+        else:
+            c, t, lc, lt = naive_counts(part, in_link or tag == "a")
+            chars, tags, links, link_tags = chars + c, tags + t + 1, links + lc, link_tags + lt + (part[0] == "a")
+    return chars, tags, links, link_tags
+
+
+def test_html_densities_equal_brute_force():
+    rng = random.Random(8)
+
+    def build(tree, parent=None):
+        node = html_extract.Node(tree[0], parent, 0.0)
+        node.parts = [x if isinstance(x, str) else build(x, node) for x in tree[1]]
+        return node
+
+    def naive_density(tree, body):
+        c, t, lc, lt = naive_counts(tree)
+        if not c or lc and lc >= c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + body[2] / max(1, body[0]) * c + math.e)
+        return c / max(1, t) * math.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt)) + 1e-9) / base
+
+    for _ in range(200):
+        tree = random_tree(rng)
+        body = naive_counts(tree)
+        todo = list(zip([tree], [build(tree)], strict=True))
+        html_extract.measure(todo[0][1])
+        while todo:
+            plain, node = todo.pop()
+            kids = [x for x in plain[1] if not isinstance(x, str)]
+            assert abs(node.density - naive_density(plain, body)) < 1e-9
+            assert abs(node.score - sum(naive_density(k, body) for k in kids)) < 1e-6
+            todo.extend(zip(kids, [x for x in node.parts if not isinstance(x, str)], strict=True))
+
+
+def test_html_repeated_rows_and_nulls(spark):
+    frame = spark.createDataFrame([(None, None, "<p>a b</p>", 1), (None, None, "<p>a b</p>", 1), (3, "u", None, 2)], "page_id long, url string, html string, text int")
+    assert sorted(map(tuple, html_extract.extract(frame).collect()), key=str) == [(3, "u", "", 0), (None, None, "a b", 3), (None, None, "a b", 3)]
+
+
 def test_html_deep_and_long(spark):
     deep = "<div>" * 5000 + "core text of the page" + "</div>" * 5000
     frame = pages(spark, [deep, "<p>" + "w " * 200_000, None, "<<<>>> & < b", "<a href=\"x>never closed"])
