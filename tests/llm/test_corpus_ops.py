@@ -306,7 +306,9 @@ def test_keep_one_keeps_one_of_each_group(spark):
 # --- top-k
 
 def brute_top_k(vectors, k=20):
-    whole = {i: np.floor(64 * np.array(v, float)) for i, v in vectors.items() if v and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v)}
+    sound = {i: v for i, v in vectors.items() if v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    width = max(map(len, sound.values()))
+    whole = {i: np.floor(64 * np.array(list(v) + [0.0] * (width - len(v)))) for i, v in sound.items()}
     out = []
     for q in whole:
         if q % 20 == 0:
@@ -315,21 +317,41 @@ def brute_top_k(vectors, k=20):
     return sorted(out)
 
 
-@pytest.mark.parametrize("blocks", [(1024, 16_384), (2, 50)])
-def test_top_k_equals_brute_force(spark, monkeypatch, blocks):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", blocks[0])
-    monkeypatch.setattr(topk, "ROW_BLOCK", blocks[1])
+@pytest.mark.parametrize("bounds", [(16_384, 262_144, 4096), (30, 4, 60)])
+def test_top_k_equals_brute_force(spark, monkeypatch, bounds):
+    for name, value in zip(("ROW_BLOCK", "QUERY_CHUNK", "SAMPLE"), bounds, strict=True):
+        monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(1)
     vectors = {i: (rng.normal(size=8) * rng.choice([0.1, 1, 3])).tolist() for i in range(200)}
     for i in range(60, 100):
         vectors[i] = vectors[60]
-    vectors |= {200: None, 201: [], 202: [float("nan")] * 8, 203: [None] + [1.0] * 7, 204: [float("inf")] * 8, 220: [0.0] * 8, 221: [1.0] * 3}
+    vectors |= {200: None, 201: [], 202: [float("nan")] * 8, 203: [None] + [1.0] * 7, 204: [float("inf")] * 8, 220: [0.0] * 8, 221: [1.0] * 3, 240: [2.0] * 5}
     frame = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors.items()], "vec_id long, embedding array<double>, rank int, score int")
     got = sorted(tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 20 == 0).collect())
     assert got == brute_top_k(vectors)
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_bounds_hold_and_prune():
+    """Every level bounds every score; few pairs are left where vectors have structure, and some go even where they have none."""
+    rng = np.random.default_rng(2)
+    free = np.floor(64 * rng.normal(size=(4000, 64)))
+    shaped = np.floor(64 * rng.normal(size=(4000, 6)) @ rng.normal(size=(6, 64)))
+    for rows, share in ((shaped, 0.05), (free, 0.75)):
+        turn = topk.basis(rows[:1000])
+        queries, ids = rows[:100], np.arange(4000)
+        scores = queries @ rows.T
+        for n in topk.levels(64):
+            bound = topk.statistics(queries @ turn, n) @ topk.statistics(rows @ turn, n).T
+            assert (bound >= scores - 1e-3).all()
+        block = topk.Block(rows, ids, turn)
+        found = block.best(queries, ids[:100], np.full(100, -np.inf), 20)
+        for q in range(100):
+            want = sorted((-int(scores[q, c]), c) for c in range(4000) if c != q)[:20]
+            assert [(-s, r) for i, r, s in found if i == q] == want
+        assert block.left / block.pairs < share, block.left / block.pairs
+
+
 def test_top_k_few_rows_and_large_values(spark):
     frame = spark.createDataFrame([(0, [2.0**24, 1.0]), (1, [2.0**24, 3.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
     got = [tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 20 == 0).collect()]
