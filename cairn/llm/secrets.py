@@ -165,7 +165,8 @@ def labelled_findings(spark: SparkSession, known: Vocabulary, around: list[str],
     bad = pick("y", ["", " ", "(", "commit ", "sha256 ", "checksum: ", "id=", 'version="', "see ", 'href="', "request ", "at ", "digest "])
     # Placeholders stand where secrets do, so the context alone does not decide.
     kind = F.pmod(F.xxhash64(F.lit("kind"), i), F.lit(len(harmless))).cast("int")
-    lead = F.when((kind == 7) | (kind == 8) | (kind == 12), good).otherwise(bad)
+    plain = pick("x3", ["access_key: ", "passwd=", "password: ", "secret = ", "secret: ", "token: ", "token=", "credentials: "])
+    lead = F.when((kind == 7) | (kind == 8), good).when(kind == 12, plain).otherwise(bad)
     label = F.pmod(i, F.lit(2))
     value = F.when(label == 1, F.element_at(F.array(*secret), F.pmod(F.xxhash64(F.lit("s"), i), F.lit(len(secret))).cast("int") + 1)).otherwise(F.element_at(F.array(*harmless), kind + 1))
     quoted = pick("x2", ['password = "', "passwd='", 'passphrase: "', 'PASSWORD="', 'secret = "'])  # words are a secret where somebody quotes them as one
