@@ -43,14 +43,14 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine d
 _fold = str.maketrans("013457@$!|", "oieastasil")
 _word = re.compile(r"[^\W\d_]+")
 OTHER, LETTER, ODD, SPACE = range(4)
-_PLANES = 0x20000  # code points told apart; those beyond count as letters
+_CODES = 0x110000
 
 
 @functools.cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By code point: its kind, its lower case (a space for all but letters), whether it is upper case."""
-    kind, low, upper = np.full(_PLANES + 1, OTHER, np.uint8), np.full(_PLANES + 1, 32, np.uint32), np.zeros(_PLANES + 1, bool)
-    for code in range(_PLANES):
+    kind, low, upper = np.full(_CODES, OTHER, np.uint8), np.full(_CODES, 32, np.uint32), np.zeros(_CODES, bool)
+    for code in (*range(0x40000), *range(0xE0000, 0xE0200)):  # what lies between and above is unassigned or private
         c = chr(code)
         if c.isdecimal() or c in "@$!|*._-":
             kind[code] = ODD
@@ -58,13 +58,11 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             kind[code], low[code], upper[code] = LETTER, ord(c.lower()[0]), c.isupper()
         elif c.isspace():
             kind[code] = SPACE
-    kind[_PLANES], low[_PLANES] = LETTER, 0x2A6D6
     return kind, low, upper
 
 
 def code_points(text: str) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.minimum(codes, _PLANES) if len(codes) and codes.max() > _PLANES else codes
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
 def words(text: str, codes: np.ndarray | None = None) -> tuple[list[str], int]:
@@ -84,8 +82,8 @@ def words(text: str, codes: np.ndarray | None = None) -> tuple[list[str], int]:
         start = int(spaces[k - 1]) + 1 if k else 0
         end = int(spaces[k]) if k < len(spaces) else len(text)
         out.extend(flat[done:start].split())
-        token = text[start:end].lower() if end - start <= 40 else ""
-        if token and not token.startswith(("http", "www.")):
+        token = text[start:end].lower()
+        if not token.startswith(("http", "www.")):
             plain = "".join(_word.findall(re.sub(r"[*._-]", "", token).translate(_fold)))
             if plain:
                 odd += 1
@@ -216,6 +214,7 @@ def learn_lexicon(sample: DataFrame, entries: int = LEXICON) -> list[dict[str, f
     counts = sample.select("text", "toxic", "fold").mapInArrow(count, "part string, toxic int, fold int, what int, n long")
     cell = lambda toxic, fold, what: F.sum(F.when((F.col("toxic") == toxic) & (F.col("fold") == fold) & (F.col("what") == what), F.col("n")).otherwise(0))
     table = counts.groupBy("part").agg(*[cell(t, f, w).alias(f"{('n', 't')[t]}{f}{('d', 'w')[w]}") for t in (0, 1) for f in (0, 1) for w in (0, 1)])
+    table = cut(table, "toxicity-counts")
     totals = table.where("part = ''").first()
     if totals is None:
         return [{}, {}, {}]

@@ -162,6 +162,28 @@ def test_obfuscated_words_read_as_plain():
     assert "stupid" in toxicity.words("st*u*pid")[0]
 
 
+def test_no_token_is_too_long_and_no_letter_too_rare():
+    assert "x" * 60 + "idiot" in toxicity.words("x" * 60 + "1d10t")[0]
+    assert toxicity.words("\U00020000\U00020001 \U00030000")[0] == ["\U00020000\U00020001", "\U00030000"]
+
+
+def test_drop_toxic_odd_rows(spark):
+    """Empty tables, repeated rows and clashing names; without labels nobody is toxic."""
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    frame = docs(spark, [None, "", "a b"]).union(docs(spark, ["", "a b"], first=1)).selectExpr("*", "'p' as predicted", "1 as held_out", "2 as _score", "'d' as density", "'x' as `a.b`")
+    kept = toxicity.drop_toxic(frame, none)
+    assert kept.columns == frame.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, frame.collect()), key=str)
+    assert toxicity.drop_toxic(frame.limit(0), none).count() == 0
+
+
+def test_drop_toxic_drops_planted_and_keeps_clean(spark):
+    documents, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    kept = {r.doc_id for r in toxicity.drop_toxic(documents, labels).collect()}
+    toxic, clean = [i for i in truth if truth[i]], [i for i in truth if truth[i] == 0]
+    assert sum(i not in kept for i in toxic) >= 0.7 * len(toxic) and sum(i in kept for i in clean) >= 0.99 * len(clean)
+
+
 # --- pipeline
 
 @pytest.fixture(scope="module")
