@@ -225,13 +225,16 @@ def near_duplicates(df: DataFrame, width: int = 3, radius: int = 3, id_col: str
 
 
 def keep_one(df: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df whose id names its component: one document of each group stays.
+    """One row of df for each component: the one with the smallest id (null last), then the smallest text hash.
 
-    Rows that repeat an id and its text become one; rows with a null id stay.
+    Columns of any names come back as they were; of rows equal in id and text any one stays.
     """
-    kept = near_duplicates(df, width, radius, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = df.join(kept, df[id_col] == kept["_kept"], "left_semi").withColumn("_same", F.xxhash64(text_col))
-    return named.dropDuplicates([id_col, "_same"]).drop("_same").unionByName(df.where(F.col(id_col).isNull()))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("in"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = rows.select("in", "id", F.xxhash64("text").alias("hash"), "text")
+    texts = rows.select(F.struct(F.col("id").isNull().alias("none"), "id", "hash").alias("name"), "text").groupBy("name").agg(F.min("text").alias("text"))
+    named = near_duplicates(texts, width, radius, "name", "text").where("doc_id = component_id").select("doc_id.id", "doc_id.hash").distinct()
+    kept = rows.join(named, rows["id"].eqNullSafe(named["id"]) & (rows["hash"] == named["hash"]), "left_semi")
+    return kept.dropDuplicates(["id", "hash"]).select("in.*")
 
 
 # --- near copies by the words they share
@@ -268,7 +271,7 @@ def keep_unlike(df: DataFrame, width: int = 5, least: float = 0.8, radius: int =
     to 16 may, and blocks for 16 bits (17^2 keys of 8 bits) are more work than all pairs. In each component of
     candidates, rows in the order of their ids (null last) stay unless their exact Jaccard to one that stayed
     is ``least`` or more. Rarity comes from counts of a fixed number of hash buckets. A component is one task's
-    stream; only the shingles of its rows that stay are in memory.
+    stream; only the shingles of its rows that stay are in memory. Columns of any names come back as they were.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -288,13 +291,14 @@ def keep_unlike(df: DataFrame, width: int = 5, least: float = 0.8, radius: int =
             part = at[start : start + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["bucket", "n"])
 
-    same = F.xxhash64(text_col)
-    named = cut(df.select(F.col(id_col).alias("id"), same.alias("same"), F.col(text_col).cast("binary").alias("text")).mapInArrow(name_sets, f"id {kind}, same long, node long"), "near-sets")
-    first = named.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("f")).select("node", F.col("f.id").alias("_id"), F.col("f.same").alias("_same"))
-    marked = df.withColumn("_text_hash", same)
-    rows = marked.join(first, marked[id_col].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_same"))).dropDuplicates(["node"]).drop("_id", "_same")
-    rows = cut(rows.withColumnRenamed("node", "_node"), "near-rows")
-    texts = rows.select(F.col("_node").alias("node"), F.col(text_col).cast("binary").alias("text"))
+    df_columns = [F.col(f"`{c}`") for c in df.columns]
+    marked = df.select(F.struct(*df_columns).alias("in"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("same"), F.col(f"`{text_col}`").alias("text"))
+    named = cut(marked.select("id", "same", F.col("text").cast("binary").alias("text")).mapInArrow(name_sets, f"id {kind}, same long, node long"), "near-sets")
+    first = named.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("f")).select("node", F.col("f.id").alias("first_id"), F.col("f.same").alias("first_same"))
+    rows = marked.join(first, marked["id"].eqNullSafe(F.col("first_id")) & (marked["same"] == F.col("first_same"))).dropDuplicates(["node"]).select("in", "id", "same", "node")
+    rows = cut(rows, "near-rows")
+    text_of = F.col(f"in.`{text_col}`").cast("binary").alias("text")
+    texts = rows.select("node", text_of)
 
     seen = np.zeros(BUCKETS, np.int64)
     for r in texts.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # a fixed number of rows
@@ -312,7 +316,7 @@ def keep_unlike(df: DataFrame, width: int = 5, least: float = 0.8, radius: int =
     heads = prefix.groupBy("shingle").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = prefix.join(heads, "shingle").where("a <> node").select("a", F.col("node").alias("b"))
     near = near_duplicates(texts, width, radius, "node", "text").where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
-    roots = cut(components(shared.unionByName(near).distinct()).select(F.col("node").alias("_node"), "root"), "near-roots")
+    roots = cut(components(shared.unionByName(near).distinct()).select("node", "root"), "near-roots")
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, stay, where = None, [], {}
@@ -330,9 +334,9 @@ def keep_unlike(df: DataFrame, width: int = 5, least: float = 0.8, radius: int =
                 for key in keys:
                     where.setdefault(key, []).append(len(stay))
                 stay.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["_node"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["node"])
 
-    order = rows.join(roots, "_node").select("root", "_node", F.col(text_col).cast("binary").alias("text"), F.col(id_col).alias("id"), "_text_hash")
-    order = order.repartition("root").sortWithinPartitions("root", F.asc_nulls_last("id"), "_text_hash", "_node")
-    gone = order.select("root", "_node", "text").mapInArrow(copies, "_node long")
-    return rows.join(gone, "_node", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    order = rows.join(roots, "node").select("root", "node", text_of, "id", "same")
+    order = order.repartition("root").sortWithinPartitions("root", F.asc_nulls_last("id"), "same", "node")
+    gone = order.select("root", "node", "text").mapInArrow(copies, "node long")
+    return rows.join(gone, "node", "left_anti").select("in.*")

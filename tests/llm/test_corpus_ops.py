@@ -301,6 +301,16 @@ def test_keep_one_keeps_one_of_each_group(spark):
     frame = docs(spark, texts).union(docs(spark, texts[:1]))
     assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == [0, 2, 3]
     assert simhash.keep_one(frame).columns == frame.columns
+    assert simhash.keep_one(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("keep", [simhash.keep_one, simhash.keep_unlike])
+def test_near_dedup_keeps_columns_of_any_name(spark, keep):
+    rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (4, "a b c d e f g"), (2, "other words are here to stay"), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'1' as _same", "'2' as node", "'3' as id", "'4' as same", "'5' as root", "'6' as name", "'7' as hash", "'8' as none", "'9' as in", "'x' as `a.b`", "'y' as _kept")
+    kept = keep(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id or 0, r.text or "", r._same, r.node, r.id, r.root, r["a.b"]) for r in kept.collect()) == [(0, "", "1", "2", "3", "5", "x"), (2, rows[3][1], "1", "2", "3", "5", "x"), (4, rows[0][1], "1", "2", "3", "5", "x")]
 
 
 # --- top-k
