@@ -23,7 +23,7 @@ def hex_bucket(key: Column, digits: int) -> Column:
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("int")
 
 
-def digits_for(rows: int, per_bucket: int = 20_000, most: int = 6) -> int:
+def digits_for(rows: int, per_bucket: int = 20_000, most: int = 5) -> int:
     """How many hexadecimal digits split so many rows into buckets of about per_bucket rows."""
     digits = 1
     while digits < most and rows / 16**digits > per_bucket:

@@ -7,9 +7,13 @@ cumulative demand of words. Its documents are lined up in a fixed hashed order,
 demand is inverted at the middle of each pass of a document: that instant is its training position. A
 range sort by position gives the training order.
 
+The mixed corpus has a document's text once for each pass; of the pass at which a source reaches its
+target (one a source) it has only the words that are taken, the first ones.
+
 Defined cases: a null text has size 0 and takes nothing; a null source is a source of its own, ordered
 last; a source without words has target 0; rows equal in id, source and size stand next to each other in
-an order that does not change any output; an empty table gives an empty result.
+an order that does not change any output; an empty table gives an empty result; the input may have columns
+of any names, which come back as they were.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from cairn.llm.common import digits_for, hex_bucket, word_count
 #: The weights in turn, and the schedule (at time 0, at time 1) that goes with each weight.
 WEIGHTS = (3, 1, 2)
 SCHEDULES = ((0.5, 1.5), (1.5, 0.5), (1.0, 1.0))
+BUCKET = 1000  # rows of a source's bucket, about, were all rows of one source
 
 
 def targets(sizes: DataFrame, share: float = 1.5, most: int = 2, weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES) -> DataFrame:
@@ -60,46 +65,65 @@ def invert(fraction: Column, start: Column, end: Column) -> Column:
 
 
 def positions(df: DataFrame, size: Column, share: float = 1.5, most: int = 2, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """df with struct column ``_mix``: size, source_size, target, taken, and passes: array of (pass_no, words, position)."""
-    keyed = df.withColumn("_mix_size", size).withColumn("_mix_order", F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("_mix_size")).cast("binary")))
-    keyed = keyed.withColumn("_mix_bucket", hex_bucket(F.col("_mix_order"), digits_for(df.count())))
-    held = keyed.groupBy(F.col(source_col).alias("source"), "_mix_bucket").agg(F.sum("_mix_size").alias("words"))
+    """in (a struct of df's columns), id and mix: size, source_size, target, taken, and passes: array of (pass_no, words, position)."""
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("in"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), size.alias("words"))
+    keyed = keyed.withColumn("order", F.md5(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("words")).cast("binary")))
+    keyed = keyed.withColumn("bucket", hex_bucket(F.col("order"), digits_for(df.count(), BUCKET)))
+    held = keyed.groupBy("source", "bucket").agg(F.sum("words").alias("words"))
     goal = targets(held, share, most)
-    before = Window.partitionBy("source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = held.select("source", "_mix_bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
-    starts = starts.alias("s").join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select(
-        F.col("s.source").alias("_mix_source"), F.col("s._mix_bucket").alias("_mix_b"), "start", "source_size", "from_w", "to_w", "target"
-    )
-    info = F.struct("start", "source_size", "from_w", "to_w", "target").alias("_mix_info")
-    placed = keyed.join(starts.select("_mix_source", "_mix_b", info), F.col(source_col).eqNullSafe(F.col("_mix_source")) & (F.col("_mix_bucket") == F.col("_mix_b")))
-    inside = Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_order", F.col(id_col), "_mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("_mix_start", F.col("_mix_info.start") + F.coalesce(F.sum("_mix_size").over(inside), F.lit(0)))
-    info = F.col("_mix_info")
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
+    info = F.struct("start", "source_size", "from_w", "to_w", "target").alias("info")
+    starts = starts.alias("s").join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select(F.col("s.source").alias("from_source"), F.col("s.bucket").alias("from_bucket"), info)
+    placed = keyed.join(starts, F.col("source").eqNullSafe(F.col("from_source")) & (F.col("bucket") == F.col("from_bucket")))
+    inside = Window.partitionBy("from_source", "bucket").orderBy("order", "id", "words").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("start", F.col("info.start") + F.coalesce(F.sum("words").over(inside), F.lit(0)))
+    info = F.col("info")
     goal_words = F.floor(info["target"])
 
     def one(number: int):
-        start = F.col("_mix_start") + info["source_size"] * number
-        words = F.greatest(F.lit(0).cast("long"), F.least(F.col("_mix_size"), goal_words - start))
+        start = F.col("start") + info["source_size"] * number
+        words = F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), goal_words - start))
         when = invert(F.least(F.lit(1.0), (start + words / 2) / info["target"]), info["from_w"], info["to_w"])
         return F.when(words > 0, F.struct(F.lit(number).alias("pass_no"), words.alias("words"), F.round(when, 9).alias("position")))
 
-    passes = F.filter(F.array(*[one(k) for k in range(most)]), lambda x: x.isNotNull())
-    placed = placed.withColumn("_mix_passes", passes)
-    taken = F.aggregate("_mix_passes", F.lit(0).cast("long"), lambda total, x: total + x["words"])
-    mix = F.struct(F.col("_mix_size").alias("size"), info["source_size"].alias("source_size"), info["target"].alias("target"), taken.alias("taken"), F.col("_mix_passes").alias("passes"))
-    return placed.select(*[F.col(f"`{c}`") for c in df.columns], mix.alias("_mix"))
+    placed = placed.withColumn("passes", F.filter(F.array(*[one(k) for k in range(most)]), lambda x: x.isNotNull()))
+    taken = F.aggregate("passes", F.lit(0).cast("long"), lambda total, x: total + x["words"])
+    mix = F.struct(F.col("words").alias("size"), info["source_size"].alias("source_size"), info["target"].alias("target"), taken.alias("taken"), F.col("passes").alias("passes"))
+    return placed.select("in", "id", mix.alias("mix"))
 
 
 def report(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """What the mix takes of each document: doc_id, size, source_size, target, taken, first_position (null if nothing)."""
-    narrow = docs.select("doc_id", "source", word_count(text_col).alias("_size"))
-    mixed = positions(narrow, F.col("_size"))
-    return mixed.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken", F.try_element_at("_mix.passes", F.lit(1))["position"].alias("first_position"))
+    narrow = docs.select("doc_id", "source", word_count(text_col).alias("size"))
+    mixed = positions(narrow, F.col("size"))
+    return mixed.select(F.col("id").alias("doc_id"), "mix.size", "mix.source_size", "mix.target", "mix.taken", F.try_element_at("mix.passes", F.lit(1))["position"].alias("first_position"))
+
+
+def first_words(text: Column, words: Column) -> Column:
+    """text up to the end of its word of this number. A possessive loop: no recursion, however many words."""
+    pattern = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), words.cast("string"), F.lit("}+"))
+    return F.call_function("regexp_extract", text, pattern, F.lit(0))
 
 
-def mix(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The mixed corpus in training order: the columns of docs, one row for each pass that takes words of a document."""
+def ordered(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """The mixed corpus in training order: position, pass_no, words and in (a struct of docs' columns), a row for each pass that takes words of a document."""
     mixed = positions(docs, word_count(text_col))
-    each = mixed.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("_mix.passes").alias("_pass"))
-    ordered = each.repartitionByRange(F.col("_pass.position"), F.col("doc_id")).sortWithinPartitions(F.col("_pass.position"), F.col("doc_id"))
-    return ordered.drop("_pass")
+    each = mixed.select("in", "id", "mix.size", F.explode("mix.passes").alias("pass"))
+    part = F.when(F.col("pass.words") < F.col("size"), first_words(F.col(f"in.`{text_col}`"), F.col("pass.words")))
+    each = each.withColumn("part", part)
+    columns = []
+    for c in docs.columns:
+        own = F.col(f"in.`{c}`")
+        if c == text_col:
+            own = F.coalesce("part", own)
+        elif c == length_col:
+            own = F.when(F.col("part").isNotNull(), F.length("part").cast(docs.schema[c].dataType)).otherwise(own)
+        columns.append(own.alias(c))
+    each = each.select("pass.position", "pass.pass_no", "pass.words", "id", F.struct(*columns).alias("in"))
+    return each.repartitionByRange("position", "id", "pass_no").sortWithinPartitions("position", "id", "pass_no").drop("id")
+
+
+def mix(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """The mixed corpus in training order with the columns of docs; written out, part files are in this order."""
+    return ordered(docs, text_col, length_col).select("in.*")
