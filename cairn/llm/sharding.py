@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import digits_for, hex_bucket, text_or_empty
 
+RUN = 1000
 _STEP = np.uint64(2862933555777941757)  # the multiplier of the published walk
 
 
@@ -68,5 +69,8 @@ def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "t
     starts = held.select("shard", "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("shard", "bucket").orderBy("spread", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(starts, ["shard", "bucket"]).withColumn("first", F.col("start") + F.coalesce(F.sum("copies").over(inside), F.lit(0)))
-    slot = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)).alias("slot")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot, "grown_shard")
+    # Slots of equal rows in runs of RUN, so that no array holds a hot row's copies.
+    last = F.col("first") + F.col("copies") - 1
+    runs = placed.select("doc_id", "size", "text_crc32", "shard", "grown_shard", last.alias("last"), F.explode(F.sequence("first", last, F.lit(RUN).cast("long"))).alias("from"))
+    slot = F.explode(F.sequence("from", F.least(F.col("last"), F.col("from") + RUN - 1))).alias("slot")
+    return runs.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot, "grown_shard")

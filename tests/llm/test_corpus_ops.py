@@ -401,11 +401,31 @@ def test_mixing_targets_and_bounds(spark):
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.report(docs(spark, texts, sources)).collect()), key=str)
 
 
+def test_mix_holds_what_the_report_says(spark):
+    rng = random.Random(6)
+    texts = [" \t".join(f"w{i}x{k}" for k in range(rng.choice([0, 1, 7, 300]))) + rng.choice(["", "  "]) for i in range(120)] + [None, "y " * 200_000]
+    frame = docs(spark, texts, [rng.choice(["a", "a", "b", None]) for _ in texts])
+    report = {r.doc_id: r for r in mixing.report(frame).collect()}
+    rows = mixing.ordered(frame).collect()
+    taken, places = defaultdict(int), []
+    for r in rows:
+        row = getattr(r, "in")
+        own, whole = row.text.split(), texts[row.doc_id].split()
+        assert own == whole[: len(own)] and len(own) == r.words and row.n_chars == len(row.text)
+        assert row.text == texts[row.doc_id] or len(own) < len(whole)
+        taken[row.doc_id] += len(own)
+        places.append(r.position)
+    assert places == sorted(places) and all(taken[i] == report[i].taken for i in report)
+    assert sum(taken.values()) > sum(r.size for r in report.values())
+
+
 def test_mix_orders_by_position_and_keeps_columns(spark):
-    frame = docs(spark, ["a b c", "d e", "f", "g h i j"], ["a", "a", "b", "b"])
+    names = [f"'{i}' as {c}" for i, c in enumerate(["_mix", "_pass", "_mix_source", "_mix_size", "position", "passes", "mix", "id", "words", "`in`", "part", "bucket", "`a.b`"])]
+    frame = docs(spark, ["a b c", "d e", "f", "g h i j"], ["a", "a", "b", "b"]).selectExpr("*", *names)
     out = mixing.mix(frame)
     assert out.columns == frame.columns and out.count() >= 4
-    assert mixing.report(docs(spark, [])).count() == 0
+    assert {tuple(r)[-len(names) :] for r in out.collect()} == {tuple(str(i) for i in range(len(names)))}
+    assert mixing.report(docs(spark, [])).count() == 0 and mixing.mix(frame.limit(0)).count() == 0
     assert {r.taken for r in mixing.report(docs(spark, [None, ""])).collect()} == {0}
 
 
@@ -435,3 +455,9 @@ def test_sharding_equals_brute_force(spark):
             assert (r.size, r.text_crc32) == (len(data) + 16, zlib.crc32(data))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sharding.shard(docs(spark, []), 40).count() == 0
+
+
+def test_sharding_gives_copies_slots_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    rows = sharding.shard(spark.range(100).selectExpr("5L as doc_id", "'same' as text", "id as slot"), 40).collect()
+    assert sorted(r.slot for r in rows) == list(range(100)) and len({r.shard for r in rows}) == 1
