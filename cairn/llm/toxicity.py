@@ -32,6 +32,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.operators.common import cut
 
@@ -247,20 +248,17 @@ def _with_features(df: DataFrame, lexicons: list[dict[str, float]], keep: list[s
                 yield pa.RecordBatch.from_arrays([*part.columns[2:], *(pa.array(c, pa.float64()) for c in zip(*rows, strict=True))], names=[*keep, *FEATURES])
 
     narrow = df.select("text", (F.col(which) + 1 if which else F.lit(0)).cast("int").alias("_which"), *keep)
-    kinds = [f"{c} {narrow.schema[c].dataType.simpleString()}" for c in keep]
-    return narrow.mapInArrow(work, ", ".join([*kinds, *(f"{c} double" for c in FEATURES)]))
+    return narrow.mapInArrow(work, T.StructType([*(narrow.schema[c] for c in keep), *(T.StructField(c, T.DoubleType()) for c in FEATURES)]))
 
 
-def score(docs: DataFrame, labels: DataFrame, cutoff: float = 0.7, train_rows: int = TRAIN_ROWS, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns keep), held_out, score, predicted."""
-    keep = keep or ["doc_id"]
+def judged(docs: DataFrame, labels: DataFrame, keep: list[str], cutoff: float, train_rows: int) -> DataFrame:
+    """in (a struct of the columns keep), held_out, score, predicted."""
     sample = _sample(docs, labels, train_rows)
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    named = docs.select("text", *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], held_out().alias("_held"))
-    names = [f"_k{i}" for i in range(len(keep))]
+    named = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in keep]).alias("in"), held_out().alias("held_out"))
     if len(sizes) < 2 or min(sizes.values()) < 5:
         rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
-        scored = named.withColumn("_score", F.lit(float(rate)))
+        scored = named.withColumn("raw", F.lit(float(rate)))
     else:
         lexicons = learn_lexicon(sample)
         assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
@@ -269,14 +267,18 @@ def score(docs: DataFrame, labels: DataFrame, cutoff: float = 0.7, train_rows: i
         trees = GBTClassifier(labelCol="toxic", featuresCol="_features", maxIter=20, maxDepth=3, stepSize=0.2, seed=7).fit(train.where("not calibrate"))
         chance = lambda df: trees.transform(df).withColumn("_p", vector_to_array("probability")[1])
         isotonic = IsotonicRegression(labelCol="toxic", featuresCol="_p", predictionCol="_rate").fit(chance(train.where("calibrate")).select("toxic", "_p"))
-        ready = chance(assemble.transform(_with_features(named, lexicons[:1], [*names, "_held"])))
+        ready = chance(assemble.transform(_with_features(named, lexicons[:1], ["in", "held_out"])))
         # A little of the raw probability keeps the order within a step of the isotonic map.
-        scored = isotonic.transform(ready).withColumn("_score", 0.98 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_rate"))) + 0.02 * F.col("_p"))
-    score_col = F.round("_score", 6)
-    return scored.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], F.col("_held").alias("held_out"), score_col.alias("score"), (score_col >= cutoff).cast("int").alias("predicted"))
+        scored = isotonic.transform(ready).withColumn("raw", 0.98 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_rate"))) + 0.02 * F.col("_p"))
+    score_col = F.round("raw", 6)
+    return scored.select("in", "held_out", score_col.alias("score"), (score_col >= cutoff).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, cutoff: float = 0.7) -> DataFrame:
-    """The documents that are not predicted toxic, with their columns."""
-    scored = score(docs, labels, cutoff, keep=docs.columns)
-    return scored.where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+def score(docs: DataFrame, labels: DataFrame, cutoff: float = 0.7, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    return judged(docs, labels, ["doc_id"], cutoff, train_rows).select("in.doc_id", "held_out", "score", "predicted")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, cutoff: float = 0.7, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The documents that are not predicted toxic, with their columns, whatever their names."""
+    return judged(docs, labels, docs.columns, cutoff, train_rows).where("predicted = 0").select("in.*")
