@@ -7,12 +7,15 @@ or repeated task leaves no half file behind.
 The salvage reader takes members (or uncompressed records) one after another. A record counts if its
 version line, header, length and, where it has one, block digest hold. After a failed check it searches
 for the next gzip magic or version line that starts a valid record, goes on there, and logs the bytes
-between as quarantined.
+between as quarantined. The round trip counts what it read against the manifest and fails if a record is
+missing.
+
+What is a response is decided on ids, lengths and digests; payloads are then joined to responses only.
 
 Defined cases: null content is an empty payload; equal payloads of any length, empty ones too, become one
-response and revisits to it; an empty table gives no archive and an empty result; further columns of the
-input are not read; ids must be unique integers (they name the records), and rows with a null id are left
-out, since they can't be referred to.
+response and revisits to it; of rows that share the largest id (equal rows too), the one with the largest
+address is the response and the others revisit it; a null id ranks below all others and is null again when
+read; an empty table gives no archive and an empty result; further columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -29,42 +32,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.operators.common import shared_dir
+from cairn.operators.common import cut, shared_dir
 
 VERSION = b"WARC/1.1\r\n"
 GZIP = b"\x1f\x8b\x08"
 ARCHIVE_BYTES = 8 << 20  # an archive is closed once it has so many bytes
-HEADER_BYTES = 64 << 10  # the longest header that the reader accepts
+RUN = 1000  # copies of a row that are written together
 
-RECORDS = T.StructType().add("archive", "string").add("offset", "long").add("target_uri", "string").add("record_type", "string").add("record_id", "string").add("refers_to_id", "string").add("payload_digest", "string").add("payload_length", "long").add("payload", "binary").add("gap_bytes", "long").add("reason", "string")
+RECORDS = T.StructType().add("archive", "string").add("offset", "long").add("target_uri", "string").add("record_type", "string").add("record_id", "string").add("refers_to_id", "string").add("page_id", "long").add("refers_to_page", "long").add("payload_digest", "string").add("payload_length", "long").add("payload", "binary").add("gap_bytes", "long").add("reason", "string")
 
 
 def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(number: int) -> str:
-    return f"<urn:uuid:{uuid.UUID(int=number & (2**128 - 1))}>"
-
-
-def record_number(name: str) -> int:
-    """The id in a name made by record_id()."""
-    value = uuid.UUID(name.strip("<>").rpartition(":")[2]).int
-    return value - 2**128 if value >= 2**127 else value
+def record_id(digest: str, number: int) -> str:
+    """The name of copy ``number`` of what has this hexadecimal digest of 128 bits."""
+    return f"<urn:uuid:{uuid.UUID(int=(int(digest, 16) + number) % 2**128)}>"
 
 
-def record(kind: str, number: int, uri: str, payload: bytes, digest: str, length: int, refers_to: int | None) -> bytes:
-    """One gzip member with one record. payload is the block: empty for a revisit."""
+def record(kind: str, name: str, page: int | None, uri: str, payload: bytes, digest: str, length: int, refers_to: str | None = None, refers_page: int | None = None) -> bytes:
+    """One gzip member with one record. payload is the block: empty for a revisit. page: the row's id, kept in a header of its own."""
     uri = uri.replace("\r", "%0D").replace("\n", "%0A")
     lines = [
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {record_id(number)}",
+        f"WARC-Record-ID: {name}",
         "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{sha1_base32(payload)}",
         f"X-Payload-Length: {length}",
-        *([f"WARC-Refers-To: {record_id(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if refers_to is not None else []),
+        *([f"X-Page-ID: {page}"] if page is not None else []),
+        *([f"WARC-Refers-To: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if refers_to else []),
+        *([f"X-Refers-To-Page-ID: {refers_page}"] if refers_page is not None else []),
         "Content-Type: text/html; charset=utf-8",
         f"Content-Length: {len(payload)}",
     ]
@@ -72,13 +72,28 @@ def record(kind: str, number: int, uri: str, payload: bytes, digest: str, length
     return coder.compress(VERSION + "\r\n".join(lines).encode("utf-8") + b"\r\n\r\n" + payload + b"\r\n\r\n") + coder.flush()
 
 
-def parse_plain(data: bytes, at: int) -> tuple[dict, bytes, int]:
+class Ahead:
+    """Where marks are next in data. For places that only grow each mark's search reads the data once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.seen = data, {}
+
+    def find(self, mark: bytes, at: int) -> int:
+        start, found = self.seen.get(mark, (-1, -1))
+        if not start <= at <= found:
+            found = self.data.find(mark, at)
+            found = len(self.data) if found < 0 else found
+            self.seen[mark] = (at, found)
+        return found
+
+
+def parse_plain(data: bytes, at: int, ahead: Ahead | None = None) -> tuple[dict, bytes, int]:
     """Headers, block and end of the record whose version line is at this place; ValueError if a check fails."""
     if not data.startswith(b"WARC/1.", at):
         raise ValueError("no version line")
     first = data.find(b"\r\n", at, at + 16)
-    stop = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-    if first < 0 or stop < 0:
+    stop = (ahead or Ahead(data)).find(b"\r\n\r\n", at)
+    if first < 0 or stop == len(data):
         raise ValueError("header without end")
     head = {}
     for line in data[first + 2 : stop].decode("utf-8", "replace").split("\r\n"):
@@ -98,10 +113,10 @@ def parse_plain(data: bytes, at: int) -> tuple[dict, bytes, int]:
     return head, block, end + 4
 
 
-def parse_at(data: bytes, at: int) -> tuple[dict, bytes, int]:
+def parse_at(data: bytes, at: int, ahead: Ahead | None = None) -> tuple[dict, bytes, int]:
     """The record at this place, in a gzip member or plain."""
     if not data.startswith(GZIP, at):
-        return parse_plain(data, at)
+        return parse_plain(data, at, ahead)
     inflate, view, parts, end = zlib.decompressobj(31), memoryview(data), [], at
     while not inflate.eof and end < len(data):  # in slices, so that what follows the member is not copied
         piece = view[end : end + (16 << 10)]
@@ -122,21 +137,21 @@ def parse_at(data: bytes, at: int) -> tuple[dict, bytes, int]:
 
 def salvage(data: bytes) -> Iterator[tuple[int, dict | None, bytes, int, str]]:
     """(offset, headers, block, 0, '') for each record; (offset, None, b'', bytes, reason) for each quarantined gap."""
-    at, size = 0, len(data)
+    at, size, ahead = 0, len(data), Ahead(data)
     while at < size:
         try:
-            head, block, end = parse_at(data, at)
+            head, block, end = parse_at(data, at, ahead)
         except ValueError as error:
-            reason, look = str(error), at + 1
+            reason, found = str(error), at
             while True:
-                found = min((x for x in (data.find(GZIP, look), data.find(b"WARC/1.", look)) if x >= 0), default=size)
+                found = min(ahead.find(GZIP, found + 1), ahead.find(b"WARC/1.", found + 1))
                 if found == size:
                     break
                 try:
-                    parse_at(data, found)
+                    parse_at(data, found, ahead)
                     break
                 except ValueError:
-                    look = found + 1
+                    pass
             yield at, None, b"", found - at, reason
             at = found
         else:
@@ -145,15 +160,29 @@ def salvage(data: bytes) -> Iterator[tuple[int, dict | None, bytes, int, str]]:
 
 
 def plan_records(df: DataFrame, id_col: str, uri_col: str, content_col: str, min_bytes: int) -> DataFrame:
-    """id, uri, payload, length, digest, refers_to (null for a response): equal payloads refer to the largest id."""
+    """name, first, number, id, uri, payload, length, hash, refers_to, refers_page: records ``first`` to ``first + number - 1`` of a row (refers_to null for a response)."""
     payload = F.coalesce(F.col(content_col), F.lit("")).cast("binary")
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(uri_col), F.lit("")).alias("uri"), payload.alias("payload"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(uri_col), F.lit("")).alias("uri"), payload.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("length"), F.sha1("payload").alias("hash"))
-    latest = rows.select("hash", "length", "id").where(F.col("length") >= min_bytes).groupBy(F.col("hash").alias("_hash"), F.col("length").alias("_length")).agg(F.max("id").alias("_latest"))
-    joined = rows.join(latest, (F.col("hash") == F.col("_hash")) & (F.col("length") == F.col("_length")), "left")
-    refers = F.when(F.col("_latest") != F.col("id"), F.col("_latest"))
-    # A revisit carries no block, so its payload need not go to the writer.
-    return joined.select("id", "uri", F.when(refers.isNull(), F.col("payload")).alias("payload"), "length", "hash", refers.alias("refers_to"))
+    rows = rows.withColumn("name", F.md5(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("null")), "length", "hash", "uri").cast("binary")))
+    each = rows.groupBy("name", "id", "uri", "length", "hash").agg(F.count("*").alias("copies"))
+    rank = F.struct(F.col("id").isNotNull().alias("has"), "id", "uri", "name")
+    latest = each.where(F.col("length") >= min_bytes).groupBy("hash", "length").agg(F.max(rank).alias("latest"))
+    decided = each.join(latest, ["hash", "length"], "left")
+    alone = F.col("latest").isNull()
+    refers = F.when(~alone, F.col("latest.name")).alias("refers_to"), F.when(~alone, F.col("latest.id")).alias("refers_page")
+    responses = F.when(alone, F.col("copies")).when(F.col("latest.name") == F.col("name"), 1).otherwise(0)
+    decided = decided.select("name", "id", "uri", "length", "hash", "copies", responses.alias("responses"), *refers)
+    run = lambda start, count: F.explode(F.sequence(start, start + count - 1, F.lit(RUN).cast("long"))).alias("first")
+    number = lambda end: F.least(F.lit(RUN), end - F.col("first")).cast("int").alias("number")
+    zero, none = F.lit(0).cast("long"), F.lit(None)
+    shown = ["name", "first", "number", "id", "uri", "payload", "length", "hash", "refers_to", "refers_page"]
+    whole = rows.groupBy("name").agg(F.first("payload").alias("payload"))  # equal rows become one before they are shuffled
+    first = decided.where("responses > 0").select("name", "id", "uri", "length", "hash", "responses", run(zero, F.col("responses")), none.cast("string").alias("refers_to"), none.cast("long").alias("refers_page"))
+    first = first.withColumn("number", number(F.col("responses"))).join(whole, "name").select(*shown)
+    again = decided.where("copies > responses").select("*", run(F.col("responses").cast("long"), F.col("copies") - F.col("responses")))
+    again = again.withColumn("number", number(F.col("copies"))).withColumn("payload", none.cast("binary")).select(*shown)
+    return first.unionByName(again.repartition("name", "first"))
 
 
 def write(df: DataFrame, folder: str, id_col: str = "page_id", uri_col: str = "url", content_col: str = "html", min_bytes: int = 0) -> DataFrame:
@@ -172,18 +201,19 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", uri_col: str = "u
 
         for batch in batches:
             for i in range(batch.num_rows):
-                number, uri, payload, length, digest, refers = (batch.column(k)[i].as_py() for k in range(6))
-                if out is None:
-                    name, size, count = f"{mark}-{len(part):05d}.warc.gz", 0, 0
-                    out = files.open_output_stream(f"{base}/{name}.open")
-                    part.append(name)
-                kind = "response" if refers is None else "revisit"
-                member = record(kind, number, uri, payload or b"", base64.b32encode(bytes.fromhex(digest)).decode(), length, refers)
-                out.write(member)
-                size, count = size + len(member), count + 1
-                if size >= ARCHIVE_BYTES:
-                    yield close()
-                    out = None
+                own, first, number, page, uri, payload, length, digest, refers, refers_page = (batch.column(k)[i].as_py() for k in range(10))
+                kind, digest = "response" if refers is None else "revisit", base64.b32encode(bytes.fromhex(digest)).decode()
+                for copy in range(first, first + number):
+                    if out is None:
+                        name, size, count = f"{mark}-{len(part):05d}.warc.gz", 0, 0
+                        out = files.open_output_stream(f"{base}/{name}.open")
+                        part.append(name)
+                    member = record(kind, record_id(own, copy), page, uri, payload or b"", digest, length, record_id(refers, 0) if refers else None, refers_page)
+                    out.write(member)
+                    size, count = size + len(member), count + 1
+                    if size >= ARCHIVE_BYTES:
+                        yield close()
+                        out = None
         if out is not None:
             yield close()
 
@@ -201,11 +231,12 @@ def read(spark: SparkSession, folder: str, archives: DataFrame | None = None) ->
                 name, data, rows, held = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), [], 0
                 for offset, head, block, gap, reason in salvage(data):
                     if head is None:
-                        rows.append((name, offset, None, None, None, None, None, None, None, gap, reason))
+                        rows.append((name, offset, *[None] * 9, gap, reason))
                     else:
                         length = head.get("x-payload-length", str(len(block)))
                         digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
-                        rows.append((name, offset, head.get("warc-target-uri"), head["warc-type"], head.get("warc-record-id"), head.get("warc-refers-to"), digest, int(length) if length.isdigit() else None, block, 0, None))
+                        pages = (int(x) if x.lstrip("-").isdigit() else None for x in (head.get("x-page-id", ""), head.get("x-refers-to-page-id", "")))
+                        rows.append((name, offset, head.get("warc-target-uri"), head["warc-type"], head.get("warc-record-id"), head.get("warc-refers-to"), *pages, digest, int(length) if length.isdigit() else None, block, 0, None))
                         held += len(block)
                     if held > 8 << 20:
                         yield as_batch(rows)
@@ -213,7 +244,7 @@ def read(spark: SparkSession, folder: str, archives: DataFrame | None = None) ->
                 if rows:
                     yield as_batch(rows)
 
-    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
 
     def as_batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), types, strict=True)], names=RECORDS.names)
@@ -230,24 +261,33 @@ def round_trip(df: DataFrame, id_col: str = "page_id", uri_col: str = "url", con
     """Write the archives, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to, checked.
 
     Length and digest of a response are taken from the block that was read; those of a revisit are what its
-    header says of the full payload. checked: the response's digest is the one in its header.
+    header says of the full payload. checked: the response's digest is the one in its header. An error if a
+    record that was written is not read.
     """
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     manifest = write(df, folder, id_col, uri_col, content_col)
-    back = read(spark, folder, manifest)
+    found = cut(digests(read(spark, folder, manifest)), "warc-records")
+    written, there = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], found.count()
+    if written != there:
+        raise RuntimeError(f"{written} records were written and {there} read; read() tells the quarantined gaps")
+    return found
+
 
-    def digest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def digests(records: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, checked of the records of read()."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):
-                name, kind, refers, digest, length, block = (batch.column(k)[i].as_py() for k in range(6))
+                page, kind, refers, digest, length, block = (batch.column(k)[i].as_py() for k in range(6))
                 own = sha1_base32(block)
                 is_response = kind == "response"
-                rows.append((record_number(name), len(block) if is_response else length, own if is_response else digest, kind, record_number(refers) if refers else None, not is_response or own == digest))
+                rows.append((page, len(block) if is_response else length, own if is_response else digest, kind, None if is_response else refers, not is_response or own == digest))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()), strict=True)], names=names)
 
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "checked"]
-    records = back.where(F.col("record_type").isNotNull()).select("record_id", "record_type", "refers_to_id", "payload_digest", "payload_length", "payload")
-    return records.mapInArrow(digest_of, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, checked boolean")
+    narrow = records.where(F.col("record_type").isNotNull()).select("page_id", "record_type", "refers_to_page", "payload_digest", "payload_length", "payload")
+    return narrow.mapInArrow(work, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, checked boolean")
