@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import bpe, html_extract, mixing, secrets, sharding, simhash, topk, toxicity, ts_media, warc
+from cairn.operators.common import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +23,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ts_media.inspect(ts_media.store(_table(spark, sf_dir, "documents"))).drop("timestamps", "random_access")
+    return ts_media.inspect(cut(ts_media.store(_table(spark, sf_dir, "documents")), "media"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,59 @@ def test_transport_stream_round_trip(spark):
     assert ts_media.inspect(ts_media.store(docs(spark, []))).count() == 0
 
 
+def plain_parse(stream):
+    """Payload, timestamps and random-access flags of a stream, packet by packet after the published layout."""
+    pmt_pid = data_pid = None
+    units, times, flags, counter = [], [], [], None
+    for at in range(0, len(stream), 188):
+        packet = stream[at : at + 188]
+        assert packet[0] == 0x47
+        start, pid = packet[1] >> 6 & 1, (packet[1] & 31) << 8 | packet[2]
+        body, flag = packet[4:], 0
+        if packet[3] >> 5 & 1:
+            flag = packet[5] >> 6 & 1 if packet[4] else 0
+            body = packet[5 + packet[4] :]
+        assert packet[3] >> 4 & 1
+        if pid in (0, pmt_pid):
+            section = body[1 + body[0] :]
+            length = (section[1] & 15) << 8 | section[2]
+            crc = 0xFFFFFFFF
+            for byte in section[: 3 + length]:
+                for bit in range(7, -1, -1):
+                    top = crc >> 31 ^ byte >> bit & 1
+                    crc = (crc << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if top else 0)
+            assert crc == 0
+            if pid == 0:
+                pmt_pid = (section[10] & 31) << 8 | section[11]
+            else:
+                data_pid = (section[13] & 31) << 8 | section[14]
+        elif pid == data_pid:
+            assert counter is None or packet[3] & 15 == (counter + 1) % 16
+            counter = packet[3] & 15
+            if start:
+                units.append(b"")
+                flags.append(flag)
+            units[-1] += body
+    out = b""
+    for unit in units:
+        assert unit[:4] == b"\x00\x00\x01\xbd" and len(unit) == 6 + int.from_bytes(unit[4:6], "big") and unit[7] >> 6 == 2
+        pts = unit[9:14]
+        assert pts[0] >> 4 == 2 and pts[0] & pts[2] & pts[4] & 1
+        times.append((pts[0] >> 1 & 7) << 30 | pts[1] << 22 | pts[2] >> 1 << 15 | pts[3] << 7 | pts[4] >> 1)
+        out += unit[9 + unit[8] :]
+    return out, times, flags
+
+
+def test_transport_stream_read_by_a_plain_parser(spark):
+    texts = ["", "a", "z" * 12289, "words and words " * 9000]
+    for r in ts_media.store(docs(spark, texts)).collect():
+        payload = ts_media.pad(texts[r.doc_id].encode())
+        got, times, flags = plain_parse(bytes(r.media))
+        assert got == payload and times == [3003 * k for k in range(len(times))] and all(flags)
+        seen = ts_media.inspect(spark.createDataFrame([r])).first()
+        assert seen.media_sha256 == hashlib.sha256(r.media).hexdigest() and seen.feature.startswith(f"packets={len(r.media) // 188};units={len(times)};random_access={len(times)};breaks=0;last_pts={times[-1]};")
+
+
 def test_transport_stream_sees_damage():
     stream = bytearray(ts_media.mux(ts_media.pad(b"q" * 50_000)))
     lost = bytes(stream[: 188 * 20] + stream[188 * 21 :])
@@ -103,18 +156,57 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
 
 
+def test_warc_null_and_repeated_rows(spark):
+    rows = [(None, "u", "x"), (7, "a", "x"), (7, "b", "x"), (7, "b", "x"), (3, "c", "x"), (None, "u", "only null"), (None, "u", "only null"), (5, "long" * 50_000, "y")]
+    frame = spark.createDataFrame([(i, u, h, 0) for i, u, h in rows], "page_id long, url string, html string, copies int")
+    got = sorted(((r.page_id or -1, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(frame).collect()), key=str)
+    assert got == sorted([(-1, 1, "revisit", 7), (7, 1, "revisit", 7), (7, 1, "response", None), (7, 1, "revisit", 7), (3, 1, "revisit", 7), (-1, 9, "response", None), (-1, 9, "revisit", None), (5, 1, "response", None)], key=str)
+
+
+def test_warc_copies_are_written_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RUN", 3)
+    rows = warc.round_trip(spark.range(10).selectExpr("1L as page_id", "'u' as url", "'same' as html")).collect()
+    assert sorted(r.record_type for r in rows) == ["response"] + ["revisit"] * 9 and {r.refers_to for r in rows} == {1, None}
+
+
+def warc_members(count):
+    payloads = [f"payload {i} ".encode() * 50 for i in range(count)]
+    return payloads, [warc.record("response", warc.record_id("0", i), i, f"http://x/{i}", p, warc.sha1_base32(p), len(p)) for i, p in enumerate(payloads)]
+
+
 def test_warc_salvage_skips_damage():
-    payloads = [f"payload {i} ".encode() * 50 for i in range(6)]
-    members = [warc.record("response", i, f"http://x/{i}", p, warc.sha1_base32(p), len(p), None) for i, p in enumerate(payloads)]
+    payloads, members = warc_members(6)
     broken = bytearray(members[2])
     broken[40] ^= 0xFF
     plain = gzip.decompress(members[4])
     data = members[0] + b"junk" + members[1] + bytes(broken) + members[3][:60] + plain + members[5]
     seen = list(warc.salvage(data))
-    assert [warc.record_number(h["warc-record-id"]) for _, h, _, _, _ in seen if h] == [0, 1, 4, 5]
+    assert [int(h["x-page-id"]) for _, h, _, _, _ in seen if h] == [0, 1, 4, 5]
     gaps = [(at, size) for at, h, _, size, _ in seen if h is None]
     assert gaps == [(len(members[0]), 4), (len(members[0]) + 4 + len(members[1]), len(broken) + 60)]
-    assert all(b == payloads[warc.record_number(h["warc-record-id"])] for _, h, b, _, _ in seen if h)
+    assert all(b == payloads[int(h["x-page-id"])] for _, h, b, _, _ in seen if h)
+
+
+def test_warc_salvage_takes_long_headers_and_many_false_starts():
+    _, members = warc_members(2)
+    long_uri = warc.record("response", warc.record_id("9", 0), 9, "http://x/" + "y" * 300_000, b"z", warc.sha1_base32(b"z"), 1)
+    junk = b"WARC/1.1\r\nno colon " * 50_000  # each looks like a version line
+    seen = list(warc.salvage(members[0] + junk + long_uri + members[1]))
+    assert [(h["x-page-id"] if h else size) for _, h, _, size, _ in seen] == ["0", len(junk), "9", "1"]
+
+
+def test_warc_damaged_archives_lose_only_what_is_damaged(spark, tmp_path):
+    frame = pages(spark, [f"<p>page {i} of many</p>" * 20 for i in range(60)])
+    manifest = warc.write(frame, str(tmp_path / "w"))
+    names = sorted(r.archive for r in manifest.collect())
+    path = tmp_path / "w" / names[0]
+    data = bytearray(path.read_bytes())
+    data[len(data) // 2] ^= 0x55
+    path.write_bytes(bytes(data))
+    back = warc.read(spark, str(tmp_path / "w"), manifest).collect()
+    lost = [r for r in back if r.record_type is None]
+    assert len(lost) == 1 and lost[0].gap_bytes > 0 and lost[0].reason
+    assert len({r.page_id for r in back if r.record_type}) == 59
 
 
 # --- HTML
