@@ -10,6 +10,7 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cairn.llm import bpe, mixing, secrets, simhash, toxicity
 from cairn.operators.common import shared_dir
@@ -32,7 +33,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """doc_id, n_tokens, ids and the digests of ids and of the bytes they decode to."""
+    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids_digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return coded.select("doc_id", "n_tokens", "ids", ids_digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
