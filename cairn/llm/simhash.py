@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.common import cut
@@ -240,6 +240,7 @@ def keep_one(df: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_
 # --- near copies by the words they share
 
 BUCKETS = 1 << 18
+PAIRS_A_TASK = 4096  # of one leader, in a group
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -264,14 +265,18 @@ def rare_prefix(shingles: np.ndarray, seen: np.ndarray, least: float) -> np.ndar
 
 
 def keep_unlike(df: DataFrame, width: int = 5, least: float = 0.8, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of df of which no two have a Jaccard of ``least`` or more over shingles of ``width`` words; each row left out has it with one that stays.
+    """Rows of df of which no two have a Jaccard of ``least`` or more over shingles of ``width`` words; from each row left out a chain of such pairs leads to one that stays.
 
     Candidates: what the BK-trees link within the radius, and all texts that share one of their rarest
     shingles (rare_prefix). The latter finds every pair: at a Jaccard of 0.8 about 10 of 64 bits differ and up
-    to 16 may, and blocks for 16 bits (17^2 keys of 8 bits) are more work than all pairs. In each component of
-    candidates, rows in the order of their ids (null last) stay unless their exact Jaccard to one that stayed
-    is ``least`` or more. Rarity comes from counts of a fixed number of hash buckets. A component is one task's
-    stream; only the shingles of its rows that stay are in memory. Columns of any names come back as they were.
+    to 16 may, and blocks for 16 bits (17^2 keys of 8 bits) are more work than all pairs. Rarity comes from
+    counts of a fixed number of hash buckets.
+
+    Rows that share a shingle are not paired with each other but with the first of them, in the order of their
+    ids (null last); a row whose exact Jaccard to it is ``least`` or more goes, at once for all shingles, and
+    the first is done. So a group of copies costs a pair a row. What is left, texts that share a rare shingle
+    and are unlike, goes on with the next 8, 64, ... of each shingle until none is left. Texts meet in groups
+    of one leader and at most PAIRS_A_TASK others, as a stream. Columns of any names come back as they were.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -295,48 +300,71 @@ def keep_unlike(df: DataFrame, width: int = 5, least: float = 0.8, radius: int =
     marked = df.select(F.struct(*df_columns).alias("in"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("same"), F.col(f"`{text_col}`").alias("text"))
     named = cut(marked.select("id", "same", F.col("text").cast("binary").alias("text")).mapInArrow(name_sets, f"id {kind}, same long, node long"), "near-sets")
     first = named.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("f")).select("node", F.col("f.id").alias("first_id"), F.col("f.same").alias("first_same"))
-    rows = marked.join(first, marked["id"].eqNullSafe(F.col("first_id")) & (marked["same"] == F.col("first_same"))).dropDuplicates(["node"]).select("in", "id", "same", "node")
+    rows = marked.join(first, marked["id"].eqNullSafe(F.col("first_id")) & (marked["same"] == F.col("first_same"))).dropDuplicates(["node"]).select("in", "id", "node")
     rows = cut(rows, "near-rows")
-    text_of = F.col(f"in.`{text_col}`").cast("binary").alias("text")
-    texts = rows.select("node", text_of)
+    texts = rows.select("node", F.col(f"in.`{text_col}`").cast("binary").alias("text"), "id")
 
     seen = np.zeros(BUCKETS, np.int64)
-    for r in texts.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # a fixed number of rows
+    for r in texts.select("node", "text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # a fixed number of rows
         seen[r["bucket"]] = r["n"]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                found = [rare_prefix(shingle_set(t.as_py(), width), seen, least) for t in part.column(1)]
-                nodes = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(nodes)], names=["shingle", "node"])
-
-    prefix = cut(texts.mapInArrow(prefixes, "shingle long, node long"), "near-prefixes")
-    heads = prefix.groupBy("shingle").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = prefix.join(heads, "shingle").where("a <> node").select("a", F.col("node").alias("b"))
-    near = near_duplicates(texts, width, radius, "node", "text").where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
-    roots = cut(components(shared.unionByName(near).distinct()).select("node", "root"), "near-roots")
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                sets = [shingle_set(t.as_py(), width) for t in part.column(1)]
+                found = [rare_prefix(own, seen, least) for own in sets]
+                of = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                sizes = np.array([len(own) for own in sets], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), part.column(2).take(pa.array(of)), part.column(0).take(pa.array(of)), pa.array(sizes[of])], names=["shingle", "id", "node", "size"])
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, stay, where = None, [], {}
+        leader = None
         for batch in batches:
             out = []
-            for root, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if root != group:
-                    group, stay, where = root, [], {}
+            for leads, node, text in zip(*(batch.column(k) for k in (2, 3, 4)), strict=True):
                 own = shingle_set(text.as_py(), width)
-                keys = rare_prefix(own, seen, least).tolist()
-                others = {k for key in keys for k in where.get(key, ())}
-                if any(jaccard(own, stay[k]) >= least for k in others if least * len(own) <= len(stay[k]) + 1e-9 and least * len(stay[k]) <= len(own) + 1e-9):
-                    out.append(node)
-                    continue
-                for key in keys:
-                    where.setdefault(key, []).append(len(stay))
-                stay.append(own)
+                if leads.as_py():
+                    leader = own
+                elif min(len(own), len(leader)) >= least * max(len(own), len(leader)) - 1e-9 and jaccard(own, leader) >= least:
+                    out.append(node.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["node"])
 
-    order = rows.join(roots, "node").select("root", "node", text_of, "id", "same")
-    order = order.repartition("root").sortWithinPartitions("root", F.asc_nulls_last("id"), "same", "node")
-    gone = order.select("root", "node", "text").mapInArrow(copies, "node long")
+    def like(pairs: DataFrame) -> DataFrame:
+        """node: the b of pairs (a, b) that are near. A leader with many others leads several groups."""
+        pairs = cut(pairs.where("a <> b").distinct(), "near-pairs")
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_TASK).cast("int").alias("parts"))
+        led = parts.join(texts, parts["a"] == texts["node"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("leads"), "node", "text")
+        other = pairs.join(parts, "a").join(texts, F.col("b") == texts["node"]).select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(False).alias("leads"), "node", "text")
+        both = led.unionByName(other).repartition("a", "part").sortWithinPartitions("a", "part", F.desc("leads"))
+        return cut(both.mapInArrow(copies, "node long").distinct(), "near-gone")
+
+    line = Window.partitionBy("shingle").orderBy(F.asc_nulls_last("id"), "node")
+
+    def shared(members: DataFrame) -> DataFrame:
+        """members of shingles that others have too."""
+        met = members.withColumn("met", F.coalesce(F.lag("node").over(line), F.lead("node").over(line)).isNotNull())
+        return cut(met.where("met").drop("met"), "near-members")
+
+    prints = fingerprints(texts, width, "node", "text").select(F.col("doc_id").alias("node"), "fp").join(texts.select("node", "id"), "node")
+    prints = cut(prints, "fingerprints")
+    head = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("head"))
+    near = links(head.select("fp"), radius)
+    a, b = head.select(F.col("fp").alias("a"), F.col("head").alias("x")), head.select(F.col("fp").alias("b"), F.col("head").alias("y"))
+    linked = near.join(a, "a").join(b, "b").select(F.least("x", "y")["node"].alias("a"), F.greatest("x", "y")["node"].alias("b"))
+    linked = linked.unionByName(prints.join(head, "fp").select(F.col("head.node").alias("a"), F.col("node").alias("b")))
+
+    members = shared(texts.select("node", "text", "id").mapInArrow(prefixes, f"shingle long, id {kind}, node long, size int"))
+    gone, leaders = None, 1
+    while True:
+        placed = members.withColumn("at", F.row_number().over(line))
+        heads = placed.where(F.col("at") <= leaders).select("shingle", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("at").alias("a_at"))
+        sizes = F.least("size", "a_size") >= F.greatest("size", "a_size") * least - 1e-9
+        pairs = placed.join(heads, "shingle").where((F.col("a_at") < F.col("at")) & sizes).select("a", F.col("node").alias("b"))
+        new = like(pairs if gone is not None else pairs.unionByName(linked))
+        gone = new if gone is None else gone.unionByName(new)
+        members = shared(placed.where(F.col("at") > leaders).drop("at").join(new, "node", "left_anti").select("shingle", "id", "node", "size"))
+        if not members.take(1):
+            break
+        leaders *= 8
     return rows.join(gone, "node", "left_anti").select("in.*")

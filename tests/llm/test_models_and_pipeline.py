@@ -256,9 +256,33 @@ def test_near_dedup_leaves_no_near_pair_of_the_documents(spark):
     for i in kept:
         for s in sets[i]:
             by_shingle.setdefault(s, set()).add(i)
+    for i in kept:
+        others = set().union(*(by_shingle.get(s, ()) for s in sets[i])) - {i} if sets[i] else stay - {i}
+        assert not any(alike(sets[i], sets[k]) >= 0.8 for k in others), i
+    every = {}
     for i, own in sets.items():
-        others = set().union(*(by_shingle.get(s, ()) for s in own)) - {i} if own else stay - {i}
-        assert any(alike(own, sets[k]) >= 0.8 for k in others) != (i in stay), i
+        for s in own:
+            every.setdefault(s, set()).add(i)
+    reached, todo = set(kept), list(kept)
+    while todo:  # what chains of near pairs reach from the kept
+        i = todo.pop()
+        for k in set().union(*(every[s] for s in sets[i])) - reached if sets[i] else ():
+            if alike(sets[i], sets[k]) >= 0.8:
+                reached.add(k)
+                todo.append(k)
+    assert all(i in reached or not sets[i] for i in sets)
+
+
+def test_near_dedup_of_a_large_group_and_of_unlike_rows_that_share_a_passage(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS_A_TASK", 16)
+    rng = random.Random(7)
+    common = [f"c{k}" for k in range(40)]
+    unlike = [" ".join(common + [f"u{rng.randrange(10**6)}" for _ in range(15)]) for _ in range(60)]  # Jaccard 0.5 or so
+    core = [f"w{k}" for k in range(200)]
+    group = [" ".join(core[:at] + [f"e{k}"] + core[at + 1 :]) for k, at in enumerate(rng.choices(range(200), k=150))]
+    table = docs(spark, group + unlike)
+    kept = [r.doc_id for r in simhash.keep_unlike(table).collect()]
+    assert sorted(kept)[0] == 0 and {i for i in kept if i >= 150} == set(range(150, 210)) and sum(i < 150 for i in kept) == 1
 
 
 def test_near_dedup_odd_rows(spark):
