@@ -3,25 +3,55 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, as the cluster names it; a default only where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/cairn-checkpoints"
+    """The folder all executors see, as the cluster names it. Only a local session has a default."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = "/tmp/cairn-checkpoints"
     return f"{where.rstrip('/')}/cairn"
 
 
+_scopes: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of an iteration: write df to the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for scope in _scopes:
+        scope.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete at the end what is cut inside, but for what the function that this gives has cut: the results."""
+    mine: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = cut(df, name)
+        mine.pop()
+        return out
+
+    _scopes.append(mine)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(mine)
+        for path in mine:
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is anything at a path of any store that Spark reads."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
