@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.common import cut
+from cairn.operators.common import cut, scratch
 from cairn.operators.graph import components
 
 SEED, BITS = 42, 64
@@ -280,11 +280,9 @@ def keep_unlike(df: DataFrame, width: int = 5, least: float = 0.8, radius: int =
     """
     kind = df.schema[id_col].dataType.simpleString()
 
-    def name_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = (xxhash.xxh64_intdigest(shingle_set(t.as_py(), width).tobytes(), SEED) for t in batch.column(2))
-            names = np.fromiter(names, np.uint64, batch.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names)], names=["id", "same", "node"])
+    @F.pandas_udf("long")
+    def name_of(text: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter((xxhash.xxh64_intdigest(shingle_set(t, width).tobytes(), SEED) for t in text), np.uint64, len(text)).view(np.int64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
@@ -296,12 +294,9 @@ def keep_unlike(df: DataFrame, width: int = 5, least: float = 0.8, radius: int =
             part = at[start : start + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["bucket", "n"])
 
-    df_columns = [F.col(f"`{c}`") for c in df.columns]
-    marked = df.select(F.struct(*df_columns).alias("in"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("same"), F.col(f"`{text_col}`").alias("text"))
-    named = cut(marked.select("id", "same", F.col("text").cast("binary").alias("text")).mapInArrow(name_sets, f"id {kind}, same long, node long"), "near-sets")
-    first = named.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("f")).select("node", F.col("f.id").alias("first_id"), F.col("f.same").alias("first_same"))
-    rows = marked.join(first, marked["id"].eqNullSafe(F.col("first_id")) & (marked["same"] == F.col("first_same"))).dropDuplicates(["node"]).select("in", "id", "node")
-    rows = cut(rows, "near-rows")
+    marked = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("in"), F.col(f"`{id_col}`").alias("id"), name_of(F.col(f"`{text_col}`").cast("binary")).alias("node"))
+    order = F.struct(F.col("id").isNull(), "id", F.xxhash64(F.col(f"in.`{text_col}`")))
+    rows = cut(marked.groupBy("node").agg(F.min_by("in", order).alias("in"), F.min("id").alias("id")), "near-rows")
     texts = rows.select("node", F.col(f"in.`{text_col}`").cast("binary").alias("text"), "id")
 
     seen = np.zeros(BUCKETS, np.int64)
@@ -346,25 +341,27 @@ def keep_unlike(df: DataFrame, width: int = 5, least: float = 0.8, radius: int =
         met = members.withColumn("met", F.coalesce(F.lag("node").over(line), F.lead("node").over(line)).isNotNull())
         return cut(met.where("met").drop("met"), "near-members")
 
-    prints = fingerprints(texts, width, "node", "text").select(F.col("doc_id").alias("node"), "fp").join(texts.select("node", "id"), "node")
-    prints = cut(prints, "fingerprints")
-    head = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("head"))
-    near = links(head.select("fp"), radius)
-    a, b = head.select(F.col("fp").alias("a"), F.col("head").alias("x")), head.select(F.col("fp").alias("b"), F.col("head").alias("y"))
-    linked = near.join(a, "a").join(b, "b").select(F.least("x", "y")["node"].alias("a"), F.greatest("x", "y")["node"].alias("b"))
-    linked = linked.unionByName(prints.join(head, "fp").select(F.col("head.node").alias("a"), F.col("node").alias("b")))
-
-    members = shared(texts.select("node", "text", "id").mapInArrow(prefixes, f"shingle long, id {kind}, node long, size int"))
-    gone, leaders = None, 1
-    while True:
-        placed = members.withColumn("at", F.row_number().over(line))
-        heads = placed.where(F.col("at") <= leaders).select("shingle", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("at").alias("a_at"))
-        sizes = F.least("size", "a_size") >= F.greatest("size", "a_size") * least - 1e-9
-        pairs = placed.join(heads, "shingle").where((F.col("a_at") < F.col("at")) & sizes).select("a", F.col("node").alias("b"))
-        new = like(pairs if gone is not None else pairs.unionByName(linked))
-        gone = new if gone is None else gone.unionByName(new)
-        members = shared(placed.where(F.col("at") > leaders).drop("at").join(new, "node", "left_anti").select("shingle", "id", "node", "size"))
-        if not members.take(1):
-            break
-        leaders *= 8
+    with scratch(df.sparkSession) as keep:
+        prints = fingerprints(texts, width, "node", "text").select(F.col("doc_id").alias("node"), "fp").join(texts.select("node", "id"), "node")
+        prints = cut(prints, "fingerprints")
+        head = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("head"))
+        near = links(head.select("fp"), radius)
+        a, b = head.select(F.col("fp").alias("a"), F.col("head").alias("x")), head.select(F.col("fp").alias("b"), F.col("head").alias("y"))
+        linked = near.join(a, "a").join(b, "b").select(F.least("x", "y")["node"].alias("a"), F.greatest("x", "y")["node"].alias("b"))
+        linked = linked.unionByName(prints.join(head, "fp").select(F.col("head.node").alias("a"), F.col("node").alias("b")))
+
+        members = shared(texts.select("node", "text", "id").mapInArrow(prefixes, f"shingle long, id {kind}, node long, size int"))
+        gone, leaders = None, 1
+        while True:
+            placed = members.withColumn("at", F.row_number().over(line))
+            heads = placed.where(F.col("at") <= leaders).select("shingle", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("at").alias("a_at"))
+            sizes = F.least("size", "a_size") >= F.greatest("size", "a_size") * least - 1e-9
+            pairs = placed.join(heads, "shingle").where((F.col("a_at") < F.col("at")) & sizes).select("a", F.col("node").alias("b"))
+            new = like(pairs if gone is not None else pairs.unionByName(linked))
+            gone = new if gone is None else gone.unionByName(new)
+            members = shared(placed.where(F.col("at") > leaders).drop("at").join(new, "node", "left_anti").select("shingle", "id", "node", "size"))
+            if not members.take(1):
+                break
+            leaders *= 8
+        gone = keep(gone.distinct(), "near-copies")
     return rows.join(gone, "node", "left_anti").select("in.*")

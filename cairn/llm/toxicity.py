@@ -23,6 +23,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.operators.common import cut
+from cairn.operators.common import cut, scratch
 
 TRAIN_ROWS, LEXICON = 20_000, 4_000
 LEAST_G, SURE = 12.0, 25.0  # evidence that an entry needs, and that gives it its full weight
@@ -251,25 +252,45 @@ def _with_features(df: DataFrame, lexicons: list[dict[str, float]], keep: list[s
     return narrow.mapInArrow(work, T.StructType([*(narrow.schema[c] for c in keep), *(T.StructField(c, T.DoubleType()) for c in FEATURES)]))
 
 
+class Model(NamedTuple):
+    """What was learned: a rate where there are too few labels, else lexicon, trees and isotonic map."""
+
+    rate: float
+    lexicon: dict[str, float] | None = None
+    trees: object = None
+    isotonic: object = None
+
+    def chance(self, df: DataFrame) -> DataFrame:
+        ready = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(df)
+        return self.trees.transform(ready).withColumn("_p", vector_to_array("probability")[1])
+
+
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+    with scratch(docs.sparkSession):
+        sample = _sample(docs, labels, train_rows)
+        sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+        model = Model(sizes.get(1, 0) / max(1, sum(sizes.values())))
+        if len(sizes) < 2 or min(sizes.values()) < 5:
+            return model
+        lexicons = learn_lexicon(sample)
+        train = cut(_with_features(sample, lexicons, ["doc_id", "toxic", "calibrate"], "fold").orderBy("doc_id"), "toxicity-features")
+        train = train.withColumn("toxic", F.col("toxic").cast("double"))
+        rows = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(train.where("not calibrate"))
+        model = model._replace(lexicon=lexicons[0], trees=GBTClassifier(labelCol="toxic", featuresCol="_features", maxIter=20, maxDepth=3, stepSize=0.2, seed=7).fit(rows))
+        steps = model.chance(train.where("calibrate")).select("toxic", "_p")
+        return model._replace(isotonic=IsotonicRegression(labelCol="toxic", featuresCol="_p", predictionCol="_rate").fit(steps))
+
+
 def judged(docs: DataFrame, labels: DataFrame, keep: list[str], cutoff: float, train_rows: int) -> DataFrame:
     """in (a struct of the columns keep), held_out, score, predicted."""
-    sample = _sample(docs, labels, train_rows)
-    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    model = learn(docs, labels, train_rows)
     named = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in keep]).alias("in"), held_out().alias("held_out"))
-    if len(sizes) < 2 or min(sizes.values()) < 5:
-        rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
-        scored = named.withColumn("raw", F.lit(float(rate)))
+    if model.trees is None:
+        scored = named.withColumn("raw", F.lit(float(model.rate)))
     else:
-        lexicons = learn_lexicon(sample)
-        assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
-        train = cut(_with_features(sample, lexicons, ["doc_id", "toxic", "calibrate"], "fold").orderBy("doc_id"), "toxicity-features")
-        train = assemble.transform(train.withColumn("toxic", F.col("toxic").cast("double")))
-        trees = GBTClassifier(labelCol="toxic", featuresCol="_features", maxIter=20, maxDepth=3, stepSize=0.2, seed=7).fit(train.where("not calibrate"))
-        chance = lambda df: trees.transform(df).withColumn("_p", vector_to_array("probability")[1])
-        isotonic = IsotonicRegression(labelCol="toxic", featuresCol="_p", predictionCol="_rate").fit(chance(train.where("calibrate")).select("toxic", "_p"))
-        ready = chance(assemble.transform(_with_features(named, lexicons[:1], ["in", "held_out"])))
+        ready = model.chance(_with_features(named, [model.lexicon], ["in", "held_out"]))
         # A little of the raw probability keeps the order within a step of the isotonic map.
-        scored = isotonic.transform(ready).withColumn("raw", 0.98 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_rate"))) + 0.02 * F.col("_p"))
+        scored = model.isotonic.transform(ready).withColumn("raw", 0.98 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_rate"))) + 0.02 * F.col("_p"))
     score_col = F.round("raw", 6)
     return scored.select("in", "held_out", score_col.alias("score"), (score_col >= cutoff).cast("int").alias("predicted"))
 
