@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
-from cairn.operators.common import latest, without
+from cairn.operators.common import cut, latest, scratch, without
 from cairn.operators.stats import trailing_cap
 
 CREATE_AT, PROMOTE_CONFIDENCE, PROMOTE_SUPPORT, BATCH, ATTEMPTS = 10, 0.7, 5, 64, 10
 LABELLED_FLOOR, GROWTH = 50, 0.05
+#: Rows that the sequential trainer takes: its one task holds six floats and an id of each.
+SEQUENTIAL_ROWS = 1_000_000
 
 
 # --- episodes
@@ -185,13 +187,15 @@ def pair_features(pairs: DataFrame, observations: DataFrame) -> DataFrame:
     return rows.fillna(0.0, list(FEATURES[1:]))
 
 
-def train_linear(samples: DataFrame, epochs: int = 50, rate: float = 0.1, fraction: float = 0.1) -> DataFrame:
+def train_linear(samples: DataFrame, epochs: int = 50, rate: float = 0.1, fraction: float = 0.1, most: int = SEQUENTIAL_ROWS) -> DataFrame:
     """weights (one a feature), intercept, train_loss: logistic regression by stochastic gradient descent in the order of episode ids.
 
-    The steps depend on each other, so they run in one task by definition; what reaches it are the floats
-    of the labelled pairs of a window, which the rate cap bounds, never texts or observations.
+    Each step depends on the one before, so all steps run in one task by definition. Its input is bounded:
+    above ``most`` rows this raises and drops nothing; train_batch fits tables of any size.
     """
     rows = samples.where(~S.hold_out("episode_id", fraction)).select("episode_id", F.col("label"), *FEATURES)
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} labelled pairs: use train_batch, or a shorter window")
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)
@@ -212,6 +216,29 @@ def train_linear(samples: DataFrame, epochs: int = 50, rate: float = 0.1, fracti
     return rows.repartition(1).mapInPandas(fit, "weights array<double>, intercept double, train_loss double")
 
 
+def train_batch(samples: DataFrame, epochs: int = 50, rate: float = 0.1, fraction: float = 0.1) -> DataFrame:
+    """weights, intercept, train_loss as train_linear gives them, by gradient descent over all rows at once.
+
+    Each epoch is one aggregate of gradient sums, so it is combined in every task and the driver holds the
+    weights only. Equal rows are counted first and written once. train_loss is that before the last step;
+    without rows all is zero.
+    """
+    rows = samples.where(~S.hold_out("episode_id", fraction))
+    with scratch(samples.sparkSession) as _:
+        counted = cut(rows.groupBy("label", *FEATURES).agg(F.count("*").alias("n")), "pairs")
+        w, b, loss = [0.0] * len(FEATURES), 0.0, 0.0
+        for _epoch in range(epochs):
+            margin = F.col("label") * (sum((F.col(c) * F.lit(v) for c, v in zip(FEATURES, w, strict=True)), F.lit(b)))
+            step = F.col("n") * F.col("label") / (1 + F.exp(F.least(margin, F.lit(700.0))))
+            cost = F.col("n") * F.when(margin > -30, F.log1p(F.exp(-margin))).otherwise(-margin)
+            sums = counted.agg(F.sum("n").alias("n"), F.sum(cost).alias("loss"), F.sum(step).alias("b"), *[F.sum(step * F.col(c)).alias(c) for c in FEATURES]).first()
+            if not sums["n"]:
+                break
+            w = [v + rate * sums[c] / sums["n"] for c, v in zip(FEATURES, w, strict=True)]
+            b, loss = b + rate * sums["b"] / sums["n"], sums["loss"] / sums["n"]
+    return samples.sparkSession.createDataFrame([(w, b, loss)], "weights array<double>, intercept double, train_loss double")
+
+
 def retrain(counts: DataFrame) -> DataFrame:
     """counts (labelled, baseline) with due (floor reached) and early (grown enough, or no baseline yet)."""
     grown = (F.col("labelled") - F.col("baseline")) / F.col("baseline") >= GROWTH

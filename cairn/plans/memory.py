@@ -213,6 +213,13 @@ def train(episodes, updates, observations):
     return fitted.select(F.transform("weights", lambda w: F.round(w, 6)).alias("weights"), F.round("intercept", 6).alias("intercept"), F.round("train_loss", 6).alias("train_loss"))
 
 
+@query("ltr_04_train_batch", "episode episode_update observation", None)
+def train_batch(episodes, updates, observations):
+    """Weights by gradient sums over all pairs (checked against an independent loop in the tests)."""
+    fitted = R.train_batch(R.pair_features(_pairs(episodes, updates), observations))
+    return fitted.select(F.transform("weights", lambda w: F.round(w, 6)).alias("weights"), F.round("intercept", 6).alias("intercept"), F.round("train_loss", 6).alias("train_loss"))
+
+
 @query("ltr_06_retrain", "episode", "SELECT repo_id, labelled, baseline, labelled >= 50 AS due, CASE WHEN baseline = 0 THEN labelled > 0 ELSE (labelled - baseline) / baseline >= 0.05 END AS early FROM (SELECT repo_id, count(*) FILTER (WHERE outcome = 'success') AS labelled, count(*) FILTER (WHERE outcome = 'success' AND k % 3 <> 0) AS baseline FROM episode GROUP BY 1)")
 def retrain(episodes):
     good = F.col("outcome") == "success"

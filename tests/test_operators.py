@@ -348,6 +348,33 @@ def test_train_linear_equals_a_plain_loop(spark):
     assert none.weights == [0.0] * 5
 
 
+def test_train_linear_refuses_what_one_task_should_not_hold(spark):
+    rows = [(f"ep{i}", 1.0, *[0.5] * 5) for i in range(20)]
+    df = table(spark, rows, f"episode_id string, label double, {', '.join(f'{c} double' for c in R.FEATURES)}")
+    with pytest.raises(ValueError, match="train_batch"):
+        R.train_linear(df, fraction=0.0, most=19)
+    assert R.train_linear(df, epochs=1, fraction=0.0, most=20).first().train_loss > 0
+
+
+def test_train_batch_equals_a_plain_loop(spark):
+    import numpy as np
+
+    rng = random.Random(8)
+    kind = f"episode_id string, label double, {', '.join(f'{c} double' for c in R.FEATURES)}"
+    rows = [(f"ep{i}", rng.choice([1.0, -1.0]), 1.0, *[float(rng.randrange(3)) for _ in range(4)]) for i in range(80)]
+    held = {r.episode_id for r in table(spark, rows, kind).where(S.hold_out("episode_id", 0.1)).collect()}
+    kept = [r for r in rows if r[0] not in held]
+    x, y = np.array([r[2:] for r in kept]), np.array([r[1] for r in kept])
+    w, b, loss = np.zeros(5), 0.0, 0.0
+    for _ in range(4):
+        m = y * (x @ w + b)
+        loss, pull = np.log1p(np.exp(-m)).mean(), y / (1 + np.exp(m))
+        w, b = w + 0.1 * (pull[:, None] * x).mean(axis=0), b + 0.1 * pull.mean()
+    got = R.train_batch(table(spark, rows, kind), epochs=4).first()
+    assert held and got.weights == pytest.approx(w.tolist()) and got.intercept == pytest.approx(b) and got.train_loss == pytest.approx(loss)
+    assert R.train_batch(table(spark, [], kind)).first().weights == [0.0] * 5
+
+
 def test_effective_outcome_and_versions(spark):
     episodes = table(spark, [("a", "success", "2024-01-02"), ("b", "failure", "2024-01-02")], "episode_id string, outcome string, d string").withColumn("created_at", F.col("d").cast("timestamp"))
     updates = table(spark, [(1, "a", "x", "2024-01-01"), (2, "a", "y", "2024-01-03"), (3, "a", "z", "2024-01-03"), (4, "b", "w", "2024-01-01")], "update_id long, episode_id string, outcome string, d string").withColumn("created_at", F.col("d").cast("timestamp"))
