@@ -75,7 +75,16 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, **shares: float)
     Equal values are counted before they meet: the shuffle and the buffer of a key grow with its distinct
     values, not with its rows.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    return percentiles_of(value_counts(df, keys, value), keys, **shares)
+
+
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, _v, _n: how often each value occurs; nulls do not count."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+
+
+def percentiles_of(counted: DataFrame, keys: Sequence[str], **shares: float) -> DataFrame:
+    """As percentiles, from value_counts by these keys or finer ones."""
     names = list(shares)
     ranks = F.percentile("_v", F.array(*[F.lit(float(shares[s])) for s in names]), F.col("_n")).alias("_p")
     out = counted.groupBy(*keys).agg(F.sum("_n").alias("n"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"), ranks)

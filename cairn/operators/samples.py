@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
-from cairn.operators.common import latest, percentiles, without
+from cairn.operators.common import latest, percentiles, percentiles_of, value_counts, without
 
 FIVE = ("repo_id", "sha", "scope_id", "metric_kind", "metric_version")
+REPO = ("repo_id", "metric_kind", "scope_kind")
 SHARES = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
 
 
@@ -25,27 +26,34 @@ def active(samples: DataFrame, retractions: DataFrame, scopes: DataFrame) -> Dat
 
 def repo_snapshot(rows: DataFrame) -> DataFrame:
     """Count, mean and percentiles by repository, metric and scope kind."""
-    return percentiles(rows, ["repo_id", "metric_kind", "scope_kind"], "value", **SHARES)
+    return percentiles(rows, REPO, "value", **SHARES)
+
+
+def _both(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pooled and per-repository summaries from one count of values, whose shuffle both reuse."""
+    counted = value_counts(rows, REPO, "value")
+    pooled = counted.groupBy("metric_kind", "scope_kind", "_v").agg(F.sum("_n").alias("_n"))
+    return percentiles_of(pooled, ["metric_kind", "scope_kind"], **SHARES), percentiles_of(counted, REPO, **SHARES)
 
 
 def cross_repo(rows: DataFrame) -> DataFrame:
     """Percentiles over the pooled values of all repositories, with the repositories' summaries as JSON in their order."""
-    pooled = percentiles(rows, ["metric_kind", "scope_kind"], "value", **SHARES)
+    pooled, own = _both(rows)
     each = F.struct("repo_id", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p90", "p99")])
-    history = repo_snapshot(rows).groupBy("metric_kind", "scope_kind").agg(F.to_json(F.array_sort(F.collect_list(each))).alias("histogram_json"))
+    history = own.groupBy("metric_kind", "scope_kind").agg(F.to_json(F.array_sort(F.collect_list(each))).alias("histogram_json"))
     return pooled.join(history, ["metric_kind", "scope_kind"])
 
 
 def portfolio(rows: DataFrame) -> DataFrame:
     """Totals, weighted and plain means of the repositories' means, pooled percentiles, by metric and scope kind."""
-    pooled = percentiles(rows, ["metric_kind", "scope_kind"], "value", **SHARES).drop("n", "mean")
-    means = repo_snapshot(rows).groupBy("metric_kind", "scope_kind").agg(
+    pooled, own = _both(rows)
+    means = own.groupBy("metric_kind", "scope_kind").agg(
         F.sum("n").alias("total_observations"),
         F.count("*").alias("repo_count"),
         (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("weighted_mean"),
         F.avg("mean").alias("unweighted_mean"),
     )
-    return means.join(pooled, ["metric_kind", "scope_kind"])
+    return means.join(pooled.drop("n", "mean"), ["metric_kind", "scope_kind"])
 
 
 def fresh(rows: DataFrame, now: Column, built_at: str = "built_at", limit_seconds: int = 3600) -> DataFrame:
