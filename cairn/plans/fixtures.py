@@ -134,12 +134,13 @@ _add("ast_call", "lineitem", "SELECT CAST(l_orderkey * 10 + l_linenumber AS STRI
 _add("class_member", "part", "SELECT 'c' || CAST(p_size AS STRING) AS class, 'm' || CAST(p_partkey AS STRING) AS method, p_partkey AS k FROM part")
 _add("field_use", "part", "SELECT 'c' || CAST(p_size AS STRING) AS class, 'm' || CAST(p_partkey AS STRING) AS method, 'x' || CAST(p_partkey % 13 AS STRING) AS field FROM part WHERE p_partkey % 3 <> 0")
 _add("member_call", "part", "SELECT 'c' || CAST(p_size AS STRING) AS class, 'm' || CAST(p_partkey AS STRING) AS caller, 'm' || CAST(p_partkey + p_size AS STRING) AS callee FROM part WHERE p_partkey % 4 = 0")
-_add("package_file", "part", "SELECT 'r' || CAST(p_partkey % 3 AS STRING) AS repo, 'f' || CAST(p_partkey AS STRING) AS file, 'k' || CAST(p_partkey % 60 AS STRING) AS package, 'src/k' || CAST(p_partkey % 60 AS STRING) AS dir FROM part")
+# Packages of fifteen parts, so that their number grows with the input. Imports lead to about half the number or less, now and then to the double: chains and cycles.
+_add("package_file", "part", "SELECT 'r' || CAST(p_partkey % 3 AS STRING) AS repo, 'f' || CAST(p_partkey AS STRING) AS file, 'k' || CAST(CAST(floor(p_partkey / 15) AS BIGINT) AS STRING) AS package, 'src/k' || CAST(CAST(floor(p_partkey / 15) AS BIGINT) AS STRING) AS dir FROM part")
 _add(
     "package_import",
     "lineitem",
-    """SELECT 'r' || CAST(l_partkey % 3 AS STRING) AS repo, 'f' || CAST(l_partkey AS STRING) AS file, CASE l_linenumber % 3 WHEN 0 THEN 'src/k' || CAST((l_suppkey * 3 + l_partkey) % 60 AS STRING) WHEN 1 THEN 'k' || CAST((l_suppkey * 3 + l_partkey) % 60 AS STRING)
-    ELSE 'example.org/mod/src/k' || CAST((l_suppkey * 3 + l_partkey) % 60 AS STRING) END AS target FROM lineitem WHERE l_quantity > 49 AND l_orderkey % 4 = 0""",
+    """SELECT 'r' || CAST(l_partkey % 3 AS STRING) AS repo, 'f' || CAST(l_partkey AS STRING) AS file, CASE l_linenumber % 3 WHEN 0 THEN 'src/k' WHEN 1 THEN 'k' ELSE 'example.org/mod/src/k' END
+    || CAST(CASE WHEN l_partkey % 50 = 0 THEN 2 * CAST(floor(l_partkey / 15) AS BIGINT) ELSE CAST(floor(floor(l_partkey / 15) / (2 + l_suppkey % 3)) AS BIGINT) END AS STRING) AS target FROM lineitem""",
 )
 _add("module_path", "", "SELECT r AS repo, m AS module FROM (VALUES ('r0', 'example.org'), ('r0', 'example.org/mod'), ('r1', 'example.org/mod')) t(r, m)")
 _add("method_decl", "part", "SELECT 'f' || CAST(p_partkey % 50 AS STRING) AS file, 'C' || CAST(p_partkey % 5 AS STRING) || '.m' || CAST(p_size % 20 AS STRING) AS name, 'n' || CAST(p_partkey AS STRING) AS node FROM part WHERE p_partkey % 7 < 3")
