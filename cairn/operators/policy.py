@@ -1,6 +1,7 @@
 """Policy: predicates over metric samples, findings and their deltas, gates, hot spots, plans.
 
-A predicate is a value built from Compare, Threshold, Every, Some, Negate and Always. On a row an absent
+A predicate is a value built from Compare, Holds, Threshold, Every, Some, Negate and Always, or read from a
+text (``predicate_text``). On a row an absent
 operand makes a comparison false, also below a negation. On a scope (a group of samples) a comparison
 holds if a sample meets it; Some holds if a child does; Negate turns the group's result; Every holds if one
 sample meets all children, or, where all children are thresholds, if each is met by some sample.
@@ -23,21 +24,64 @@ from cairn.operators.stats import robust_z
 FIELDS = {"metric_kind": str, "scope_kind": str, "pack": str, "source": str, "value": float, "degraded": bool}
 #: The operators of comparisons.
 COMPARE = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}
+#: What the string fields may hold.
+CANONICAL = {
+    "metric_kind": (
+        "cyclo",
+        "cognitive_complexity",
+        "loc",
+        "cycle_member",
+        "duplication_ratio",
+        "modification_count_in_window",
+        "lcom4",
+        "fan_in",
+        "fan_out",
+        "depth_of_inheritance",
+        "interface_width",
+        "coupling_between_objects",
+        "lsp_violation",
+        "xrepo_dep_depth",
+        "arch_debt_ratio",
+        "velocity_trend",
+        "arch_fitness",
+        "blast_radius",
+        "xservice_test_reliability",
+        "knowledge_index",
+        "coverage_line_ratio",
+        "coverage_branch_ratio",
+        "pass_first_try_ratio",
+    ),
+    "scope_kind": ("repo", "package", "file", "class", "interface", "method", "block"),
+    "pack": ("base", "solid", "system", "ingested"),
+    "source": ("computed", "derived", "ingested"),
+}
 QUALIFYING = ("new", "newly_failing")
 
 
+@dataclass(frozen=True)
+class Field:
+    """The other field of a comparison of two."""
+
+    name: str
+
+
 @dataclass(frozen=True)
 class Compare:
     field: str
     op: str
-    value: str | float | bool
+    value: str | float | bool | Field
 
     def __post_init__(self):
         kind = FIELDS.get(self.field)
         if kind is None or self.op not in COMPARE:
             raise ValueError(f"unknown field or operator: {self.field} {self.op}")
-        if not isinstance(self.value, (int, float) if kind is float else kind) or (kind is float and isinstance(self.value, bool)):
+        if isinstance(self.value, Field):
+            if FIELDS.get(self.value.name) is not kind:
+                raise TypeError(f"{self.field} needs another field of {kind.__name__}, not {self.value.name}")
+        elif not isinstance(self.value, (int, float) if kind is float else kind) or (kind is float and isinstance(self.value, bool)):
             raise TypeError(f"{self.field} needs {kind.__name__}, not {self.value!r}")
+        elif kind is str and self.value not in CANONICAL[self.field]:
+            raise ValueError(f"unknown {self.field}: {self.value!r}")
         if kind is not float and self.op not in ("==", "!="):
             raise TypeError(f"{self.field} has no order")
 
@@ -74,6 +118,13 @@ class Always:
     value: bool
 
 
+@dataclass(frozen=True)
+class Holds:
+    """A comparison of two constants: on a scope it has every sample as a witness, or none."""
+
+    value: bool
+
+
 @dataclass(frozen=True)
 class Rule:
     rule_id: str
@@ -81,16 +132,24 @@ class Rule:
     severity: str = "warn"
 
 
+def _there(name: str) -> Column:
+    field = F.col(name)
+    return field.isNotNull() & (field != "") if FIELDS[name] is str else field.isNotNull()
+
+
 def on_row(p) -> Column:
     """The predicate on one sample; never null."""
     if isinstance(p, Compare):
-        field = F.col(p.field)
-        there = field.isNotNull() & (field != "") if FIELDS[p.field] is str else field.isNotNull()
-        return F.coalesce(there & COMPARE[p.op](field, F.lit(p.value)), F.lit(False))
+        there = _there(p.field)
+        if isinstance(p.value, Field):
+            there, other = there & _there(p.value.name), F.col(p.value.name)
+        else:
+            other = F.lit(p.value)
+        return F.coalesce(there & COMPARE[p.op](F.col(p.field), other), F.lit(False))
     if isinstance(p, Threshold):
         same = (F.col("metric_kind") == p.metric_kind) & (F.col("scope_kind") == p.scope_kind)
         return F.coalesce(same & COMPARE[p.op](F.col("value"), F.lit(float(p.value))), F.lit(False))
-    if isinstance(p, Always):
+    if isinstance(p, (Always, Holds)):
         return F.lit(p.value)
     if isinstance(p, Negate):
         return ~on_row(p.child)
@@ -114,7 +173,7 @@ class _Plan:
     def matched(self, p) -> Column:
         if isinstance(p, Always):
             return F.lit(p.value)
-        if isinstance(p, (Compare, Threshold)):
+        if isinstance(p, (Compare, Threshold, Holds)):
             return F.coalesce(self.need(("any", p), F.bool_or(on_row(p))), F.lit(False))
         if isinstance(p, Negate):
             return ~self.matched(p.child)
@@ -141,7 +200,7 @@ class _Plan:
 
     def witness(self, p) -> Column:
         """Whether a sample is a witness, beside its scope's aggregates; only asked where the predicate holds."""
-        if isinstance(p, (Compare, Threshold)):
+        if isinstance(p, (Compare, Threshold, Holds)):
             return on_row(p)
         if isinstance(p, (Always, Negate)):
             return F.lit(False)

@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 from cairn.functions import scalars as S
 from cairn.operators import common as C
 from cairn.operators import policy as P
+from cairn.operators import predicate_text as T
 from cairn.operators import stats as A
 from cairn.plans.catalog import query
 from cairn.plans.relational import GLOB_SQL, rounded
 
-HIGH = P.Threshold("cyclo", "method", ">", 45)
-WIDE = P.Threshold("fan_out", "method", ">=", 48)
-RULES = (
-    P.Rule("solid.srp.size", P.Compare("value", ">", 49.0), "block"),
-    P.Rule("solid.isp.width", P.Every((P.Compare("metric_kind", "==", "fan_out"), P.Compare("value", ">", 30.0), P.Negate(P.Compare("degraded", "==", True)))), "warn"),
-    P.Rule("decoupling.cycles", P.Every((HIGH, WIDE)), "block"),
-    P.Rule("decoupling.duplication", P.Some((P.Compare("pack", "==", "ingested"), P.Negate(P.Compare("value", "<", 40.0)))), "info"),
+HIGH, WIDE = "5d1c3b52-0d5e-4c8e-9a51-3f6f6e0b1a01", "5d1c3b52-0d5e-4c8e-9a51-3f6f6e0b1a02"
+THRESHOLDS = ((HIGH, "cyclo", "method", "gt", 45.0), (WIDE, "fan_out", "method", "ge", 48.0))
+POLICY = (
+    ("solid.srp.size", "value > 49", "block"),
+    ("solid.isp.width", "metric_kind == 'fan_out' AND value > 30 AND NOT degraded == true", "warn"),
+    ("decoupling.cycles", f"threshold('{HIGH}') AND threshold('{WIDE}')", "block"),
+    ("decoupling.duplication", "pack == 'ingested' OR NOT value < 40", "info"),
 )
+RULES = tuple(P.Rule(rule_id, T.predicate(text, {key: tuple(row) for key, *row in THRESHOLDS}), severity) for rule_id, text, severity in POLICY)
 # The same rules over a scope's samples, written out by hand.
 RULES_SQL = """g AS (SELECT repo_id, sha, scope_id, bool_or(coalesce(value > 49, false)) AS r1,
   bool_or(metric_kind = 'fan_out' AND coalesce(value > 30, false) AND NOT degraded) AS r2,
@@ -29,6 +31,59 @@ fired AS (SELECT repo_id, sha, scope_id, 'solid.srp.size' AS rule_id, 'block' AS
 FIRST = "(SELECT *, row_number() OVER (PARTITION BY {0} ORDER BY created_at DESC, seq DESC) AS rn FROM finding WHERE {1})"
 
 
+@query(
+    "dsl_01_texts",
+    "metric_sample",
+    """SELECT sample_id, coalesce(value > 5, false) OR pack = 'base' AND NOT degraded AS by_rank, (coalesce(value > 5, false) OR pack = 'base') AND NOT degraded AS by_parentheses,
+    NOT coalesce(value >= 10 AND value < 20.5, false) AS outside, coalesce(pack = source, false) AS fields, coalesce(value > -3, false) AS mirrored, true AS constant FROM metric_sample""",
+)
+def texts(samples):
+    """Texts as columns: rank of operators, parentheses, comments, two fields, a literal on the left, constants."""
+    said = {
+        "by_rank": "value > 5 OR pack == 'base' AND NOT degraded == true",
+        "by_parentheses": "(value > 5 or pack == 'base') and degraded == false # in any case",
+        "outside": "NOT (value >= 10 AND value < 20.5)",
+        "fields": "pack == source",
+        "mirrored": "-3 < value",
+        "constant": "false OR 1 != 2",
+    }
+    return samples.select("sample_id", *[P.on_row(T.predicate(text)).alias(name) for name, text in said.items()])
+
+
+#: Texts that are refused, with the kind and the place of the error.
+REFUSED = (
+    ("value = 5", "lex", 1, 7),
+    ("value > 5 value", "parse", 1, 11),
+    ("loc > 5", "semantic", 1, 1),
+    ("true AND\n metric_kind == 'cyclomatic'", "semantic", 2, 17),
+    ("pack < 'base'", "type", 1, 6),
+    ("value == 'base'", "type", 1, 7),
+    ("threshold('none')", "bind", 1, 11),
+    (f"threshold('{HIGH}')", "bind", 1, 11),
+)
+
+
+@query("dsl_02_refused", "region", f"SELECT * FROM (VALUES {', '.join(f"({n}, '{kind}', {line}, {column})" for n, (_, kind, line, column) in enumerate(REFUSED))}) t(n, kind, line, col)")
+def refused(region):
+    """What reading says of texts that are wrong: one row a text."""
+    rows = []
+    for n, (text, *_) in enumerate(REFUSED):
+        try:
+            T.predicate(text)
+        except T.PredicateError as e:
+            rows.append((n, e.kind, e.line, e.column))
+    return region.sparkSession.createDataFrame(rows, "n int, kind string, line int, col int")
+
+
+@query("dsl_03_bound_rules", "metric_sample", f"WITH {RULES_SQL} SELECT repo_id, sha, scope_id, rule_id, severity FROM fired")
+def bound_rules(samples):
+    """Rules and thresholds of a policy from tables."""
+    make = samples.sparkSession.createDataFrame
+    rules = make(list(POLICY), "rule_id string, predicate string, severity string")
+    thresholds = make(list(THRESHOLDS), "threshold_id string, metric_kind string, scope_kind string, op string, value double")
+    return P.evaluate(samples, T.read_rules(rules, thresholds))[0]
+
+
 @query("dsl_04_row_predicate", "metric_sample", "SELECT sample_id, NOT (coalesce(value > 5, false)) AS not_large, coalesce(value > 5, false) AND pack = 'base' OR source <> 'computed' AS mixed FROM metric_sample")
 def row_predicate(samples):
     large = P.Compare("value", ">", 5.0)
