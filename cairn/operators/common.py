@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -59,9 +59,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """The row of each key that is largest by order. A max_by aggregate: combined before the shuffle, so that a hot key moves one row a task."""
-    row = F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(row).select("_row.*")
+    """The row of each key that is largest by order, nulls least.
+
+    A row number cut to the first: each task keeps one row of a key before the shuffle, so that a hot key moves
+    one row a task. (max_by of a row with strings would be an aggregate by sorting.)
+    """
+    largest = [(F.col(o) if isinstance(o, str) else o).desc() for o in order]
+    return df.withColumn("_latest", F.row_number().over(Window.partitionBy(*keys).orderBy(*largest))).where("_latest = 1").drop("_latest")
 
 
 def without(df: DataFrame, tombstones: DataFrame, key: str) -> DataFrame:
