@@ -7,9 +7,11 @@ the nesting.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
@@ -115,32 +117,73 @@ def cycle_members(packages: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("repo", "package", F.when(F.col("cycle_id").isNotNull(), 1.0).otherwise(0.0).alias("cycle_member"), "cycle_id")
 
 
+STEP = 1 << 20  # windows hashed at a time
+
+
+def _mixed(a: np.ndarray, b: np.ndarray, turn: int) -> np.ndarray:
+    """A hash of each pair of unsigned 64-bit numbers; not symmetric."""
+    x = a * np.uint64(0x9E3779B97F4A7C15 + 2 * turn) + b
+    x ^= x >> np.uint64(29 + turn)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _window_hashes(tokens: np.ndarray, turn: int) -> np.ndarray:
+    """The hash of each WINDOW = 32 + 16 + 2 tokens, from those of twice as many tokens in each step."""
+    by = {1: tokens}
+    for size in (1, 2, 4, 8, 16):
+        by[2 * size] = _mixed(by[size][:-size], by[size][size:], turn)
+    n = len(tokens) - WINDOW + 1
+    return _mixed(_mixed(by[32][:n], by[16][32 : 32 + n], turn), by[2][48 : 48 + n], turn)
+
+
+def _windows(rows: DataFrame, named: Sequence[str]) -> DataFrame:
+    """named, at, h, g: each window of rows (named, _key, _tokens), its place and 128 bits of its tokens and key.
+
+    Hashed by numpy over the tokens of a whole batch, STEP windows at a time; no step is by row.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(named) + 1)
+            tokens = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            offsets = offsets - offsets[0]
+            key = batch.column(len(named)).to_numpy(zero_copy_only=False).view(np.uint64)
+            for start in range(0, len(tokens) - WINDOW + 1, STEP):
+                part = tokens[start : start + STEP + WINDOW - 1]
+                at = np.arange(start, start + len(part) - WINDOW + 1)
+                row = np.searchsorted(offsets, at, side="right") - 1
+                whole = at + WINDOW <= offsets[row + 1]
+                row, at = row[whole], at[whole]
+                h, g = (_mixed(_window_hashes(part, turn)[whole], key[row], turn).view(np.int64) for turn in (0, 1))
+                ends = [batch.column(i).take(pa.array(row)) for i in range(len(named))]
+                yield pa.RecordBatch.from_arrays([*ends, pa.array((at - offsets[row]).astype(np.int32)), pa.array(h), pa.array(g)], names=[*named, "at", "h", "g"])
+
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in named)
+    return rows.select(*named, "_key", "_tokens").mapInArrow(work, f"{kinds}at int, h long, g long")
+
+
 def duplication(files: DataFrame, keys: Sequence[str] | None = None, text: str = "text", file: str = "file") -> DataFrame:
     """Share of tokens in windows of WINDOW tokens that occur at least twice within the key (default: within the file).
 
-    Windows meet by 96 bits of hashes; a window does not reach over the end of a file. A key of fewer tokens than
-    a window has ratio 0. Positions join back to the hashes that repeat, so no group of equal windows is collected.
+    Windows meet by 128 bits of hashes; a window does not reach over the end of a file. A key of fewer tokens than
+    a window has ratio 0. Hashes are counted before they are shuffled, and positions join back to those that
+    repeat, so no group of equal windows is collected.
     """
     keys = list(keys) if keys else [file]
     named = list(dict.fromkeys([*keys, file]))
     rows = files.select(*named, S.tokens(F.coalesce(text, F.lit(""))).alias("_t")).withColumn("_n", F.size("_t"))
     totals = rows.groupBy(*keys).agg(F.sum("_n").alias("tokens"))
-    rows = rows.where(F.col("_n") >= WINDOW).withColumn("_w1", F.transform("_t", lambda t: F.xxhash64(t))).drop("_t")
-
-    def doubled(size: int) -> Column:
-        return F.transform(f"_w{size}", lambda x, i: F.xxhash64(x, F.get(F.col(f"_w{size}"), i + size)))
-
-    for size in (1, 2, 4, 8, 16):  # the hash of 2k tokens from those of k: few steps a token, however wide the window
-        rows = rows.withColumn(f"_w{2 * size}", doubled(size))
-    part = lambda size, i: F.get(F.col(f"_w{size}"), i)
-    whole = lambda i: F.struct(i.alias("at"), F.xxhash64(part(32, i), part(16, i + 32), part(2, i + 48)).alias("h"), F.hash(part(2, i), part(16, i + 2), part(32, i + 18)).alias("g"))
-    windows = rows.select(*named, F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - WINDOW), whole)).alias("w")).select(*named, "w.*")
-    repeated = windows.groupBy(*keys, "h", "g").agg(F.count("*").alias("_times")).where("_times > 1").drop("_times")
-    hits = windows.join(repeated, [*keys, "h", "g"], "left_semi")
+    key = F.xxhash64(*[part for k in keys for part in (F.col(k).isNull(), F.col(k))]).alias("_key")
+    rows = rows.where(F.col("_n") >= WINDOW).select(*named, key, F.transform("_t", lambda t: F.xxhash64(t)).alias("_tokens"))
+    repeated = _windows(rows, []).groupBy("h", "g").agg(F.count("*").alias("_times")).where("_times > 1").drop("_times")
+    hits = _windows(rows, named).join(repeated, ["h", "g"], "left_semi")
     following = F.lead("at").over(Window.partitionBy(*named).orderBy("at"))
     reach = F.least(F.lit(WINDOW), F.coalesce(following - F.col("at"), F.lit(WINDOW)))
     covered = hits.withColumn("_reach", reach).groupBy(*keys).agg(F.sum("_reach").alias("covered"))
-    out = totals.join(covered, keys, "left").fillna(0, ["covered"])
+    both = totals.withColumn("covered", F.lit(0)).unionByName(covered.withColumn("tokens", F.lit(0)))  # null keys are keys
+    out = both.groupBy(*keys).agg(F.sum("tokens").alias("tokens"), F.sum("covered").alias("covered"))
     return out.select(*keys, "tokens", "covered", F.when(F.col("tokens") > 0, F.col("covered") / F.col("tokens")).otherwise(0.0).alias("duplication_ratio"))
 
 

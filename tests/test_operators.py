@@ -383,3 +383,15 @@ def test_effective_outcome_and_versions(spark):
     supports = table(spark, [("c", "e1", "positive"), ("c", "e2", "negative"), ("d", "e3", "positive")], "concept_id string, episode_id string, side string")
     seen = table(spark, [("c", "e1"), ("d", "e3")], "concept_id string, episode_id string")
     assert as_set(R.next_versions(current, supports, seen), "concept_id", "version_index", "positive", "negative", "confidence") == {("c", 2, 2, 2, 0.5)}
+
+
+def test_duplication_over_parts_of_a_long_text_and_by_null_keys(spark):
+    """A text of more windows than are hashed at a time, with a repeat across the edge; equal texts under other keys stay apart."""
+    words = [str(i) for i in range(K.STEP + 200)]
+    words[K.STEP - 30 : K.STEP + 30] = words[:60]
+    again = " ".join(f"w{i}" for i in range(70))
+    rows = [("long", "x", None, " ".join(words)), ("a", "p", None, again), ("b", None, "p", again), ("c", "p", "q", again), ("d", "p", "q", "v " + again), ("e", "p", "q", None)]
+    df = spark.createDataFrame(rows, "file string, k1 string, k2 string, text string")
+    assert {r["file"]: r["covered"] for r in K.duplication(df).collect()} == {"long": 120, "a": 0, "b": 0, "c": 0, "d": 0, "e": 0}
+    got = {(r["k1"], r["k2"]): r["covered"] for r in K.duplication(df, ["k1", "k2"]).collect()}
+    assert got == {("x", None): 120, ("p", None): 0, (None, "p"): 0, ("p", "q"): 140}
