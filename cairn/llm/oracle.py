@@ -50,4 +50,31 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """
 
-ORACLES = {"op9_mixing": MIXING, "op7_topk": TOPK}
+AUDIT = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), m AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(m.good, 0) AS good, coalesce(m.bad, 0) AS bad, [
+    len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words), 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'),
+    coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM w LEFT JOIN m ON m.doc_id = w.doc_id
+), g AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY ALL
+), l AS (
+  SELECT unnest([1, 2, 3, 4, 5]) AS i
+), o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS steps FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), s AS (
+  SELECT part, steps, k.i AS step, steps[k.i] AS filter, sum(n) AS total,
+    coalesce(sum(n) FILTER (WHERE place = k.i), 0) AS removed, coalesce(sum(n) FILTER (WHERE place IS NULL OR place > k.i), 0) AS kept, coalesce(sum(n) FILTER (WHERE fails[steps[k.i]] AND place < k.i), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE fails[steps[k.i]] AND len(list_filter(fails, lambda x: x)) = 1), 0) AS alone, coalesce(sum(good) FILTER (WHERE place = k.i), 0) AS good, coalesce(sum(bad) FILTER (WHERE place = k.i), 0) AS bad
+  FROM (SELECT *, list_position(list_transform(steps, lambda x: fails[x]), true) AS place FROM g, o) x, l k GROUP BY ALL
+)
+SELECT part, list_aggregate(list_transform(steps, lambda x: chr(CAST(64 + x AS INTEGER))), 'string_agg', '') AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(alone AS BIGINT) AS unique_fails, CAST(good AS BIGINT) AS good_lost, CAST(bad AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM s
+"""
+
+ORACLES = {"op9_mixing": MIXING, "op7_topk": TOPK, "op12_filter_audit": AUDIT}

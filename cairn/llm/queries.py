@@ -1,4 +1,4 @@
-"""The ten corpus operators as queries over whole tables."""
+"""The corpus operators as queries over whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, html_extract, mixing, secrets, sharding, simhash, topk, toxicity, ts_media, warc
+from cairn.llm import bpe, filter_audit, html_extract, mixing, secrets, sharding, simhash, topk, toxicity, ts_media, warc
 from cairn.operators.common import cut
 
 
@@ -54,10 +54,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), 40)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_transport_stream, op4_bpe, op5_warc, op6_toxicity, op7_topk, op8_simhash, op9_mixing, op10_sharding, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_transport_stream, op4_bpe, op5_warc, op6_toxicity, op7_topk, op8_simhash, op9_mixing, op10_sharding, op12_filter_audit, pipeline)}
