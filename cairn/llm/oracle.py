@@ -77,4 +77,34 @@ SELECT part, list_aggregate(list_transform(steps, lambda x: chr(CAST(64 + x AS I
 FROM s
 """
 
-ORACLES = {"op9_mixing": MIXING, "op7_topk": TOPK, "op12_filter_audit": AUDIT}
+TRIE = r"""
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS n_bytes,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 31)) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(
+      list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+      lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM o)
+), r AS (
+  SELECT c.conv_id, o.role, o.text, o.n_bytes, 0 AS side, o.pos FROM c JOIN o ON o.conv_id = c.base AND o.pos <= c.h
+  UNION ALL SELECT c.conv_id, o.role, o.text, o.n_bytes, 1, o.pos FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > c.h
+), p AS (
+  SELECT conv_id, n_bytes, row_number() OVER w AS depth, md5(string_agg(strlen(role) || ':' || strlen(text) || ':' || role || text, '') OVER w) AS node FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY side, pos)
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM c
+), m AS (
+  SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, lead(node) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS ends FROM p
+), n AS (
+  SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, any_value(n_bytes) AS n_bytes, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM m GROUP BY node
+), k AS (
+  SELECT n.*, (SELECT count(*) FROM n x WHERE x.parent = n.node) AS n_children FROM n
+), u AS (
+  SELECT DISTINCT a.node, b.node AS below FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.depth >= a.depth
+), t AS (
+  SELECT u.node, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.n_bytes) AS saved_tokens FROM u JOIN k b ON b.node = u.below GROUP BY 1
+)
+SELECT k.conv_id, k.depth, q.conv_id AS parent_conv_id, k.n_convs, k.n_children, t.n_leaves, CAST(t.saved_tokens AS BIGINT) AS saved_tokens, k.ends_sha256 FROM k JOIN t USING (node) LEFT JOIN k q ON q.node = k.parent
+"""
+
+ORACLES = {"op9_mixing": MIXING, "op7_topk": TOPK, "op12_filter_audit": AUDIT, "op13_conversation_trie": TRIE}

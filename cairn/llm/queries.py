@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, filter_audit, html_extract, mixing, secrets, sharding, simhash, topk, toxicity, ts_media, warc
+from cairn.llm import bpe, conversation_trie, filter_audit, html_extract, mixing, secrets, sharding, simhash, topk, toxicity, ts_media, warc
 from cairn.operators.common import cut
 
 
@@ -58,10 +58,16 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    base, head = conv - conv % 5, F.crc32(conv.cast("string").cast("binary")) % 9
+    return conversation_trie.trie(_table(spark, sf_dir, "conversations"), base, head).drop("node", "parent")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_transport_stream, op4_bpe, op5_warc, op6_toxicity, op7_topk, op8_simhash, op9_mixing, op10_sharding, op12_filter_audit, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_transport_stream, op4_bpe, op5_warc, op6_toxicity, op7_topk, op8_simhash, op9_mixing, op10_sharding, op12_filter_audit, op13_conversation_trie, pipeline)}

@@ -11,8 +11,8 @@ DOCS = "doc_id long, text string, source string, part string, mask int, n long,
 
 
 def brute(rows, labels):
-    good = {i for i, quality, _ in labels if quality == 1}
-    bad = {i for i, _, toxic in labels if toxic == 1}
+    good = {i for i, quality, _ in labels if quality == 1 and i is not None}
+    bad = {i for i, _, toxic in labels if toxic == 1 and i is not None}
     least = {}
     for i, text, _ in rows:
         if i is not None:
