@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, conversation_trie, filter_audit, html_extract, mixing, secrets, sharding, simhash, topk, toxicity, ts_media, warc
+from cairn.llm import bpe, conversation_trie, filter_audit, html_extract, mixing, sanitise, secrets, sharding, simhash, topk, toxicity, ts_media, warc
 from cairn.operators.common import cut
 
 
@@ -54,6 +54,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), 40)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.inspect(_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -70,4 +74,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_transport_stream, op4_bpe, op5_warc, op6_toxicity, op7_topk, op8_simhash, op9_mixing, op10_sharding, op12_filter_audit, op13_conversation_trie, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_transport_stream, op4_bpe, op5_warc, op6_toxicity, op7_topk, op8_simhash, op9_mixing, op10_sharding, op11_pii, op12_filter_audit, op13_conversation_trie, pipeline)}
