@@ -1,10 +1,11 @@
-"""Building blocks: the newest row of a key, exact percentiles, lineage cuts."""
+"""Building blocks: the newest row of a key, counts of values, lineage cuts."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,36 +21,43 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{where.rstrip('/')}/cairn"
 
 
-_scopes: list[list[str]] = []
+_scopes: ContextVar[tuple[set[str], ...]] = ContextVar("scratch scopes", default=())
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of an iteration: write df to the shared folder and read it back."""
+    return _written(df, name, _scopes.get())
+
+
+def _written(df: DataFrame, name: str, scopes: tuple[set[str], ...]) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for scope in scopes:  # before it is written, so that what a failed query leaves goes too
+        scope.add(path)
     df.write.parquet(path)
-    for scope in _scopes:
-        scope.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """Delete at the end what is cut inside, but for what the function that this gives has cut: the results."""
-    mine: list[str] = []
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        out = cut(df, name)
-        mine.pop()
-        return out
+    """Delete at the end what is cut inside by this thread, but for what the function that this gives has cut: the results.
 
-    _scopes.append(mine)
+    Results belong to the scope around this one, if there is one. Scopes are the context's own: what another
+    thread cuts meanwhile is not theirs.
+    """
+    outer, mine = _scopes.get(), set()
+    token = _scopes.set((*outer, mine))
     try:
-        yield keep
+        yield lambda df, name: _written(df, name, outer)
     finally:
-        _scopes.remove(mine)
-        for path in mine:
-            there = spark._jvm.org.apache.hadoop.fs.Path(path)
-            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        _scopes.reset(token)
+        delete(spark, mine)
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove folders of any store that Spark writes; those that are not there do not matter."""
+    for path in paths:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -73,28 +81,11 @@ def without(df: DataFrame, tombstones: DataFrame, key: str) -> DataFrame:
     return df.join(tombstones.select(key), key, "left_anti")
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, **shares: float) -> DataFrame:
-    """keys, n, mean and exact percentiles by linear interpolation, one for each named share.
-
-    Equal values are counted before they meet: the shuffle and the buffer of a key grow with its distinct
-    values, not with its rows.
-    """
-    return percentiles_of(value_counts(df, keys, value), keys, **shares)
-
-
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """keys, _v, _n: how often each value occurs; nulls do not count."""
     return df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
 
 
-def percentiles_of(counted: DataFrame, keys: Sequence[str], **shares: float) -> DataFrame:
-    """As percentiles, from value_counts by these keys or finer ones."""
-    names = list(shares)
-    ranks = F.percentile("_v", F.array(*[F.lit(float(shares[s])) for s in names]), F.col("_n")).alias("_p")
-    out = counted.groupBy(*keys).agg(F.sum("_n").alias("n"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"), ranks)
-    return out.select(*keys, "n", "mean", *[F.col("_p")[i].alias(s) for i, s in enumerate(names)])
-
-
 def keyset_after(keys: Sequence[str], last: Sequence) -> Column:
     """Row-value comparison (keys) > (last), spelled out so that the first key can be pushed to the scan."""
     out = None

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
-from cairn.operators.common import latest
+from cairn.operators.common import cut, latest
 from cairn.operators.stats import robust_z
 
 FIELDS = {"metric_kind": str, "scope_kind": str, "pack": str, "source": str, "value": float, "degraded": bool}
@@ -296,7 +296,7 @@ def hot_spots(metrics: DataFrame, counts: DataFrame, keys: Sequence[str] = (), w
     """
     both = lambda a, b: F.when(F.col(a).isNull() & F.col(b).isNull(), None).otherwise(F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
     dims = metrics.select(*keys, "scope_id", both("cyclo", "cognitive_complexity").alias("complexity"), F.col("modification_count").alias("churn"), both("coupling", "fan_out").alias("coupling"))
-    rows = dims.join(counts, [*keys, "scope_id"], "full_outer").fillna(0, ["finding_count"])
+    rows = cut(dims.join(counts, [*keys, "scope_id"], "full_outer").fillna(0, ["finding_count"]), "hot-rows")
     scored = robust_z(rows, keys, ["complexity", "churn", "coupling"])
     a, b, c, d = weights
     return scored.withColumn("score", a * F.col("complexity_z") + b * F.col("churn_z") + c * F.col("coupling_z") + d * F.col("finding_count"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
-from cairn.operators.common import latest, percentiles, percentiles_of, value_counts, without
+from cairn.operators.common import cut, latest, value_counts, without
+from cairn.operators.ordered import order_statistics, percentiles
 
 FIVE = ("repo_id", "sha", "scope_id", "metric_kind", "metric_version")
 REPO = ("repo_id", "metric_kind", "scope_kind")
@@ -30,18 +31,14 @@ def repo_snapshot(rows: DataFrame) -> DataFrame:
 
 
 def _both(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pooled and per-repository summaries from one count of values, whose shuffle both reuse."""
-    counted = value_counts(rows, REPO, "value")
-    pooled = counted.groupBy("metric_kind", "scope_kind", "_v").agg(F.sum("_n").alias("_n"))
-    return percentiles_of(pooled, ["metric_kind", "scope_kind"], **SHARES), percentiles_of(counted, REPO, **SHARES)
+    """Pooled and per-repository summaries from one count of values, which is written down once."""
+    counted = cut(value_counts(rows, REPO, "value"), "value-counts")
+    return order_statistics(counted, ["metric_kind", "scope_kind"], **SHARES), order_statistics(counted, REPO, **SHARES)
 
 
-def cross_repo(rows: DataFrame) -> DataFrame:
-    """Percentiles over the pooled values of all repositories, with the repositories' summaries as JSON in their order."""
-    pooled, own = _both(rows)
-    each = F.struct("repo_id", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p90", "p99")])
-    history = own.groupBy("metric_kind", "scope_kind").agg(F.to_json(F.array_sort(F.collect_list(each))).alias("histogram_json"))
-    return pooled.join(history, ["metric_kind", "scope_kind"])
+def cross_repo(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Percentiles over the pooled values of all repositories, and the repositories' own (one row each, their history)."""
+    return _both(rows)
 
 
 def portfolio(rows: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Statistics: nearest rank, robust z, slopes, rolling windows, rate caps, ranking metrics."""
+"""Statistics: robust z, slopes, rate caps, ranking metrics, hysteresis."""
 
 from __future__ import annotations
 
@@ -7,39 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAD_TO_SIGMA = 1.4826
-
+from cairn.operators.common import cut
+from cairn.operators.ordered import join_keys, order_statistics
 
-def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, **shares: float) -> DataFrame:
-    """Order statistics at ceil(share * n): keys, n and one column for each share.
-
-    Equal values are counted before they meet; the running counts of a key are over its distinct values.
-    """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    run = Window.partitionBy(*keys).orderBy("_v")
-    whole = Window.partitionBy(*keys)
-    ranked = counted.withColumn("_upto", F.sum("_n").over(run)).withColumn("_all", F.sum("_n").over(whole))
-    pick = [F.min(F.when(F.col("_upto") >= F.ceil(F.lit(share) * F.col("_all")), F.col("_v"))).alias(name) for name, share in shares.items()]
-    return ranked.groupBy(*keys).agg(F.first("_all").alias("n"), *pick)
+MAD_TO_SIGMA = 1.4826
 
 
 def robust_z(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """df with <column>_z: distance from the median in MADs; without spread in MADs, in population sigmas; else 0.
 
-    Null values are no part of a distribution and have z 0. The centres are one row a key, joined back.
+    Null values are no part of a distribution and have z 0. Values of all columns are counted once; medians of
+    the values and of their distances are ranks among those counts, so the rows are read twice: to be counted,
+    and to get their z. The centres are one row a key; without keys, one row that is broadcast.
     """
-    some = [F.lit(True).alias("_all")] if not keys else []
-    rows = df.select("*", *some)
-    by = list(keys) or ["_all"]
-    centre = rows.groupBy(*by).agg(*[f(F.col(c)).alias(f"_{n}_{c}") for c in columns for n, f in (("med", lambda x: F.percentile(x, 0.5)), ("mean", F.avg), ("sd", F.stddev_pop))])
-    near = rows.join(centre, by)
-    spread = near.groupBy(*by).agg(*[F.percentile(F.abs(F.col(c) - F.col(f"_med_{c}")), 0.5).alias(f"_mad_{c}") for c in columns])
-    out = near.join(spread, by)
-    for c in columns:
-        mad, sd = F.col(f"_mad_{c}"), F.col(f"_sd_{c}")
-        z = F.when(F.col(c).isNull(), 0.0).when(mad > 0, (F.col(c) - F.col(f"_med_{c}")) / (MAD_TO_SIGMA * mad)).when(sd > 0, (F.col(c) - F.col(f"_mean_{c}")) / sd).otherwise(0.0)
-        out = out.withColumn(f"{c}_z", z)
-    return out.select(*df.columns, *[f"{c}_z" for c in columns])
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])).alias("_x")
+    counted = df.select(*keys, each).select(*keys, "_x._c", "_x._v").where("_v IS NOT NULL").groupBy(*keys, "_c", "_v").agg(F.count("*").alias("_n"))
+    counted = cut(counted, "z-counts")
+    by = [*keys, "_c"]
+    middle = order_statistics(counted, by, med=0.5).select(*by, "mean", "med")
+    apart = cut(join_keys(counted, middle, by), "z-apart")
+    mad = order_statistics(apart.select(*by, F.abs(F.col("_v") - F.col("med")).alias("_v"), "_n"), by, mad=0.5).select(*by, "mad")
+    sd = apart.groupBy(*by).agg(F.first("med").alias("med"), F.first("mean").alias("mean"), F.sqrt(F.sum(F.col("_n") * (F.col("_v") - F.col("mean")) ** 2) / F.sum("_n")).alias("sd"))
+    at = lambda name, i: F.max(F.when(F.col("_c") == i, F.col(name))).alias(f"_{name}_{i}")
+    centres = join_keys(sd, mad, by).groupBy(*keys).agg(*[at(name, i) for i in range(len(columns)) for name in ("med", "mad", "mean", "sd")])
+    out = join_keys(df, cut(centres, "z-centres"), keys, "left")
+    z = lambda i, c: F.when(F.col(c).isNull(), 0.0).when(F.col(f"_mad_{i}") > 0, (F.col(c) - F.col(f"_med_{i}")) / (MAD_TO_SIGMA * F.col(f"_mad_{i}"))).when(F.col(f"_sd_{i}") > 0, (F.col(c) - F.col(f"_mean_{i}")) / F.col(f"_sd_{i}")).otherwise(0.0)
+    return out.select(*df.columns, *[z(i, c).alias(f"{c}_z") for i, c in enumerate(columns)])
 
 
 def slope(df: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFrame:
@@ -48,14 +41,6 @@ def slope(df: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFrame:
     return fit.select(*keys, "n", F.when(F.col("n") >= 2, F.coalesce("_s", F.lit(0.0))).alias("slope"), (F.col("n") < 2).alias("degraded"))
 
 
-def rolling_quantiles(df: DataFrame, key: str, order: Sequence[str], value: str, size: int = 256, **shares: float) -> DataFrame:
-    """Order statistics of the last ``size`` values of the key, after each row."""
-    window = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - size, 0)
-    out = df.withColumn("_last", F.sort_array(F.collect_list(value).over(window)))
-    at = lambda share: F.element_at("_last", F.greatest(F.lit(1), F.ceil(F.lit(share) * F.size("_last"))).cast("int"))
-    return out.select(*df.columns, F.size("_last").cast("long").alias("window_n"), *[at(share).alias(name) for name, share in shares.items()])
-
-
 def trailing_cap(df: DataFrame, actor: str, ts: str, tie: str, now: Column, hours: int = 1, most: int = 50) -> DataFrame:
     """Rows outside the trailing window, and of those in it the first ``most`` of each actor; rows without an actor stay."""
     inside = F.col(ts).between(now - F.make_interval(hours=F.lit(hours)), now) & F.col(actor).isNotNull()

@@ -39,9 +39,9 @@ def repo_metric_snapshot(samples, retractions, scopes):
     SELECT p.*, (SELECT string_agg(r.repo_id || ':' || r.n, ',' ORDER BY r.repo_id) FROM r WHERE r.metric_kind = p.metric_kind AND r.scope_kind = p.scope_kind) AS repos FROM p""",
 )
 def cross_repo_percentile(samples, retractions, scopes):
-    out = rounded(M.cross_repo(M.active(samples, retractions, scopes)), "mean", "p50", "p90", "p99")
-    history = F.from_json("histogram_json", "array<struct<repo_id:string,n:bigint>>")
-    return out.select("metric_kind", "scope_kind", "n", "mean", "p50", "p90", "p99", F.array_join(F.transform(history, lambda x: F.concat_ws(":", x["repo_id"], x["n"])), ",").alias("repos"))
+    pooled, own = M.cross_repo(M.active(samples, retractions, scopes))
+    repos = own.groupBy("metric_kind", "scope_kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("repo_id", "n"))), lambda x: F.concat_ws(":", x["repo_id"], x["n"])), ",").alias("repos"))
+    return rounded(pooled, "mean", "p50", "p90", "p99").join(repos, ["metric_kind", "scope_kind"])
 
 
 @query(

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
+from cairn.operators import ordered as O
 from cairn.operators import samples as M
 from cairn.operators import stats as A
-from cairn.operators.common import percentiles
+from cairn.operators.ordered import percentiles
 from cairn.plans.catalog import query
 from cairn.plans.relational import rounded
 
@@ -43,7 +44,7 @@ def distinct_by_polarity(episodes, observations):
 
 @query("agg_09_nearest_rank", "span", "SELECT method, count(*) AS n, quantile_disc(duration_ms, 0.5) AS p50, quantile_disc(duration_ms, 0.95) AS p95 FROM span GROUP BY 1")
 def nearest_rank(spans):
-    return A.nearest_rank(spans, ["method"], "duration_ms", p50=0.5, p95=0.95)
+    return O.nearest_rank(spans, ["method"], "duration_ms", p50=0.5, p95=0.95)
 
 
 @query("agg_11_slope", "events", "SELECT user_id, count(*) AS n, CASE WHEN count(*) >= 2 THEN round(coalesce(regr_slope(value, rn), 0), 6) END AS slope, count(*) < 2 AS degraded FROM (SELECT user_id, value, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS DOUBLE) AS rn FROM events) GROUP BY 1")
@@ -114,7 +115,7 @@ ROLLING_SQL = "SELECT method, span_id, CAST(len(w) AS BIGINT) AS window_n, w[gre
 
 @query("win_03_rolling_quantiles", "span", ROLLING_SQL)
 def rolling_quantiles(spans):
-    return A.rolling_quantiles(spans.select("method", "span_id", "started_at", "duration_ms"), "method", ["started_at", "span_id"], "duration_ms", p50=0.5, p95=0.95).select("method", "span_id", "window_n", "p50", "p95")
+    return O.rolling_quantiles(spans.select("method", "span_id", "started_at", "duration_ms"), "method", ["started_at", "span_id"], "duration_ms", p50=0.5, p95=0.95).select("method", "span_id", "window_n", "p50", "p95")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -31,15 +32,18 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the workers this package where their search path lacks it: once for each Spark context."""
+    """Give the workers this package where their search path lacks it: once for each Spark context.
+
+    The driver serves the archive for as long as the context lives, so it stays until the process ends.
+    """
     root = Path(__file__).resolve().parent.parent
     paths = {Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]}
     context = spark.sparkContext
     if root in paths or context.applicationId in _shipped:
         return
-    with tempfile.TemporaryDirectory() as folder:
-        made = shutil.make_archive(f"{folder}/{__package__}", "zip", root, __package__)
-        context.addPyFile(made)
+    folder = tempfile.mkdtemp(prefix=f"{__package__}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/{__package__}", "zip", root, __package__))
     _shipped.add(context.applicationId)
 
 

@@ -12,6 +12,7 @@ from cairn.operators import code_metrics as K
 from cairn.operators import common as C
 from cairn.operators import graph as G
 from cairn.operators import memory as R
+from cairn.operators import ordered as O
 from cairn.operators import policy as P
 from cairn.operators import samples as M
 from cairn.operators import stats as A
@@ -40,12 +41,12 @@ def test_percentiles(spark):
     rng = random.Random(1)
     data = {k: [rng.choice([0, 1, 2.5, 7, 100]) * rng.random() for _ in range(n)] for k, n in (("a", 1), ("b", 2), ("c", 101))}
     df = table(spark, [(k, v) for k, xs in data.items() for v in [*xs, None]], "k string, v double")
-    for r in C.percentiles(df, ["k"], "v", p0=0.0, p50=0.5, p90=0.9, p100=1.0).collect():
+    for r in O.percentiles(df, ["k"], "v", p0=0.0, p50=0.5, p90=0.9, p100=1.0).collect():
         xs = sorted(data[r.k])
         at = lambda p: xs[int(p * (len(xs) - 1))] + (p * (len(xs) - 1) % 1) * (xs[min(len(xs) - 1, int(p * (len(xs) - 1)) + 1)] - xs[int(p * (len(xs) - 1))])  # noqa: B023, E731
         assert (r.n, r.p0, r.p100) == (len(xs), xs[0], xs[-1])
         assert r.p50 == pytest.approx(at(0.5)) and r.p90 == pytest.approx(at(0.9)) and r.mean == pytest.approx(statistics.fmean(xs))
-    assert C.percentiles(df.limit(0), ["k"], "v", p50=0.5).count() == 0
+    assert O.percentiles(df.limit(0), ["k"], "v", p50=0.5).count() == 0
 
 
 def test_robust_z(spark):
