@@ -50,6 +50,7 @@ _TERM = re.compile(rf"[^\W_]{{{SHORTEST},}}")
 _EMAIL_AT = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+-]){_EMAIL_AT.pattern}")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_DOTTED = re.compile(r"\.[0-9]++\.[0-9]++\.[0-9]")  # what every address has; a plain character at its start is found fast
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
@@ -72,7 +73,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     out = []
     if "@" in text:
         out += [(m.start(), 0, m.end(), m.group().lower()) for m in _emails(text)]
-    for m in _IP.finditer(text):
+    for m in _IP.finditer(text) if _DOTTED.search(text) else ():
         if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or 0) <= 255 for part in m.group().split(".")):
             out.append((m.start(), 1, m.end(), m.group()))
     for m in _CARD.finditer(text):
@@ -111,7 +112,10 @@ def _with_forms(terms: Iterable[str]) -> set[str]:
 
 
 def _terms(text: str, spans: list) -> set[str]:
-    return {t.lower() for t in set(_TERM.findall(masked(text, spans)))}
+    text = masked(text, spans)
+    if "\u0130" in text or "\u03a3" in text:  # of these the lower case has two characters, or depends on what is around
+        return {t.lower() for t in _TERM.findall(text)}
+    return set(_TERM.findall(text.lower()))
 
 
 def surroundings(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[bytes, int, list[str]]]:
