@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cairn.plans.catalog import query, stream_query
 from cairn.plans.statistics import ROLLING_SQL
 from cairn.streaming import spans as T
+from cairn.streaming import stateful as K
 
 WITHIN = "2 days"
 END = "2024-01-26 00:00:00"
@@ -35,7 +36,37 @@ def late_parents_batch(events):
 
 @stream_query("str_03_rolling_stream", "events", f"{ROLLING_SQL.replace('FROM span', 'FROM (SELECT event_id AS span_id, ts AS started_at, value AS duration_ms, chr(107) || CAST(user_id % 10 AS STRING) || chr(58) || event_type AS method FROM events)')}")
 def rolling_stream(stream):
-    return T.drain(T.rolling(_spans(stream), "method"), "rolling").select("method", "span_id", F.col("n").alias("window_n"), "p50", "p95")
+    return T.drain(K.rolling(_spans(stream), "method"), "rolling").select("method", "span_id", F.col("n").alias("window_n"), "p50", "p95")
+
+
+TTL = 2 * 86400
+
+
+def _traces(events):
+    """Traces of seven spans; the first is the parent of the others, which come in any order of time."""
+    first = F.expr("event_id - event_id % 7")
+    shaken = F.col("ts").cast("timestamp") + F.make_dt_interval(hours=(F.col("event_id") * 37) % 90)
+    return events.select(F.expr("event_id div 7").alias("trace_id"), F.col("event_id").alias("span_id"), F.when(F.col("event_id") != first, first).alias("parent_span_id"), shaken.alias("started_at"), F.concat(F.lit("k"), F.col("user_id") % 10, F.lit(":"), "event_type").alias("method"), F.col("value").alias("duration_ms"))
+
+
+PENDING_SQL = f"""WITH s AS (SELECT event_id // 7 AS trace, event_id AS span_id, CASE WHEN event_id % 7 > 0 THEN event_id - event_id % 7 END AS parent, epoch_us(ts) + (event_id * 37) % 90 * 3600000000 AS us, 'k' || CAST(user_id % 10 AS STRING) || ':' || event_type AS method FROM events),
+c AS (SELECT c.*, p.us AS p_us, p.method AS p_method FROM s c LEFT JOIN s p ON p.span_id = c.parent AND p.trace = c.trace),
+n AS (SELECT *, coalesce(lead(us) OVER (PARTITION BY parent, us < p_us ORDER BY us, span_id), p_us) - us > {TTL}000000 AS apart FROM c),
+g AS (SELECT *, bool_or(apart) OVER (PARTITION BY parent, us < p_us ORDER BY us DESC, span_id DESC) AS gap FROM n)
+SELECT span_id, method, CASE WHEN fits AND p_method <> method THEN p_method END AS caller, NOT fits OR p_method = method AS solo
+FROM (SELECT *, parent IS NOT NULL AND p_us IS NOT NULL AND CASE WHEN us < p_us THEN NOT gap ELSE us - p_us <= {TTL}000000 END AS fits FROM g WHERE us < epoch_us(TIMESTAMP '{END}'))"""
+
+
+@stream_query("str_02_pending_children", "events", PENDING_SQL)
+def pending_children(stream):
+    """Late parents by state and timers: a sibling renews the time that its elders wait. Up to a time that all timers have passed."""
+    out = T.drain(K.late_parents(_traces(stream), TTL), "pending")
+    return out.where(F.col("started_at") < F.lit(END).cast("timestamp")).select("span_id", "method", "caller", "solo")
+
+
+@query("str_02_pending_children_batch", "events", PENDING_SQL)
+def pending_children_batch(events):
+    return K.late_parents_batch(_traces(events), TTL).where(F.col("started_at") < F.lit(END).cast("timestamp")).select("span_id", "method", "caller", "solo")
 
 
 FOLD_SQL = "SELECT 'k' || CAST(user_id % 10 AS STRING) || ':' || event_type AS method, count(*) AS observation_count, arg_max(event_id, (ts, event_id)) AS latest_span, max(ts) AS last_at FROM events GROUP BY 1"
