@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.common import cut, without
+from cairn.operators.graph_survey import survey
 
 CALLS = ("static_calls", "observed_calls")
 LINE_BUCKET = 64
@@ -76,7 +77,8 @@ def reachable(edges: DataFrame, sources: DataFrame, max_depth: int | None = None
 
 def blast_radius(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """node, blast_radius: how many other nodes each source reaches."""
-    return reachable(edges, sources).groupBy(F.col("source").alias("node")).agg((F.count("*") - 1).alias("blast_radius"))
+    found = survey(edges, reach=True).select("node", F.col("reach").alias("blast_radius"))
+    return sources.select("node").where("node IS NOT NULL").distinct().join(found, "node", "left").select("node", F.coalesce("blast_radius", F.lit(0)).alias("blast_radius"))
 
 
 def ancestry(parents: DataFrame, targets: DataFrame) -> DataFrame:
@@ -162,6 +164,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, root) of the nodes on cycles of two or more; root: the smallest of them. edges (src, dst); self-loops are ignored."""
+    return survey(edges).where("size > 1").select("node", "root")
+
+
+def coloured_components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes on cycles of two or more: colouring (Orzan, 2004). edges (src, dst); self-loops are ignored.
 
     Rounds: edges that no cycle can use are trimmed; the largest name that reaches a node is its colour; what
@@ -206,12 +213,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 def dependency_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, depth: edges on the longest path from it in the graph whose strong components are single nodes."""
-    scc = strong_components(edges)
-    root = nodes.select("node").join(scc, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    root = cut(root, "roots")
-    dag = edges.join(root.select(F.col("node").alias("src"), F.col("root").alias("s")), "src").join(root.select(F.col("node").alias("dst"), F.col("root").alias("d")), "dst")
-    dag = cut(dag.where("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct(), "dag")
-    parts, front, level = [root.select(F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()], None, 0
+    return nodes.select("node").join(survey(edges).select("node", "depth"), "node", "left").select("node", F.coalesce("depth", F.lit(0)).cast("int").alias("depth"))
+
+
+def levels(nodes: DataFrame, dag: DataFrame) -> DataFrame:
+    """node, depth: edges on the longest path from it; dag (src, dst) has no cycle. A written round for each step of the longest path."""
+    parts, front, level = [nodes.select("node", F.lit(0).alias("depth"))], None, 0
     while True:  # in round k: what has a path of k edges below it
         level += 1
         below = dag if front is None else dag.join(front.withColumnRenamed("node", "dst"), "dst", "left_semi")
@@ -219,8 +226,7 @@ def dependency_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if not front.take(1):
             break
         parts.append(front.withColumn("depth", F.lit(level)))
-    depth = _union(parts).groupBy("node").agg(F.max("depth").alias("depth"))
-    return root.join(depth.withColumnRenamed("node", "root"), "root").select("node", "depth")
+    return _union(parts).groupBy("node").agg(F.max("depth").alias("depth"))
 
 
 # --- deltas and edge builders

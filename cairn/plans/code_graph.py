@@ -48,7 +48,7 @@ def seed_expansion(edges):
 
 @query("gr_06_expand_callees", "edge", f"SELECT edge_id, 1 AS hop FROM edge WHERE kind IN {CALLS} AND src_node_id = 'n11' UNION ALL SELECT edge_id, 2 FROM edge WHERE kind IN {CALLS} AND src_node_id <> 'n11' AND src_node_id IN (SELECT dst_node_id FROM edge WHERE kind IN {CALLS} AND src_node_id = 'n11')")
 def expand_callees(edges):
-    found, _, _ = G.expand(edges, ["n11"], 2, max_edges=400, max_nodes=200)
+    found, _, _ = G.expand(edges, ["n11"], 2, max_edges=4000, max_nodes=2000)
     return edges.sparkSession.createDataFrame([(e["edge_id"], e["hop"]) for e in found], "edge_id string, hop int")
 
 
@@ -165,20 +165,19 @@ def blast(edges):
     return G.blast_radius(links, links.select(F.col("src").alias("node")).distinct())
 
 
-DEPENDS = "l AS (SELECT DISTINCT 'r' || CAST(CAST(substr(src_node_id, 2) AS BIGINT) % 150 AS STRING) AS s, 'r' || CAST(CAST(substr(dst_node_id, 2) AS BIGINT) % 150 AS STRING) AS d FROM edge WHERE kind = 'imports' AND from_sha IN ('s1995', 's1996'))"
+DEPENDS = "l AS MATERIALIZED (SELECT DISTINCT src_node_id AS s, dst_node_id AS d FROM edge WHERE kind = 'imports')"
 
 
 @query(
     "sys_01_dependency_depth",
     "edge",
     f"""WITH RECURSIVE {DEPENDS}, n AS (SELECT s AS x FROM l UNION SELECT d FROM l), r AS (SELECT s, d FROM l UNION SELECT r.s, l.d FROM r JOIN l ON l.s = r.d),
-    c AS (SELECT n.x, coalesce((SELECT min(a.d) FROM r a JOIN r b ON a.s = b.d AND a.d = b.s WHERE a.s = n.x), n.x) AS root FROM n),
-    g AS (SELECT DISTINCT a.root AS s, b.root AS d FROM l JOIN c a ON a.x = l.s JOIN c b ON b.x = l.d WHERE a.root <> b.root),
-    p AS (SELECT s, d, 1 AS k FROM g UNION SELECT p.s, g.d, p.k + 1 FROM p JOIN g ON g.s = p.d)
+    m AS MATERIALIZED (SELECT a.s AS x, min(a.d) AS root FROM r a JOIN r b ON a.s = b.d AND a.d = b.s GROUP BY 1), c AS MATERIALIZED (SELECT n.x, coalesce(m.root, n.x) AS root FROM n LEFT JOIN m ON m.x = n.x),
+    g AS MATERIALIZED (SELECT DISTINCT a.root AS s, b.root AS d FROM l JOIN c a ON a.x = l.s JOIN c b ON b.x = l.d WHERE a.root <> b.root),
+    p AS (SELECT s, 1 AS k FROM g UNION SELECT g.s, p.k + 1 FROM p JOIN g ON g.d = p.s)
     SELECT c.x AS node, CAST(coalesce(max(p.k), 0) AS INTEGER) AS depth FROM c LEFT JOIN p ON p.s = c.root GROUP BY 1""",
 )
 def dependency_depth(edges):
-    number = lambda c: F.concat(F.lit("r"), F.expr(f"CAST(substr({c}, 2) AS BIGINT) % 150"))
-    links = edges.where("kind = 'imports' AND from_sha IN ('s1995', 's1996')").select(number("src_node_id").alias("src"), number("dst_node_id").alias("dst")).distinct()
+    links = edges.where("kind = 'imports'").select(F.col("src_node_id").alias("src"), F.col("dst_node_id").alias("dst"))
     nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
     return G.dependency_depth(nodes, links)

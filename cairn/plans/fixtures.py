@@ -67,9 +67,9 @@ _add(
     "edge",
     "lineitem",
     """SELECT 'e' || CAST(src AS STRING) || '-' || CAST(dst AS STRING) || '-' || kind AS edge_id, 'n' || CAST(src AS STRING) AS src_node_id, 'n' || CAST(dst AS STRING) AS dst_node_id, kind, min(from_sha) AS from_sha
-    FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst, l_quantity,
+    FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst,
       CASE l_linenumber % 3 WHEN 0 THEN 'static_calls' WHEN 1 THEN 'observed_calls' ELSE 'imports' END AS kind, 's' || CAST(year(l_shipdate) AS STRING) AS from_sha FROM lineitem) x
-    WHERE l_quantity >= 49 AND dst IS NOT NULL AND src <> dst GROUP BY src, dst, kind""",
+    WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst, kind""",
 )
 _add("edge_retirement", "edge", "SELECT edge_id, 's' || CAST(1996 + length(edge_id) % 5 AS STRING) AS retired_at_sha FROM edge WHERE length(edge_id) % 4 = 0 AND from_sha < 's1999'")
 _add("sha_lineage", "", "SELECT 's' || CAST(y AS STRING) AS sha, CASE WHEN y > 1992 THEN 's' || CAST(y - 1 AS STRING) END AS parent_sha FROM (VALUES (1992), (1993), (1994), (1995), (1996), (1997), (1998), (1999), (2000), (2001), (2002)) t(y)")
@@ -128,12 +128,12 @@ _add(
       ELSE CASE WHEN p_partkey % 20 < 16 THEN 'p' || CAST(p_partkey - 1 AS STRING) ELSE 'p' || CAST(p_partkey - 6 AS STRING) END END AS parent_scope_id,
     CASE p_partkey % 20 WHEN 0 THEN 'file' WHEN 1 THEN 'class' WHEN 2 THEN 'method' WHEN 9 THEN 'method' ELSE 'block' END AS kind,
     CASE WHEN p_partkey % 20 IN (0, 1, 2, 9) THEN NULL ELSE CASE p_size % 8 WHEN 0 THEN 'if' WHEN 1 THEN 'else_if' WHEN 2 THEN 'else' WHEN 3 THEN 'for' WHEN 4 THEN 'ternary' WHEN 5 THEN 'logical_and' WHEN 6 THEN 'goto' ELSE 'case' END END AS decision,
-    CAST(p_size % 3 AS BIGINT) AS start_line, CAST(p_size AS BIGINT) AS end_line, CASE WHEN p_partkey % 140 < 20 THEN 'parse_failed' END AS degraded_reason FROM part WHERE p_partkey >= 20""",
+    CAST(p_size % 3 AS BIGINT) AS start_line, CAST(p_size AS BIGINT) AS end_line, CASE WHEN p_partkey % 140 < 20 THEN 'parse_failed' END AS degraded_reason FROM part""",
 )
-_add("ast_call", "lineitem", "SELECT CAST(l_orderkey * 10 + l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) AS edge_id, CASE WHEN l_tax < 0.01 THEN NULL ELSE 'p' || CAST(l_partkey AS STRING) END AS from_scope, CASE WHEN l_tax > 0.07 THEN NULL ELSE 'p' || CAST(l_partkey + l_linenumber * 3 AS STRING) END AS to_scope FROM lineitem WHERE l_quantity > 40")
+_add("ast_call", "lineitem", "SELECT CAST(l_orderkey * 10 + l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS edge_id, CASE WHEN l_tax < 0.01 THEN NULL ELSE 'p' || CAST(l_partkey AS STRING) END AS from_scope, CASE WHEN l_tax > 0.07 THEN NULL ELSE 'p' || CAST(l_partkey + l_linenumber * 3 AS STRING) END AS to_scope FROM lineitem")
 _add("class_member", "part", "SELECT 'c' || CAST(p_size AS STRING) AS class, 'm' || CAST(p_partkey AS STRING) AS method, p_partkey AS k FROM part")
-_add("field_use", "part", "SELECT 'c' || CAST(p_size AS STRING) AS class, 'm' || CAST(p_partkey AS STRING) AS method, 'x' || CAST(p_partkey % 13 AS STRING) AS field FROM part WHERE p_partkey % 3 <> 0")
-_add("member_call", "part", "SELECT 'c' || CAST(p_size AS STRING) AS class, 'm' || CAST(p_partkey AS STRING) AS caller, 'm' || CAST(p_partkey + p_size AS STRING) AS callee FROM part WHERE p_partkey % 4 = 0")
+_add("field_use", "part", "SELECT 'c' || CAST(p_size AS STRING) AS class, 'm' || CAST(p_partkey AS STRING) AS method, 'x' || CAST(p_partkey % 13 AS STRING) AS field FROM part")
+_add("member_call", "part", "SELECT 'c' || CAST(p_size AS STRING) AS class, 'm' || CAST(p_partkey AS STRING) AS caller, 'm' || CAST(p_partkey + p_size AS STRING) AS callee FROM part")
 # Packages of fifteen parts, so that their number grows with the input. Imports lead to about half the number or less, now and then to the double: chains and cycles.
 _add("package_file", "part", "SELECT 'r' || CAST(p_partkey % 3 AS STRING) AS repo, 'f' || CAST(p_partkey AS STRING) AS file, 'k' || CAST(CAST(floor(p_partkey / 15) AS BIGINT) AS STRING) AS package, 'src/k' || CAST(CAST(floor(p_partkey / 15) AS BIGINT) AS STRING) AS dir FROM part")
 _add(
@@ -143,8 +143,8 @@ _add(
     || CAST(CASE WHEN l_partkey % 50 = 0 THEN 2 * CAST(floor(l_partkey / 15) AS BIGINT) ELSE CAST(floor(floor(l_partkey / 15) / (2 + l_suppkey % 3)) AS BIGINT) END AS STRING) AS target FROM lineitem""",
 )
 _add("module_path", "", "SELECT r AS repo, m AS module FROM (VALUES ('r0', 'example.org'), ('r0', 'example.org/mod'), ('r1', 'example.org/mod')) t(r, m)")
-_add("method_decl", "part", "SELECT 'f' || CAST(p_partkey % 50 AS STRING) AS file, 'C' || CAST(p_partkey % 5 AS STRING) || '.m' || CAST(p_size % 20 AS STRING) AS name, 'n' || CAST(p_partkey AS STRING) AS node FROM part WHERE p_partkey % 7 < 3")
-_add("call_site", "lineitem", "SELECT DISTINCT 'f' || CAST(l_partkey % 50 AS STRING) AS file, 'n' || CAST(l_partkey AS STRING) AS caller, 'm' || CAST(l_suppkey % 20 AS STRING) AS callee, CASE WHEN l_linenumber % 2 = 0 THEN 'C' || CAST(l_partkey % 5 AS STRING) END AS enclosing FROM lineitem WHERE l_quantity > 45")
+_add("method_decl", "part", "SELECT 'f' || CAST(p_partkey % 50 AS STRING) AS file, 'C' || CAST(p_partkey % 5 AS STRING) || '.m' || CAST(p_size % 20 AS STRING) AS name, 'n' || CAST(p_partkey AS STRING) AS node FROM part")
+_add("call_site", "lineitem", "SELECT DISTINCT 'f' || CAST(l_partkey % 50 AS STRING) AS file, 'n' || CAST(l_partkey AS STRING) AS caller, 'm' || CAST(l_suppkey % 20 AS STRING) AS callee, CASE WHEN l_linenumber % 2 = 0 THEN 'C' || CAST(l_partkey % 5 AS STRING) END AS enclosing FROM lineitem")
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
