@@ -16,7 +16,9 @@ suspects: nav, header, footer, aside, form, and elements whose role or whole cla
 suspect is content nevertheless if beside it hardly anything stands outside suspects (a tenth of it; for
 comments, nav, footer and aside 3 in 100), if it has an article, a main part or a first heading and half
 of the body's characters outside links (none of these four), or if it is also named as content (``post``,
-``content``) and at most half of it is links.
+``content``) and at most half of it is links. Names of headings say nothing, and inside an article an id says
+nothing of an element with a heading and prose that is not mostly links (its id is an anchor), but for the ids
+that reader comments have.
 
 Defined cases: null and empty pages give an empty text; pages cut off anywhere are parsed as far as they
 go (an unfinished tag is dropped); a page without tags is text as a whole; repeated rows stay; further
@@ -29,6 +31,7 @@ import functools
 import itertools
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -58,6 +61,7 @@ _FURNITURE = re.compile(
     r"ads?|advert\w*|sponsor\w*|promo\w*|banners?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|widgets?|header|footer|masthead|topbar|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modal|overlay|newsletters?|subscri\w+|signup|login|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|copyright|disclaimer|skip|search|hidden"
 )
 _COMMENTS = re.compile(r"comments?|respond|repl(?:y|ies)|discussions?|disqus")
+_READERS = re.compile(r"comments?|respond|replies|disqus(?:_thread)?", re.I)  # ids that stand for reader comments, not for a heading's words
 _CONTENT = frozenset("post article entry content story hentry page site main".split())
 _DENIAL = frozenset("has no with without is not".split())
 _words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]+")
@@ -65,11 +69,14 @@ _attribute = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "noise", "chars", "tags", "link_chars", "link_tags", "density", "score", "whole", "main")
+    __slots__ = ("tag", "parent", "parts", "noise", "anchor", "chars", "tags", "link_chars", "link_tags", "density", "score", "whole", "main")
 
-    def __init__(self, tag: str, parent: Node | None, noise: float):
-        """noise: the share of the body's characters above which the node is content all the same; 0 for content, 2 for never."""
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, noise: float, anchor: bool = False):
+        """noise: the share of the body's characters above which the node is content all the same; 0 for content, 2 for never.
+
+        anchor: only an id inside an article speaks against it.
+        """
+        self.tag, self.parent, self.noise, self.anchor = tag, parent, noise, anchor
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.score = 0.0
@@ -98,35 +105,46 @@ def name_noise(value: str) -> float:
     return NAMED if found and content else found
 
 
-def _noise(tag: str, attributes: str, inside_article: bool) -> float:
+def _noise(tag: str, attributes: str, inside_article: bool) -> tuple[float, bool]:
+    """What speaks against an element, and whether that is only an id inside an article.
+
+    Ids and classes of headings say nothing: they are mostly made from the heading's own words.
+    """
     if tag in _NEVER:
-        return NEVER
+        return NEVER, False
     worst = HARDLY if tag in _ASIDE else MAYBE if tag in _SUSPECT and not (tag == "header" and inside_article) else 0.0
     if not attributes or tag in ("html", "body", "main"):
-        return worst
+        return worst, False
+    by_id = 0.0
     for name, value in _attribute.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return NEVER
+            return NEVER, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return NEVER
+            return NEVER, False
         if name == "role" and value.lower() in _ROLES:
             worst = max(worst, MAYBE)
-        if name in ("class", "id"):
-            said = name_noise(unescape(value))
-            worst = said if said == NAMED and not worst else max(worst, said)
-    return worst
+        if name in ("class", "id") and tag not in _HEADINGS:
+            value = unescape(value)
+            said = name_noise(value)
+            if name == "id" and inside_article and said > 0 and not _READERS.fullmatch(value.strip()):
+                by_id = max(by_id, said)
+            else:
+                worst = said if said == NAMED and not worst else max(worst, said)
+    return (by_id, True) if by_id and not worst else (max(worst, by_id), False)
 
 
 def parse(page: str) -> Node:
-    """A tree with the end tags that HTML lets writers leave out."""
+    """A tree with the end tags that HTML lets writers leave out. Places of open elements are kept by tag, so no step walks the stack."""
     root = Node("#root", None, 0.0)
-    stack, articles, at, size = [root], 0, 0, len(page)
+    stack, places, scopes, at, size = [root], {}, [0], 0, len(page)
 
-    def close(count: int) -> None:
-        nonlocal articles
-        for _ in range(count):
-            articles -= stack.pop().tag == "article"
+    def close(place: int) -> None:
+        while len(stack) > place:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag in _SCOPE:
+                scopes.pop()
 
     while at < size:
         found = _token.search(page, at)
@@ -141,23 +159,17 @@ def parse(page: str) -> Node:
             continue
         tag = name.lower()
         if closing:
-            for depth, node in enumerate(reversed(stack[1:])):
-                if node.tag == tag:
-                    close(depth + 1)
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         ends = _CLOSES.get(tag, ())
         if tag in _CLOSES_P:
             ends = (*ends, "p")
-        if ends:
-            depth = 0
-            for k, node in enumerate(reversed(stack[1:]), 1):
-                if node.tag in ends:
-                    depth = k
-                elif node.tag in _SCOPE:
-                    break
-            close(depth)
-        node = Node(tag, stack[-1], _noise(tag, attributes, articles > 0))
+        # The outermost of these that is open inside the last scope, with all that is open in it.
+        inner = [held[k] for e in ends if (held := places.get(e)) and (k := bisect_right(held, scopes[-1])) < len(held)]
+        if inner:
+            close(min(inner))
+        node = Node(tag, stack[-1], *_noise(tag, attributes, bool(places.get("article"))))
         stack[-1].parts.append(node)
         if tag in _VOID:
             continue
@@ -167,8 +179,10 @@ def parse(page: str) -> Node:
             continue
         if attributes.endswith("/") and tag not in _BLOCK:
             continue
+        if tag in _SCOPE:
+            scopes.append(len(stack))
+        places.setdefault(tag, []).append(len(stack))
         stack.append(node)
-        articles += tag == "article"
     return root
 
 
@@ -206,6 +220,8 @@ def judge_suspects(root: Node) -> Node:
                 else:
                     todo.append(x)
     for node in order:
+        if node.anchor and 2 * node.whole[2] <= node.whole[0] and _is_section(node):
+            node.noise = 0.0
         if node.noise == NAMED:
             node.noise = float(2 * node.whole[2] > node.whole[0])
     for node in sorted((n for n in order if 0 < n.noise < NEVER), key=plain, reverse=True):
@@ -216,6 +232,14 @@ def judge_suspects(root: Node) -> Node:
     return body
 
 
+def _is_section(node: Node) -> bool:
+    """Whether it has a heading of its own and prose, so that its id is an anchor."""
+    tags = {x.tag for x in node.parts if type(x) is Node}
+    inner = {y.tag for x in node.parts if type(x) is Node and x.tag in ("div", "header", "hgroup") for y in x.parts if type(y) is Node}
+    prose = not tags.isdisjoint(_PROSE) or not inner.isdisjoint(_PROSE) or any(type(x) is str and not x.isspace() for x in node.parts)
+    return prose and not _HEADINGS.isdisjoint(tags | inner)
+
+
 def wrap_runs(root: Node) -> None:
     """Make a node of each run of text and inline elements that stands between blocks."""
     for node in _walk(root):
