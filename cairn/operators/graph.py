@@ -16,7 +16,6 @@ from cairn.operators.common import cut, without
 from cairn.operators.graph_survey import survey
 
 CALLS = ("static_calls", "observed_calls")
-LINE_BUCKET = 64
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -46,17 +45,6 @@ def card(nodes: DataFrame, edges: DataFrame, observations: DataFrame) -> DataFra
     return nodes.select("node_id", "kind").join(out, "node_id", "left")
 
 
-def narrowest(points: DataFrame, id_col: str, intervals: DataFrame, keys: Sequence[str], line: str = "line", node: str = "node_id") -> DataFrame:
-    """id_col, node: the shortest interval that holds the point's line; points without one are left out.
-
-    Intervals are listed under each run of LINE_BUCKET lines they touch, so that the join is on equal values.
-    """
-    whole = lambda c: F.floor(F.col(c) / LINE_BUCKET)
-    listed = intervals.where("start_line <= end_line").withColumn("_bucket", F.explode(F.sequence(whole("start_line"), whole("end_line"))))
-    met = points.withColumn("_bucket", whole(line)).join(listed, [*keys, "_bucket"]).where(F.col(line).between(F.col("start_line"), F.col("end_line")))
-    return met.groupBy(id_col).agg(F.min_by(node, F.struct(F.col("end_line") - F.col("start_line"), F.col(node))).alias(node))
-
-
 # --- traversals
 
 

@@ -11,6 +11,7 @@ import math
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator, Sequence
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -164,3 +165,53 @@ def rolling_quantiles(df: DataFrame, key: str, order: Sequence[str], value: str,
     schema = StructType([*df.schema.fields, StructField("window_n", LongType()), *[StructField(s, DoubleType()) for s in names]])
     dealt = rows.repartition("_part").sortWithinPartitions("_part", key, *order, "_own")
     return dealt.mapInArrow(roll, schema)
+
+
+# --- intervals
+
+
+def narrowest(points: DataFrame, id_col: str, intervals: DataFrame, keys: Sequence[str], line: str = "line", node: str = "node_id") -> DataFrame:
+    """id_col, node: the shortest interval (start_line to end_line; ties: the smaller node) that holds the point's line; points without one are left out.
+
+    A sweep: starts and points are sorted by line, and of the open intervals a heap has the shortest on top. An
+    interval is one row however long it is, and one more for each further range of its key that it reaches into.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    id_type, node_type = points.schema[id_col].dataType, intervals.schema[node].dataType
+    starts = intervals.where("start_line <= end_line").select(*keys, F.col("start_line").cast("long").alias("_line"), F.lit(0).alias("_kind"), F.col("end_line").cast("long").alias("_end"), F.col("start_line").cast("long").alias("_start"), F.col(node).alias("_node"), none(id_type).alias("_id"))
+    asked = points.where(F.col(line).isNotNull()).select(*keys, F.col(line).cast("long").alias("_line"), F.lit(1).alias("_kind"), none("long").alias("_end"), none("long").alias("_start"), none(node_type).alias("_node"), F.col(id_col).alias("_id"))
+    known = [F.col(k).isNotNull() for k in keys]
+    rows = starts.unionByName(asked)
+    for k in known:
+        rows = rows.where(k)
+    held = ranges(rows, keys, ["_line", "_kind"], "sweep").drop("_at")
+    pieces = held.groupBy(*keys, "_part").agg(F.min("_line").alias("_first"))
+    following = Window.partitionBy(*keys).orderBy("_part")
+    pieces = cut(pieces.withColumn("_next", F.lead("_first").over(following)), "sweep-pieces")
+    reaching = held.where("_kind = 0").join(pieces.where("_next IS NOT NULL").select(*keys, "_part", "_next"), [*keys, "_part"]).where("_end >= _next").drop("_next")
+    later = pieces.select(*keys, F.col("_part").alias("_to"), "_first")
+    carried = reaching.join(later, list(keys)).where("_to > _part AND _first <= _end").withColumn("_part", F.col("_to")).withColumn("_line", F.col("_first")).drop("_to", "_first")
+    columns = [*keys, "_kind", "_line", "_end", "_start", "_node", "_id", "_part"]
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, heap = None, []
+        for batch in batches:
+            names = [batch.column(i).to_pylist() for i in range(len(keys))]
+            own = list(zip(batch.column(len(columns) - 1).to_pylist(), *names, strict=True))
+            ids, nodes = [], []
+            for here, kind, at, end, start, name, point in zip(own, *(batch.column(len(keys) + i).to_pylist() for i in range(6)), strict=True):
+                if here != piece:
+                    piece, heap = here, []
+                if kind == 0:
+                    heappush(heap, (end - start, name, end))
+                    continue
+                while heap and heap[0][2] < at:
+                    heappop(heap)
+                if heap:
+                    ids.append(point)
+                    nodes.append(heap[0][1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("_id").type), pa.array(nodes, batch.schema.field("_node").type)], names=[id_col, node])
+
+    both = held.select(*columns).unionByName(carried.select(*columns))
+    schema = StructType([StructField(id_col, id_type), StructField(node, node_type)])
+    return both.repartition("_part").sortWithinPartitions("_part", *keys, "_line", "_kind").mapInArrow(sweep, schema)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
 from cairn.operators import common as C
+from cairn.operators import ordered as O
 from cairn.operators import samples as M
 from cairn.plans.catalog import query
 
@@ -188,10 +189,9 @@ def as_of_latest(episodes, updates):
     SELECT event_id, node_id FROM (SELECT s.event_id, n.node_id, row_number() OVER (PARTITION BY s.event_id ORDER BY n.end_line - n.start_line, n.node_id) AS rn FROM s JOIN node n ON s.repo_id = n.repo_id AND s.line BETWEEN n.start_line AND n.end_line) WHERE rn = 1""",
 )
 def narrowest_interval(events, nodes):
-    from cairn.operators import graph
 
     spans = events.selectExpr("event_id", "'Brand#' || CAST(1 + user_id % 5 AS STRING) || CAST(1 + event_id % 5 AS STRING) AS repo_id", "event_id % 55 AS line")
-    return graph.narrowest(spans, "event_id", nodes.select("repo_id", "node_id", "start_line", "end_line"), ["repo_id"]).select("event_id", "node_id")
+    return O.narrowest(spans, "event_id", nodes.select("repo_id", "node_id", "start_line", "end_line"), ["repo_id"]).select("event_id", "node_id")
 
 
 @query("jn_07_parent_span", "span", "SELECT c.trace_id, c.span_id, c.method AS callee, p.method AS caller FROM span c JOIN span p ON p.trace_id = c.trace_id AND p.span_id = c.parent_span_id")

@@ -11,7 +11,7 @@ from cairn.operators import samples as M
 from cairn.operators.common import latest, shared_dir
 from cairn.plans.catalog import query
 from cairn.plans.relational import ACTIVE, SAMPLES, rounded
-from cairn.sources import reports, sinks
+from cairn.sources import publisher, reports, sinks
 
 SHA = "0123456789abcdef0123456789abcdef01234567"
 
@@ -123,6 +123,27 @@ def append_twice(findings):
     return findings.sparkSession.read.parquet(path).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
+@query(
+    "snk_05_publish",
+    "embeddings",
+    """SELECT vec_id AS item_id, CASE WHEN label % 2 = 0 AND vec_id % 7 > 0 THEN 2 ELSE 1 END AS version, CASE WHEN label % 2 = 0 AND vec_id % 7 > 0 THEN 'superseded' END AS first_version, CASE WHEN label % 2 = 0 AND vec_id % 7 = 0 THEN 'failed' WHEN label % 2 = 0 THEN 'published' END AS second_version
+    FROM embeddings""",
+)
+def publish(embeddings):
+    """Two batches of which the second crashes between its tables and is run again; every seventh vector of it is cut short and fails."""
+    spark, store = embeddings.sparkSession, _folder(embeddings, "publisher")
+    size = 64
+    first = embeddings.select(F.col("vec_id").alias("item_id"), F.lit(1).cast("long").alias("version"), "embedding")
+    second = embeddings.where("label % 2 = 0").select(F.col("vec_id").alias("item_id"), F.lit(2).cast("long").alias("version"), F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")).alias("embedding"))
+    publisher.publish(first, store, 1, size)
+    publisher.write_vectors(publisher.queue(second, store, 2), store, 2, size)
+    for row in publisher.unfinished(spark, store).collect():  # a number a batch
+        publisher.publish(second, store, row.batch, size)
+    ended = publisher.state(spark, store).groupBy("item_id").pivot("version", [1, 2]).agg(F.first("kind"))
+    rows = publisher.live(spark, store).select("item_id", F.col("version").cast("int").alias("version")).join(ended, "item_id")
+    return rows.select("item_id", "version", F.when(F.col("1") != "published", F.col("1")).alias("first_version"), F.col("2").alias("second_version"))
+
+
 @query("ins_02_latest_portfolio", SAMPLES, f"WITH {ACTIVE}, r AS (SELECT sha, metric_kind, scope_kind, count(*) AS total_observations FROM act GROUP BY ALL) SELECT metric_kind, scope_kind, sha, total_observations FROM r QUALIFY row_number() OVER (PARTITION BY metric_kind, scope_kind ORDER BY sha DESC) = 1")
 def latest_portfolio(samples, retractions, scopes):
     built = M.active(samples, retractions, scopes).groupBy("sha", "metric_kind", "scope_kind").agg(F.count("*").alias("total_observations"))

@@ -87,8 +87,8 @@ def change_store(stream):
 
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}"
-    T.store_changes(stream.select("event_id", "user_id", "event_type"), path, ["event_id"])
-    T.store_changes(stream.select("event_id", "user_id", "event_type"), f"{path}", ["event_id"])
+    for name in ("first", "again"):  # each with a checkpoint of its own: the second stream delivers everything once more
+        T.store_changes(stream.select("event_id", "user_id", "event_type", "ts"), path, ["event_id"], "ts", name)
     return spark.read.parquet(path).groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id"))
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
-from cairn.operators.common import exists, insert_new, latest, shared_dir
-from cairn.operators.graph import narrowest
+from cairn.operators.common import latest, shared_dir
+from cairn.operators.ordered import narrowest
+from cairn.sources.sinks import append_new
 
 
 def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -102,15 +103,10 @@ def merge_fold(target: DataFrame, update: DataFrame, key: str) -> DataFrame:
     return both.groupBy(key).agg(F.sum("observation_count").alias("observation_count"), F.max_by("latest_span", F.struct("last_at", "latest_span")).alias("latest_span"), F.max("last_at").alias("last_at"))
 
 
-def store_changes(stream: DataFrame, path: str, key: list[str]) -> None:
-    """Append changes to a store, each key once, however often a batch is delivered."""
-    spark = stream.sparkSession
-
-    def write(batch: DataFrame, number: int) -> None:
-        target = spark.read.schema(batch.schema).parquet(path) if exists(spark, path) else batch.limit(0)
-        insert_new(target, batch, key).write.mode("append").parquet(path)
-
-    stream.writeStream.option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+def store_changes(stream: DataFrame, path: str, key: list[str], ts: str, name: str = "changes") -> None:
+    """Append changes to a store in month partitions, each key once, however often a batch is delivered: only months that may hold a key are read."""
+    out = stream.writeStream.option("checkpointLocation", f"{path}-{name}-checkpoint").trigger(availableNow=True)
+    out.foreachBatch(lambda batch, number: append_new(batch, path, key, ts)).start().awaitTermination()
 
 
 def stale_runs(runs: DataFrame, now, minutes: int = 30) -> DataFrame:

@@ -257,7 +257,7 @@ def test_ancestry_of_a_long_chain(spark):
 def test_narrowest(spark):
     spans = table(spark, [(1, "f", 5), (2, "f", 100), (3, "f", 900), (4, "g", 5)], "id int, file string, line int")
     intervals = table(spark, [("f", "outer", 1, 500), ("f", "inner", 4, 6), ("f", "same", 4, 6), ("f", "bad", 9, 2)], "file string, node_id string, start_line int, end_line int")
-    assert as_set(G.narrowest(spans, "id", intervals, ["file"]), "id", "node_id") == {(1, "inner"), (2, "outer")}
+    assert as_set(O.narrowest(spans, "id", intervals, ["file"]), "id", "node_id") == {(1, "inner"), (2, "outer")}
 
 
 def test_edge_builders(spark):

@@ -86,3 +86,51 @@ def test_scopes_of_two_threads_and_nested_ones(spark):
     assert result.count() == 2 and kept[0].count() == 5
     there = lambda df: C.exists(spark, df.inputFiles()[0].rsplit("/", 1)[0])
     assert there(result) and there(kept[0]) and not any(map(there, (gone, inside, middle)))
+
+
+def test_narrowest_interval_over_ranges(spark, many_parts):
+    """Overlapping intervals, a file with most of the rows, and an interval of a million lines that costs a row a range."""
+    rng = random.Random(12)
+    intervals = [("big", f"i{n}", start, start + rng.choice([0, 3, 40, 900])) for n in range(300) for start in [rng.randrange(5000)]]
+    intervals += [("big", "all", 0, 10**6), ("small", "a", 5, 9), ("small", "b", 5, 9), ("small", "wrong", 9, 5), (None, "null", 0, 9)]
+    points = [(n, rng.choice(["big", "big", "small", "none"]), rng.randrange(5200)) for n in range(800)] + [(900, "small", 7), (901, "small", 10), (902, "big", None), (903, None, 5), (904, "big", 10**6), (905, "big", 10**6 + 1)]
+    found = O.narrowest(spark.createDataFrame(points, "id long, file string, line long"), "id", spark.createDataFrame(intervals, "file string, node_id string, start_line long, end_line long"), ["file"])
+    want = {}
+    for point, file, line in points:
+        fits = [(end - start, node) for f, node, start, end in intervals if f == file and f is not None and line is not None and start <= line <= end]
+        if fits:
+            want[point] = min(fits)[1]
+    assert {r.id: r.node_id for r in found.collect()} == want and found.count() == len(want)
+
+
+def test_publisher_after_a_crash(spark, tmp_path):
+    """A batch that stopped between its tables is invisible, is found, and comes out right when it is run again."""
+    from cairn.sources import publisher as W
+
+    store, fields = str(tmp_path / "store"), "item_id long, version long, embedding array<double>"
+    W.publish(spark.createDataFrame([(1, 1, [1.0, 2.0]), (2, 1, [3.0, 4.0]), (3, 1, None)], fields), store, 1, 2)
+    second = spark.createDataFrame([(1, 2, [5.0, 6.0]), (2, 2, [7.0]), (4, 1, [float("nan"), 0.0]), (5, 1, [0.0, 1.0]), (5, 2, [1.0, 1.0])], fields)
+    W.write_vectors(W.queue(second, store, 2), store, 2, 2)
+    assert {(r.item_id, r.version) for r in W.live(spark, store).collect()} == {(1, 1), (2, 1)}
+    assert [r.batch for r in W.unfinished(spark, store).collect()] == [2]
+    for _ in range(2):  # once to repair, once more to see that nothing changes
+        W.publish(second, store, 2, 2)
+        assert {(r.item_id, r.version, tuple(r.embedding)) for r in W.live(spark, store).collect()} == {(1, 2, (5.0, 6.0)), (2, 1, (3.0, 4.0)), (5, 2, (1.0, 1.0))}
+        assert {(r.item_id, r.version, r.kind, r.reason) for r in W.state(spark, store).collect()} == {(1, 1, "superseded", "newer_version"), (1, 2, "published", None), (2, 1, "published", None), (2, 2, "failed", "wrong_size"), (3, 1, "failed", "no_vector"), (4, 1, "failed", "not_finite"), (5, 1, "superseded", "newer_version"), (5, 2, "published", None)}
+        assert W.unfinished(spark, store).count() == 0
+
+
+def test_appends_read_only_months_that_may_hold_a_key(spark, tmp_path):
+    from cairn.sources import sinks
+
+    path = str(tmp_path / "facts")
+    day = lambda rows: spark.createDataFrame(rows, "id long, t string").selectExpr("id", "CAST(t AS TIMESTAMP) AS created_at")
+    for month in range(1, 7):
+        sinks.append_new(day([(100 * month + n, f"2024-{month:02d}-03 00:00:00") for n in range(20)]), path, ["id"])
+    again = day([(305, "2024-03-03 00:00:00"), (306, "2024-05-01 00:00:00"), (999, "2024-06-01 00:00:00"), (999, "2024-06-01 00:00:00")])
+    assert [d.month for d in sinks.months_that_may_hold(again, path, ["id"])] == [3]
+    plan = sinks.stored(again, path, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "2024-03-01" in plan
+    for _ in range(2):
+        sinks.append_new(again, path, ["id"])
+        assert spark.read.parquet(path).count() == 121 and spark.read.parquet(path).select("id").distinct().count() == 121
