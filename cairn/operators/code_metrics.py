@@ -171,9 +171,28 @@ def duplication(files: DataFrame, keys: Sequence[str] | None = None, text: str =
     a window has ratio 0. Hashes are counted before they are shuffled, and positions join back to those that
     repeat, so no group of equal windows is collected.
     """
+    return duplicated_tokens(files.withColumn("_t", S.tokens(F.coalesce(text, F.lit("")))), "_t", keys, file)
+
+
+def structural_tokens(scopes: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """file, tokens: what stands for a file's text where there is none: its scopes but the file's and the package's own, and its symbols, by line, byte and token.
+
+    scopes: file, kind, name, qualified_name, start_line, start_byte; symbols: file, kind, name, start_line, start_byte.
+    """
+    short = F.when(F.col("kind") == "package", "pkg").when(F.col("kind") == "interface", "iface").when(F.col("kind").isin("repo", "file", "class", "method", "block"), F.col("kind")).otherwise("unk")
+    name = F.coalesce(F.when(F.col("name") != "", F.col("name")), F.col("qualified_name"), F.lit(""))
+    rows = scopes.select("file", "start_line", "start_byte", F.when(~F.coalesce(F.col("kind").isin("file", "package"), F.lit(False)), F.concat_ws(":", short, name)).alias("token"))
+    if symbols is not None:
+        rows = rows.unionByName(symbols.select("file", "start_line", "start_byte", F.concat_ws(":", F.lit("sym"), F.coalesce("kind", F.lit("")), F.coalesce("name", F.lit(""))).alias("token")))
+    held = F.when(F.col("token").isNotNull(), F.struct("start_line", "start_byte", "token"))  # a file of its own scope only has no token
+    return rows.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(held)), lambda x: x["token"]).alias("tokens"))
+
+
+def duplicated_tokens(files: DataFrame, tokens: str, keys: Sequence[str] | None = None, file: str = "file") -> DataFrame:
+    """As duplication, of files whose tokens are a column."""
     keys = list(keys) if keys else [file]
     named = list(dict.fromkeys([*keys, file]))
-    rows = files.select(*named, S.tokens(F.coalesce(text, F.lit(""))).alias("_t")).withColumn("_n", F.size("_t"))
+    rows = files.select(*named, F.col(tokens).alias("_t")).withColumn("_n", F.size("_t"))
     totals = rows.groupBy(*keys).agg(F.sum("_n").alias("tokens"))
     key = F.xxhash64(*[part for k in keys for part in (F.col(k).isNull(), F.col(k))]).alias("_key")
     rows = rows.where(F.col("_n") >= WINDOW).select(*named, key, F.transform("_t", lambda t: F.xxhash64(t)).alias("_tokens"))

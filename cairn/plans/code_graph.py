@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cairn.operators import graph as G
+from cairn.operators.common import shared_dir
 from cairn.plans.catalog import query
+from cairn.sources import linked
 
 CALLS = "('static_calls', 'observed_calls')"
 LIVE = "(SELECT e.* FROM edge e WHERE NOT EXISTS (SELECT 1 FROM edge_retirement r WHERE r.edge_id = e.edge_id))"
@@ -165,6 +169,30 @@ def blast(edges):
     return G.blast_radius(links, links.select(F.col("src").alias("node")).distinct())
 
 
+LINKED_SQL = "WITH RECURSIVE l AS (SELECT DISTINCT src_node_id AS s, dst_node_id AS d FROM edge WHERE {0}), r AS (SELECT s, d FROM l UNION SELECT r.s, l.d FROM r JOIN l ON l.s = r.d) SELECT s AS node, count(*) FILTER (WHERE d <> s) AS blast_radius, {1} AS degraded_reason FROM r GROUP BY 1"
+
+
+def _linked(edges, exported: bool):
+    """Reach over a repository's own static calls and the observed calls that a service has exported, if it has."""
+    path = f"{shared_dir(edges.sparkSession)}/linked-{uuid.uuid4().hex}"
+    named = edges.select(F.col("from_sha").alias("sha"), F.lit("r").alias("repo_id"), F.col("src_node_id").alias("src"), F.col("dst_node_id").alias("dst"), "kind")
+    if exported:
+        linked.export(named.where("kind <> 'static_calls'"), path, 500)
+    links, reason = linked.with_linked(named.where("kind = 'static_calls'"), path, ["observed_calls"])
+    found = G.blast_radius(links, links.select(F.col("src").alias("node")).distinct())
+    return found.select("node", "blast_radius", F.lit(reason).cast("string").alias("degraded_reason"))
+
+
+@query("gr_13_linked_blast_radius", "edge", LINKED_SQL.format("kind IN ('static_calls', 'observed_calls')", "CAST(NULL AS STRING)"))
+def linked_blast_radius(edges):
+    return _linked(edges, True)
+
+
+@query("gr_13_without_link", "edge", LINKED_SQL.format("kind = 'static_calls'", f"'{linked.ABSENT}'"))
+def without_link(edges):
+    return _linked(edges, False)
+
+
 DEPENDS = "l AS MATERIALIZED (SELECT DISTINCT src_node_id AS s, dst_node_id AS d FROM edge WHERE kind = 'imports')"
 
 

@@ -131,3 +131,27 @@ def fitness(samples):
 def reliability(samples):
     ratios = samples.where("metric_version = 7").groupBy("repo_id", "sha").agg((F.max("value") / 50).alias("value"))
     return rounded(K.passthrough(samples.select("repo_id", "sha").distinct(), ratios), "xservice_test_reliability")
+
+
+@query(
+    "met_09_structural_duplication",
+    "ast_scope",
+    """WITH s AS (SELECT 'q' || CAST(CAST(substr(scope_id, 2) AS BIGINT) // 500 AS STRING) AS file, kind, CASE WHEN CAST(substr(scope_id, 2) AS BIGINT) % 500 < 300 THEN '' ELSE coalesce(decision, '') END AS name, CAST(substr(scope_id, 2) AS BIGINT) AS line FROM ast_scope),
+    t AS (SELECT file, coalesce(list(kind || ':' || name ORDER BY line) FILTER (WHERE kind <> 'file'), []) AS x FROM s GROUP BY 1),
+    w AS (SELECT file, pos, md5(array_to_string(x[pos:pos + 49], chr(1))) AS h FROM t, range(1, greatest(len(x) - 48, 1)) r(pos) WHERE len(x) >= 50),
+    d AS (SELECT file, h FROM w GROUP BY ALL HAVING count(*) > 1), c AS (SELECT w.file, pos FROM w JOIN d USING (file, h)),
+    g AS (SELECT *, least(50, coalesce(lead(pos) OVER (PARTITION BY file ORDER BY pos) - pos, 50)) AS reach FROM c), u AS (SELECT file, sum(reach) AS covered FROM g GROUP BY 1)
+    SELECT t.file, CAST(len(x) AS BIGINT) AS tokens, CAST(coalesce(covered, 0) AS BIGINT) AS covered, round(CASE WHEN len(x) > 0 THEN coalesce(covered, 0) / len(x) ELSE 0 END, 6) AS duplication_ratio FROM t LEFT JOIN u USING (file)""",
+)
+def structural_duplication(scopes):
+    """Trees without text: files of five hundred scopes, whose blocks have a name in the second part only."""
+    number = F.expr("CAST(substr(scope_id, 2) AS BIGINT)")
+    rows = scopes.select(F.concat(F.lit("q"), F.expr("CAST(substr(scope_id, 2) AS BIGINT) div 500")).alias("file"), "kind", F.when(number % 500 < 300, "").otherwise(F.coalesce("decision", F.lit(""))).alias("name"), F.lit(None).cast("string").alias("qualified_name"), number.alias("start_line"), F.lit(0).alias("start_byte"))
+    return rounded(K.duplicated_tokens(K.structural_tokens(rows), "tokens"), "duplication_ratio")
+
+
+@query("fn_24_decisions_of_scopes", "ast_scope", f"SELECT scope_id, decision, coalesce(cyclo, 0) AS cyclo, coalesce(cognitive, 0) AS cognitive, coalesce(bonus, false) AS bonus, coalesce(pushes, false) AS pushes FROM ast_scope LEFT JOIN (VALUES {TABLE}) v(decision, cyclo, cognitive, bonus, pushes) USING (decision)")
+def decisions_of_scopes(scopes):
+    """What each scope's decision counts for; scopes without one count for nothing."""
+    found = scopes.select("scope_id", "decision").join(F.broadcast(K.decisions(scopes)), "decision", "left")
+    return found.fillna({"cyclo": 0, "cognitive": 0, "bonus": False, "pushes": False}).select("scope_id", "decision", "cyclo", "cognitive", "bonus", "pushes")

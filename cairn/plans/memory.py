@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
 from cairn.operators import graph as G
 from cairn.operators import memory as R
+from cairn.operators.common import latest
+from cairn.operators.ordered import nearest_rank
 from cairn.plans.catalog import query
 from cairn.plans.relational import rounded
 
@@ -35,6 +38,41 @@ def recent(episodes, updates):
     return rows.orderBy(F.desc("created_at"), "episode_id").limit(200).select("episode_id", "effective_outcome")
 
 
+@query("epi_03_concepts", "concept_version", "SELECT concept_id, version_index, confidence, support FROM concept_version QUALIFY row_number() OVER (PARTITION BY concept_id ORDER BY version_index DESC, confidence DESC) = 1 ORDER BY concept_id DESC")
+def concepts_with_version(versions):
+    """Every concept with its newest version."""
+    return latest(versions, ["concept_id"], ["version_index", "confidence"]).orderBy(F.desc("concept_id")).select("concept_id", "version_index", "confidence", "support")
+
+
+@query("epi_03_observations", "observation episode", "SELECT o.episode_id, o.role, o.node_id, o.concept_id, o.weight FROM observation o JOIN episode e USING (episode_id) WHERE e.repo_id = 'u3' ORDER BY e.created_at DESC, o.episode_id")
+def observations_of_repository(observations, episodes):
+    own = episodes.where("repo_id = 'u3'").select("episode_id", "created_at")
+    return observations.join(own, "episode_id").orderBy(F.desc("created_at"), "episode_id").select("episode_id", "role", "node_id", "concept_id", "weight")
+
+
+@query("epi_03_supports", "observation episode", "SELECT concept_id, o.episode_id, role, row_number() OVER (PARTITION BY concept_id ORDER BY e.created_at DESC, o.episode_id DESC) AS place FROM observation o JOIN episode e USING (episode_id) WHERE concept_id IS NOT NULL QUALIFY place <= 50")
+def supports(observations, episodes):
+    """The newest fifty supports of each concept: each task keeps fifty of a concept before the shuffle."""
+    rows = observations.where("concept_id IS NOT NULL").join(episodes.select("episode_id", "created_at"), "episode_id")
+    place = F.row_number().over(Window.partitionBy("concept_id").orderBy(F.desc("created_at"), F.desc("episode_id")))
+    return rows.withColumn("place", place.cast("long")).where("place <= 50").select("concept_id", "episode_id", "role", "place")
+
+
+@query("epi_03_commits", "commit", "SELECT repo_id, sha, parent_sha, scan_status, row_number() OVER (PARTITION BY repo_id ORDER BY committed_at DESC, sha DESC) AS place FROM commit QUALIFY place <= 20")
+def commits_of_repositories(commits):
+    """The newest twenty commits of each repository."""
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("committed_at"), F.desc("sha")))
+    return commits.withColumn("place", place.cast("long")).where("place <= 20").select("repo_id", "sha", "parent_sha", "scan_status", "place")
+
+
+@query("epi_03_trace_tail", "span", "SELECT method, n, p95, span_id, place FROM (SELECT method, span_id, row_number() OVER (PARTITION BY method ORDER BY started_at DESC, span_id DESC) AS place FROM span) JOIN (SELECT method, count(*) AS n, quantile_disc(duration_ms, 0.95) AS p95 FROM span GROUP BY 1) USING (method) WHERE place <= 10")
+def trace_tail(spans):
+    """The ten newest spans of each method beside its aggregate."""
+    place = F.row_number().over(Window.partitionBy("method").orderBy(F.desc("started_at"), F.desc("span_id")))
+    tail = spans.select("method", "span_id", "started_at").withColumn("place", place.cast("long")).where("place <= 10")
+    return tail.join(nearest_rank(spans, ["method"], "duration_ms", p95=0.95), "method").select("method", "n", "p95", "span_id", "place")
+
+
 @query("epi_04_corrections", "episode episode_update", "SELECT e.episode_id, u.update_id, u.outcome FROM episode e JOIN episode_update u ON u.episode_id = e.episode_id AND u.outcome = 'human_corrected' WHERE e.kind = 'agent'")
 def corrections(episodes, updates):
     return updates.where("outcome = 'human_corrected'").join(episodes.where("kind = 'agent'").select("episode_id"), "episode_id", "left_semi").select("episode_id", "update_id", "outcome")

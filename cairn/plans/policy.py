@@ -75,6 +75,20 @@ def refused(region):
     return region.sparkSession.createDataFrame(rows, "n int, kind string, line int, col int")
 
 
+@query(
+    "dsl_02_faults_of_texts",
+    "part",
+    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'lex' WHEN 1 THEN 'parse' WHEN 2 THEN 'semantic' WHEN 3 THEN 'type' END AS kind, CASE WHEN p_partkey % 5 < 4 THEN CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END END AS line,
+    p_size + CASE p_partkey % 5 WHEN 0 THEN 7 WHEN 1 THEN 11 WHEN 2 THEN 1 WHEN 3 THEN 6 END AS col FROM part""",
+)
+def faults_of_texts(part):
+    """Rule texts of a table, four of five wrong, at places that follow from the row."""
+    said = F.array(*map(F.lit, ("value = 5", "value > 5 value", "loc > 5", "pack < 'base'", "value > 5")))
+    lead = F.concat(F.when(F.col("p_partkey") % 2 == 0, "\n").otherwise(""), F.repeat(F.lit(" "), F.col("p_size")))
+    rules = part.select("p_partkey", F.concat(lead, F.element_at(said, (F.col("p_partkey") % 5 + 1).cast("int"))).alias("text"))
+    return T.faults(rules).select("p_partkey", "fault.kind", "fault.line", "fault.col")
+
+
 @query("dsl_03_bound_rules", "metric_sample", f"WITH {RULES_SQL} SELECT repo_id, sha, scope_id, rule_id, severity FROM fired")
 def bound_rules(samples):
     """Rules and thresholds of a policy from tables."""

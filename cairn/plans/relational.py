@@ -298,6 +298,45 @@ def regressions(findings):
     return findings.where("delta = 'newly_failing'").groupBy("repo_id", "rule_id").agg(F.count("*").alias("n"), F.max("created_at").alias("latest"))
 
 
+@query("ins_01_metric_samples", SAMPLES, f"WITH {ACTIVE} SELECT sample_id, repo_id, sha, scope_id, metric_kind, metric_version, value, canonical_signature FROM act WHERE repo_id = 'r7' AND sha = 's1997' AND metric_kind = 'cyclo'")
+def metric_samples(samples, retractions, scopes):
+    """Active samples of a repository and commit, with an optional filter; the filters reach the scan, since they are part of the key."""
+    rows = samples.where("repo_id = 'r7' AND sha = 's1997'").where(C.any_of_or_all("metric_kind", ["cyclo"]))
+    return M.active(rows, retractions, scopes).select("sample_id", "repo_id", "sha", "scope_id", "metric_kind", "metric_version", "value", "canonical_signature")
+
+
+@query("ins_01_findings", "finding", "SELECT finding_id, scope_id, rule_id, severity, delta, created_at FROM finding WHERE repo_id = 'r3' AND sha = 's1996' ORDER BY created_at DESC, finding_id")
+def findings_of_commit(findings):
+    return findings.where("repo_id = 'r3' AND sha = 's1996'").orderBy(F.desc("created_at"), "finding_id").select("finding_id", "scope_id", "rule_id", "severity", "delta", "created_at")
+
+
+PLANS_SQL = "plans AS (SELECT repo_id || '/' || sha || '/' || rule_id AS plan_id, repo_id, sha, max(created_at) AS created_at FROM finding GROUP BY repo_id, sha, rule_id), tasks AS (SELECT repo_id || '/' || sha || '/' || rule_id AS plan_id, scope_id, min(finding_id) AS task_id, max(created_at) AS created_at FROM finding WHERE delta IN ('new', 'newly_failing') GROUP BY ALL)"
+
+
+@query("ins_01_refactor_plan", "finding", f"WITH {PLANS_SQL}, p AS (SELECT * FROM plans QUALIFY row_number() OVER (PARTITION BY repo_id, sha ORDER BY created_at DESC, plan_id DESC) = 1) SELECT p.repo_id, p.sha, p.plan_id, t.task_id, t.scope_id FROM p LEFT JOIN tasks t USING (plan_id)")
+def refactor_plan(findings):
+    """The newest plan of each repository and commit with its tasks; a plan without tasks is a row too."""
+    rows = findings.withColumn("plan_id", F.concat_ws("/", "repo_id", "sha", "rule_id"))
+    plans = rows.groupBy("plan_id", "repo_id", "sha").agg(F.max("created_at").alias("created_at"))
+    tasks = rows.where("delta IN ('new', 'newly_failing')").groupBy("plan_id", "scope_id").agg(F.min("finding_id").alias("task_id"))
+    return C.latest(plans, ["repo_id", "sha"], ["created_at", "plan_id"]).join(tasks, "plan_id", "left").select("repo_id", "sha", "plan_id", "task_id", "scope_id")
+
+
+@query(
+    "ins_02_latest_percentile",
+    SAMPLES,
+    f"""WITH {ACTIVE}, built AS (SELECT metric_kind, scope_kind, sha, count(*) AS n, {QUANTS}, make_timestamp(CAST(substr(sha, 2) AS BIGINT), 12, 31, 0, 0, 0) AS built_at FROM act GROUP BY ALL)
+    SELECT metric_kind, scope_kind, sha, n, p50, p90, p99, epoch(TIMESTAMP '1998-12-31 00:30:00') - epoch(built_at) > 3600 AS degraded, CASE WHEN epoch(TIMESTAMP '1998-12-31 00:30:00') - epoch(built_at) > 3600 THEN 'percentile_stale' END AS degraded_reason
+    FROM built WHERE sha <= 's1998' QUALIFY row_number() OVER (PARTITION BY metric_kind, scope_kind ORDER BY built_at DESC) = 1""",
+)
+def latest_percentile(samples, retractions, scopes):
+    """The newest percentiles of each metric and scope kind, and whether they are too old to be shown without a remark."""
+    rows = M.active(samples.where("sha <= 's1998'"), retractions, scopes)
+    built = O.percentiles(rows, ["metric_kind", "scope_kind", "sha"], "value", **M.SHARES).withColumn("built_at", F.make_timestamp_ntz(F.substring("sha", 2, 4).cast("int"), F.lit(12), F.lit(31), F.lit(0), F.lit(0), F.lit(0)))
+    newest = M.fresh(C.latest(built, ["metric_kind", "scope_kind"], ["built_at"]), F.lit("1998-12-31 00:30:00"))
+    return rounded(newest.select("metric_kind", "scope_kind", "sha", "n", "p50", "p90", "p99", "degraded", "degraded_reason"), "p50", "p90", "p99")
+
+
 @query("ins_03_aged_mutes", "override", "SELECT rule_id, repo_id, scope_glob, override_id, age_days FROM (SELECT *, row_number() OVER (PARTITION BY rule_id, repo_id, scope_glob ORDER BY created_rank DESC, override_id DESC) AS rn FROM override) WHERE rn = 1 AND mute AND age_days > 90")
 def aged_mutes(overrides):
     newest = C.latest(overrides, ["rule_id", "repo_id", "scope_glob"], ["created_rank", "override_id"])
