@@ -157,7 +157,14 @@ def contains(nodes):
     return G.contains_edges(nodes)
 
 
-@query("gr_19_method_blocks", "documents", None)
+@query(
+    "gr_19_method_blocks",
+    "documents",
+    r"""WITH b AS (SELECT doc_id AS node_id, regexp_replace(coalesce(text, ''), '[.] ', chr(10), 'g') AS body FROM documents),
+    n AS (SELECT node_id, len(string_split(body, chr(10))) AS lines, len(list_filter(string_split(regexp_replace(body, '/\*[\s\S]*?(?:\*/|\z)|(?://|#)[^\n]*', '', 'g'), chr(10)), lambda x: trim(x) <> '')) AS logical FROM b)
+    SELECT node_id, 0 AS ordinal, 'entry' AS kind, CAST(10 AS BIGINT) AS start_line, CAST(9 + greatest(1, lines // 2) AS BIGINT) AS end_line FROM n WHERE logical > 20
+    UNION ALL SELECT node_id, 1, 'exit', CAST(10 + greatest(1, lines // 2) AS BIGINT), CAST(9 + lines AS BIGINT) FROM n WHERE logical > 20""",
+)
 def method_blocks(documents):
     """Entry and exit blocks of texts read as method bodies (checked on small bodies in the tests)."""
     return G.method_blocks(documents.select(F.col("doc_id").alias("node_id"), F.regexp_replace(F.coalesce("text", F.lit("")), "[.] ", "\n").alias("body"), F.lit(10).alias("start_line"), F.lit(0).alias("end_line")), 20)

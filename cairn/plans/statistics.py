@@ -127,7 +127,13 @@ def actor_cap(episodes):
     return A.trailing_cap(episodes, "actor", "created_at", "episode_id", now(), 240, 50).select("episode_id")
 
 
-@query("str_06_hysteresis", "events", None)
+@query(
+    "str_06_hysteresis",
+    "events",
+    """WITH o AS (SELECT user_id, event_id, ts, value, value >= 50 AS over_ FROM events), t AS (SELECT *, coalesce(CAST(lag(over_) OVER w <> over_ AS INTEGER), 1) AS turn FROM o WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    r AS (SELECT *, sum(turn) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM t), h AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(first_value(ts) OVER (PARTITION BY user_id, run ORDER BY ts)) >= 3600000000 THEN over_ END AS settled FROM r)
+    SELECT user_id, event_id, ts, value, coalesce(last_value(settled IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts), false) AS degraded FROM h""",
+)
 def hysteresis(events):
     """Degraded intervals of a queue whose depth is the value of each user's events."""
     return A.hysteresis(events.select("user_id", "event_id", "ts", "value"), "user_id", "ts", "value", 50, 3600)
