@@ -181,6 +181,34 @@ def fnv64a(values: pd.Series) -> np.ndarray:
     return out
 
 
+def fnv64a_windows_of(tokens: list[str], width: int) -> np.ndarray:
+    """FNV-1a of each run of ``width`` tokens, a zero byte after each token; all windows take a step together."""
+    n = len(tokens) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    coded = [t.encode() + b"\0" for t in tokens]
+    sizes = np.array([len(t) for t in coded])
+    starts, whole = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.frombuffer(b"".join(coded), np.uint8)
+    state = np.full(n, 0xCBF29CE484222325, np.uint64)
+    for j in range(width):
+        at, left = starts[j : j + n], sizes[j : j + n]
+        live = np.arange(n)
+        for k in range(int(left.max())):
+            live = live[left[live] > k]  # windows whose j-th token goes on
+            state[live] = (state[live] ^ whole[at[live] + k]) * np.uint64(0x100000001B3)
+    return state
+
+
+def fnv64a_windows(tokens: str | Column, width: int) -> Column:
+    """The hashes of fnv64a_windows_of as an array of longs (two's complement)."""
+
+    @F.pandas_udf("array<long>")
+    def of(lists: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else fnv64a_windows_of(list(x), width).view(np.int64) for x in lists])
+
+    return of(tokens)
+
+
 def hold_out(key: ColumnOrName, fraction: float) -> Column:
     """Whether a key falls into the fraction that is held out: its 64-bit FNV-1a, low 53 bits, against the fraction."""
 

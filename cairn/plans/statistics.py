@@ -190,6 +190,13 @@ def token_counts(documents):
     return documents.select("doc_id", F.size(S.tokens(F.coalesce("text", F.lit("")))).alias("tokens"))
 
 
+@query("fn_12_token_windows", "documents", None)
+def token_windows(documents):
+    """FNV-1a of all runs of fifty tokens of each text: how many, how many different, and the smallest (checked against an independent FNV in the tests)."""
+    hashes = documents.select("doc_id", S.fnv64a_windows(S.tokens(F.coalesce("text", F.lit(""))), 50).alias("h"))
+    return hashes.select("doc_id", F.size("h").cast("long").alias("windows"), F.size(F.array_distinct("h")).cast("long").alias("different"), F.array_min("h").alias("smallest"))
+
+
 @query("fn_13_hold_out", "episode", None)
 def hold_outs(episodes):
     """FNV-1a hold-out of a tenth of the episodes (checked against an independent FNV in the tests)."""

@@ -93,3 +93,13 @@ def test_effort_and_kinds(spark):
 def test_set_signature_is_order_free(spark):
     a, b, c = one(spark, S.set_signature(F.array(F.lit("x:1"), F.lit("y:2"), F.lit("x:1"))).alias("a"), S.set_signature(F.array(F.lit("y:2"), F.lit("x:1"))).alias("b"), S.set_signature(F.array().cast("array<string>")).alias("c"))
     assert a == b and a and c is None
+
+
+def test_fnv_of_token_windows(spark):
+    text = ["a", "bc", "é", "", "long" * 300, "a", "bc", "é", "x"]
+    want = [fnv(b"".join(t.encode() + b"\0" for t in text[i : i + 3])) for i in range(len(text) - 2)]
+    assert S.fnv64a_windows_of(text, 3).tolist() == want and want[0] != want[1]
+    assert S.fnv64a_windows_of(text[:2], 3).tolist() == []
+    df = spark.createDataFrame([(1, text), (2, None), (3, ["a"])], "i int, t array<string>")
+    got = {r.i: r.h for r in df.select("i", S.fnv64a_windows("t", 3).alias("h")).collect()}
+    assert [h % 2**64 for h in got[1]] == want and got[2] is None and got[3] == []
