@@ -107,4 +107,16 @@ WITH o AS (
 SELECT k.conv_id, k.depth, q.conv_id AS parent_conv_id, k.n_convs, k.n_children, t.n_leaves, CAST(t.saved_tokens AS BIGINT) AS saved_tokens, k.ends_sha256 FROM k JOIN t USING (node) LEFT JOIN k q ON q.node = k.parent
 """
 
-ORACLES = {"op9_mixing": MIXING, "op7_topk": TOPK, "op12_filter_audit": AUDIT, "op13_conversation_trie": TRIE}
+WARC = """
+WITH h AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hex FROM pages
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY hex) AS top FROM h
+), d AS (
+  SELECT *, list_transform(range(8), lambda j: CAST('0x' || substr(hex, CAST(5 * j + 1 AS BIGINT), 5) AS INTEGER)) AS fifths FROM m
+)
+SELECT page_id, n AS payload_bytes, list_aggregate(list_transform(flatten(list_transform(fifths, lambda x: [x >> 15, x >> 10 & 31, x >> 5 & 31, x & 31])), lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to, true AS checked FROM d
+"""
+
+ORACLES = {"op5_warc": WARC, "op9_mixing": MIXING, "op7_topk": TOPK, "op12_filter_audit": AUDIT, "op13_conversation_trie": TRIE}
