@@ -43,7 +43,8 @@ def order_statistics(counted: DataFrame, keys: Sequence[str], nearest: bool = Fa
     parts = held.groupBy(*keys, "_part").agg(F.sum("_n").alias("_rows"), *sums)
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     before = F.coalesce(F.sum("_rows").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("*", before.alias("_before"), F.sum("_rows").over(whole).alias("_all"))
+    mean = F.lit(None).cast("double") if nearest else F.sum("_s").over(whole) / F.sum("_rows").over(whole)
+    parts = parts.select("*", before.alias("_before"), F.sum("_rows").over(whole).alias("_all"), mean.alias("_mean"))
     if nearest:
         at = [F.greatest(F.lit(1), F.ceil(F.lit(float(shares[s])) * F.col("_all"))) - 1 for s in names]
         wanted = [F.least(a, F.col("_all") - 1) for a in at]
@@ -52,15 +53,15 @@ def order_statistics(counted: DataFrame, keys: Sequence[str], nearest: bool = Fa
         wanted = [x for a in low for x in (a, F.least(a + 1, F.col("_all") - 1))]
     slots = F.array(*[F.struct(F.lit(i).alias("slot"), w.cast("long").alias("rank")) for i, w in enumerate(wanted)])
     here = F.filter(slots, lambda x: (x["rank"] >= F.col("_before")) & (x["rank"] < F.col("_before") + F.col("_rows")))
-    parts = parts.select(*keys, "_part", "_before", here.alias("_wanted"))
+    parts = parts.select(*keys, "_part", "_before", "_all", "_mean", here.alias("_wanted"))
     found = join_keys(held, parts.where(F.size("_wanted") > 0), [*keys, "_part"])
     upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_part", *keys).orderBy("_v"))
-    found = found.select(*keys, "_v", "_n", "_wanted", upto.alias("_upto"))
+    found = found.select(*keys, "_v", "_n", "_all", "_mean", "_wanted", upto.alias("_upto"))
     mine = F.filter("_wanted", lambda x: (x["rank"] >= F.col("_upto") - F.col("_n")) & (x["rank"] < F.col("_upto")))
-    picks = found.select(*keys, "_v", F.explode(mine).alias("_x")).groupBy(*keys).agg(*[F.max(F.when(F.col("_x.slot") == i, F.col("_v"))).alias(f"_p{i}") for i in range(len(wanted))])
-    mean = [] if nearest else [(F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean")]
-    totals = held.groupBy(*keys).agg(F.sum("_n").alias("n"), *mean)
-    rows = join_keys(totals, picks, keys)
+    picks = [F.max(F.when(F.col("_x.slot") == i, F.col("_v"))).alias(f"_p{i}") for i in range(len(wanted))]
+    rows = found.select(*keys, "_v", "_all", "_mean", F.explode(mine).alias("_x")).groupBy(*keys).agg(F.first("_all").alias("n"), F.first("_mean").alias("mean"), *picks)
+    if not keys:
+        rows = rows.where("n IS NOT NULL")  # no values at all
     if nearest:
         return rows.select(*keys, "n", *[F.col(f"_p{i}").alias(s) for i, s in enumerate(names)])
     return rows.select(*keys, "n", "mean", *[_between(shares[s], F.col(f"_p{2 * i}"), F.col(f"_p{2 * i + 1}")).alias(s) for i, s in enumerate(names)])
