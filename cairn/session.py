@@ -43,6 +43,8 @@ def ship(spark: SparkSession) -> None:
         return
     folder = tempfile.mkdtemp(prefix=f"{__package__}-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    held = context.environment.get("PYTHONPATH")  # for the Python workers that streams start beside the driver
+    context.environment["PYTHONPATH"] = os.pathsep.join([str(root), held] if held else [str(root)])
     context.addPyFile(shutil.make_archive(f"{folder}/{__package__}", "zip", root, __package__))
     _shipped.add(context.applicationId)
 

@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 spark = SparkSession.builder.master({master!r}).config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", {shared!r}).getOrCreate()
 import __spark_entry__ as e
 known = e.queries()
-for name in ("met_08_duplication_file", "win_03_rolling_quantiles", "fn_13_hold_out", "op12_filter_audit"):
+for name in ("met_08_duplication_file", "win_03_rolling_quantiles", "fn_13_hold_out", "str_03_rolling_stream", "op12_filter_audit"):
     if name in known:
         print("ROWS", name, known[name](spark, "/root/testdata/sf0.001").count())
 """
@@ -39,4 +39,4 @@ def test_queries_run_where_workers_lack_the_package(tmp_path, master):
     script = SCRIPT.format(root=str(ROOT), master=master, shared=str(tmp_path / "shared"))
     out = subprocess.run([sys.executable, "-c", script], cwd=elsewhere, env={**env, "SPARK_HOME": str(home)}, capture_output=True, text=True, timeout=240)
     rows = [line.split() for line in out.stdout.splitlines() if line.startswith("ROWS")]
-    assert out.returncode == 0 and len(rows) >= 3 and all(int(n) > 0 for *_, n in rows), out.stderr[-3000:]
+    assert out.returncode == 0 and len(rows) >= 4 and all(int(n) > 0 for *_, n in rows), out.stderr[-3000:]
