@@ -357,6 +357,15 @@ def test_train_linear_refuses_what_one_task_should_not_hold(spark):
     assert R.train_linear(df, epochs=1, fraction=0.0, most=20).first().train_loss > 0
 
 
+def test_train_linear_hands_weights_from_range_to_range(spark):
+    """More rows than a task is to hold at a time: the same steps in the same order, none refused."""
+    rng = random.Random(11)
+    rows = [(f"ep{i:03d}", rng.choice([1.0, -1.0]), 1.0, *[rng.random() for _ in range(4)]) for i in range(90)]
+    df = table(spark, rows, f"episode_id string, label double, {', '.join(f'{c} double' for c in R.FEATURES)}").repartition(5)
+    whole, ranged = R.train_linear(df, epochs=3).first(), R.train_linear(df, epochs=3, block=25).first()
+    assert ranged.weights == whole.weights and ranged.intercept == whole.intercept and ranged.train_loss == pytest.approx(whole.train_loss)
+
+
 def test_train_batch_equals_a_plain_loop(spark):
     import numpy as np
 
