@@ -65,3 +65,18 @@ def test_long_path_without_recursion():
     assert out.loc["000000", "depth"] == n - 1 and out["size"].max() == 1
     ring = S.survey_local(names, np.roll(names, -1), False)
     assert ring["size"].min() == n and set(ring["root"]) == {"000000"}
+
+
+def test_pairs_once_without_a_global_distinct(spark):
+    """Each pair once though rows repeat and a class has two names; a class of one name takes no part in the comparison of pairs."""
+    from cairn.operators import graph as G
+
+    classes = spark.createDataFrame([("f", "A", "n1"), ("f", "A", "n1"), ("f", "B", "n1"), ("f", "A", "n2"), ("g", "A", "n3"), ("f", "B", None)], "file string, name string, node string")
+    calls = spark.createDataFrame([("f", "x", "extends", "A"), ("f", "x", "extends", "B"), ("f", "x", "extends", "A"), ("g", "x", "extends", "A"), ("f", "y", "implements", "B")], "file string, node string, relation string, target string")
+    got = [tuple(r) for r in G.heritage_edges(classes, calls).collect()]
+    assert sorted(got, key=str) == sorted([("extends", "x", "n1"), ("extends", "x", "n2"), ("extends", "x", "n3"), ("extends", "x", None), ("implements", "y", "n1"), ("implements", "y", None)], key=str)
+    rows = spark.range(400).selectExpr("'f' AS file", "concat('o', id % 2) AS owner", "'m' AS simple", "concat('n', id) AS node", "IF(id % 2 = 0, 'o1', NULL) AS trait", "id % 2 = 1 AS trait_default")
+    pairs = G.override_edges(rows)
+    assert pairs.count() == 200 * 200 == pairs.distinct().count()
+    text = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert not text.lstrip().startswith("Aggregate")
