@@ -1,6 +1,6 @@
 """Strong components, longest paths and reach of a directed graph: in one pass where a part of it fits a task, by levels where not.
 
-A part is a set of whole weak components with LOCAL_EDGES edges or less (counted before). A task numbers its
+A part is a set of whole weak components with LOCAL_EDGES edges or less (STRUCTURE_EDGES without reach; counted before). A task numbers its
 strong components from the sinks up (Tarjan, 1972), so one walk in that order gives longest paths, and merging
 bitmaps of 64 nodes a word from the sinks up gives how many nodes each one reaches. A weak component above the
 bound goes through the same steps as joins: colouring, levels of longest paths, words merged by bit_or. At no
@@ -13,13 +13,17 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.common import cut
 from cairn.operators.ordered import ranges
 
-LOCAL_EDGES = 200_000
+PACK_EDGES = 200_000  # about so many edges of whole weak components go to a task together
+LOCAL_EDGES = 500_000  # of one weak component whose reach a task counts
+STRUCTURE_EDGES = 4_000_000  # of one whose components and paths only are asked for: no bitmaps
 BITMAP_WORDS = 1 << 23  # of a task's bitmaps at a time: 64 MB; larger graphs are walked once for each block of nodes
 
 
@@ -72,25 +76,45 @@ def reach_counts(component: np.ndarray, found: int, start: np.ndarray, to: np.nd
     return counts
 
 
-def survey_local(src: np.ndarray, dst: np.ndarray, reach: bool) -> pd.DataFrame:
-    """node, root (the smallest member), size, depth, reach of the nodes of some edges."""
-    names, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
-    s, d = ends[: len(src)], ends[len(src) :]
+def survey_codes(s: np.ndarray, d: np.ndarray, n: int, reach: bool) -> dict[str, np.ndarray]:
+    """root (the smallest member), size, depth, reach of n nodes, by number; s, d: the ends of some edges."""
     by_source = np.argsort(s, kind="stable")
-    start = np.searchsorted(s[by_source], np.arange(len(names) + 1))
-    component, found = condense(len(names), start.tolist(), d[by_source].tolist())
+    start = np.searchsorted(s[by_source], np.arange(n + 1))
+    component, found = condense(n, start.tolist(), d[by_source].tolist())
     between = component[s] != component[d]
-    pairs = np.unique(np.stack([component[s][between], component[d][between]], axis=1), axis=0)
-    start, to = np.searchsorted(pairs[:, 0], np.arange(found + 1)), pairs[:, 1]
+    pairs = np.unique(component[s][between] * found + component[d][between])
+    to = pairs % found
+    start = np.searchsorted(pairs // found, np.arange(found + 1))
     depth = np.zeros(found, np.int64)
     for c in range(found):
         if start[c] < start[c + 1]:
             depth[c] = depth[to[start[c] : start[c + 1]]].max() + 1
-    root = np.full(found, len(names), np.int64)
-    np.minimum.at(root, component, np.arange(len(names)))
-    counts = reach_counts(component, found, start, to) if reach else np.zeros(found, np.int64)
+    root = np.full(found, n, np.int64)
+    np.minimum.at(root, component, np.arange(n))
     size = np.bincount(component, minlength=found)
-    return pd.DataFrame({"node": names, "root": names[root[component]], "size": size[component], "depth": depth[component], "reach": counts[component] - 1 if reach else None})
+    out = {"root": root[component], "size": size[component], "depth": depth[component]}
+    if reach:
+        out["reach"] = reach_counts(component, found, start, to)[component] - 1
+    return out
+
+
+def survey_local(src: np.ndarray, dst: np.ndarray, reach: bool) -> pd.DataFrame:
+    """node, root (the smallest member), size, depth, reach of the nodes of some edges."""
+    names, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    found = survey_codes(ends[: len(src)], ends[len(src) :], len(names), reach)
+    return pd.DataFrame({"node": names, "root": names[found["root"]], "size": found["size"], "depth": found["depth"], "reach": found.get("reach")})
+
+
+def _survey_table(table: pa.Table, reach: bool) -> pa.Table:
+    """survey_local of a table of edges; names stay in Arrow, once each."""
+    both = pa.chunked_array([*table["src"].chunks, *table["dst"].chunks], pa.string()).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(both.dictionary)
+    names, place = both.dictionary.take(order), np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    ends = place[both.indices.to_numpy()]
+    found = survey_codes(ends[: table.num_rows], ends[table.num_rows :], len(names), reach)
+    held = pa.array(found["reach"]) if reach else pa.nulls(len(names), pa.int64())
+    return pa.table({"node": names, "root": names.take(pa.array(found["root"])), "size": found["size"], "depth": found["depth"], "reach": held})
 
 
 def survey(edges: DataFrame, reach: bool = False, local_edges: int | None = None) -> DataFrame:
@@ -98,23 +122,23 @@ def survey(edges: DataFrame, reach: bool = False, local_edges: int | None = None
     many nodes that has, the edges on the longest path from it between components, and (if asked) how many other nodes it reaches."""
     from cairn.operators.graph import components
 
-    most = LOCAL_EDGES if local_edges is None else local_edges
+    most = (LOCAL_EDGES if reach else STRUCTURE_EDGES) if local_edges is None else local_edges
     links = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "survey-links")
     schema = "node string, root string, size long, depth long, reach long"
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return survey_local(frame["src"].to_numpy(object).astype(str), frame["dst"].to_numpy(object).astype(str), reach)
+    def run(table: pa.Table) -> pa.Table:
+        return _survey_table(table, reach)
 
     total = links.count()
     if total <= most:
-        return links.withColumn("pack", F.lit(0)).groupBy("pack").applyInPandas(run, schema)
+        return links.withColumn("pack", F.lit(0)).groupBy("pack").applyInArrow(run, schema)
     weak = components(links.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     placed = cut(links.join(weak.select(F.col("node").alias("src"), F.col("root").alias("weak")), "src", "left").withColumn("weak", F.coalesce("weak", "src")), "survey-placed")
     large = placed.groupBy("weak").agg(F.count("*").alias("n")).where(F.col("n") > most).select("weak")
     large = cut(large, "survey-large")
-    packs = math.ceil(total / max(most, 1))
+    packs = math.ceil(total / max(min(most, PACK_EDGES), 1))
     small = placed.join(large, "weak", "left_anti").withColumn("pack", F.pmod(F.xxhash64("weak"), F.lit(packs)))
-    out = small.groupBy("pack").applyInPandas(run, schema)
+    out = small.groupBy("pack").applyInArrow(run, schema)
     wide = placed.join(large, "weak", "left_semi").select("src", "dst")
     return out.unionByName(_survey_wide(wide, reach)) if large.take(1) else out
 

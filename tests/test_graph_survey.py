@@ -80,3 +80,19 @@ def test_pairs_once_without_a_global_distinct(spark):
     assert pairs.count() == 200 * 200 == pairs.distinct().count()
     text = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert not text.lstrip().startswith("Aggregate")
+
+
+def test_one_weak_component_of_a_quarter_million_edges_is_one_task(spark):
+    """It went by written rounds above 200,000 edges; a task takes it, and its numbers are those of the rounds' method."""
+    from cairn.operators import common as C
+
+    n = 60_000
+    edges = spark.range(n).selectExpr("explode(array(id + 1, id + 7, id * 13 + 5, id * 7 + 3, id * 31 + 11)) AS d", "id AS s").selectExpr("concat('n', s) AS src", "concat('n', d % 60000) AS dst")
+    cuts, real = [], C._written
+    try:
+        C._written = lambda df, name, scopes: cuts.append(name) or real(df, name, scopes)
+        out = S.survey(edges, True).agg({"size": "min", "reach": "min"}).first()
+    finally:
+        C._written = real
+    assert "scc" not in cuts and cuts[0] == "survey-links"
+    assert out["min(size)"] == n and out["min(reach)"] == n - 1
