@@ -11,38 +11,26 @@ from pyspark.sql import functions as F
 from cairn.functions import scalars as S
 from cairn.operators.common import cut, exists, insert_new, scratch
 
-FILTER_BITS = 1 << 22  # of a month's filter: half a megabyte, whatever the month holds
-PROBES = 4
-
-
 def append(df: DataFrame, path: str, ts: str = "created_at") -> None:
     """Append rows under the month of their time."""
     df.withColumn("month", S.month(ts)).write.mode("append").partitionBy("month").parquet(path)
 
 
-def _bits(df: DataFrame, key: Sequence[str], *more: str) -> DataFrame:
-    """A row for each bit that a key has in a filter: its word and the bit in it."""
-    place = [F.pmod(F.xxhash64(*key, F.lit(i)), F.lit(FILTER_BITS)) for i in range(PROBES)]
-    rows = df.select(*more, F.explode(F.array_distinct(F.array(*place))).alias("_place"))
-    return rows.select(*more, F.expr("CAST(_place div 64 AS INT)").alias("word"), F.expr("shiftleft(1L, CAST(_place % 64 AS INT))").alias("bit"))
+def _mark(key: Sequence[str]) -> Column:
+    return F.xxhash64(*key, F.lit("id")).alias("_mark")
 
 
 def months_that_may_hold(df: DataFrame, path: str, key: Sequence[str]) -> list[datetime.date] | None:
-    """The months of a store in which some key of df may be; None where the store has no filters.
+    """The months of a store in which some key of df may be; None where the store has no marks.
 
-    A month's filter is a set of bits; a key that is in the month has all of its bits there. The list grows with
-    the number of months only.
+    Beside the facts lies a mark of 64 bits for each key with its month, so a key meets the months that have its
+    mark and not every month's filter. The list grows with the number of months only.
     """
     spark = df.sparkSession
     if not exists(spark, f"{path}-keys"):
         return None
-    words = spark.read.parquet(f"{path}-keys").groupBy("month", "word").agg(F.bit_or("bits").alias("bits"))
-    keys = df.select(*key).distinct().withColumn("_key", F.xxhash64(*key, F.lit("id")))
-    asked = _bits(keys, key, "_key").groupBy("_key", "word").agg(F.bit_or("bit").alias("bit"))
-    parts = asked.groupBy("_key").agg(F.count("*").alias("_parts"))
-    met = asked.join(words, "word").where(F.col("bits").bitwiseAND(F.col("bit")) == F.col("bit"))
-    full = met.groupBy("_key", "month").agg(F.count("*").alias("_met")).join(parts, "_key").where("_met = _parts")
-    return sorted(r.month for r in full.select("month").distinct().collect())
+    held = spark.read.parquet(f"{path}-keys").where("month IS NOT NULL")
+    return sorted(r.month for r in held.join(df.select(_mark(key)), "_mark", "left_semi").select("month").distinct().collect())
 
 
 def stored(df: DataFrame, path: str, key: Sequence[str], ts: str = "created_at") -> DataFrame:
@@ -57,13 +45,12 @@ def stored(df: DataFrame, path: str, key: Sequence[str], ts: str = "created_at")
 def append_new(df: DataFrame, path: str, key: Sequence[str], ts: str = "created_at") -> None:
     """Append the rows whose key is not stored: a repeated batch adds nothing.
 
-    Filters are written before the rows they stand for, so a crash between leaves bits too many and never too few.
+    Marks are written before the rows they stand for, so a crash between leaves marks too many and never too few.
     """
     spark = df.sparkSession
     with scratch(spark):
         fresh = cut(insert_new(stored(df, path, key, ts), df, key), "fresh")
-        bits = _bits(fresh.withColumn("month", S.month(ts)), key, "month")
-        bits.groupBy("month", "word").agg(F.bit_or("bit").alias("bits")).write.mode("append").parquet(f"{path}-keys")
+        fresh.select(S.month(ts).alias("month"), _mark(key)).write.mode("append").parquet(f"{path}-keys")
         append(fresh, path, ts)
 
 

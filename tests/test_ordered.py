@@ -134,3 +134,16 @@ def test_appends_read_only_months_that_may_hold_a_key(spark, tmp_path):
     for _ in range(2):
         sinks.append_new(again, path, ["id"])
         assert spark.read.parquet(path).count() == 121 and spark.read.parquet(path).select("id").distinct().count() == 121
+
+
+def test_a_key_of_many_months_is_asked_for_once(spark, tmp_path):
+    """Marks of keys meet by the mark: the join of a batch with a store of many months has no row a month."""
+    from cairn.sources import sinks
+
+    path = str(tmp_path / "facts")
+    rows = spark.range(2000).selectExpr("id", "make_timestamp(2000 + CAST(id % 40 AS INT), 1, 1, 0, 0, 0) AS created_at")
+    sinks.append_new(rows, path, ["id"])
+    assert spark.read.parquet(f"{path}-keys").count() == 2000
+    assert sinks.months_that_may_hold(rows.where("id < 3"), path, ["id"]) == [__import__("datetime").date(2000 + n, 1, 1) for n in range(3)]
+    sinks.append_new(rows, path, ["id"])
+    assert spark.read.parquet(path).count() == 2000 == spark.read.parquet(f"{path}-keys").count()
