@@ -103,3 +103,21 @@ def test_fnv_of_token_windows(spark):
     df = spark.createDataFrame([(1, text), (2, None), (3, ["a"])], "i int, t array<string>")
     got = {r.i: r.h for r in df.select("i", S.fnv64a_windows("t", 3).alias("h")).collect()}
     assert [h % 2**64 for h in got[1]] == want and got[2] is None and got[3] == []
+
+
+def test_fnv_of_windows_of_lists_together(monkeypatch):
+    """Lists of all lengths, tokens of none, one and many bytes, windows parted at odd places."""
+    import random
+
+    rng = random.Random(3)
+    lists = [["".join(rng.choices("aé漢", k=rng.choice([0, 1, 2, 40]))) for _ in range(rng.choice([0, 2, 3, 4, 30]))] for _ in range(25)]
+    monkeypatch.setattr(S, "WINDOWS_AT_A_TIME", 7)
+
+    def plain(tokens):
+        h = 0xCBF29CE484222325
+        for byte in b"".join(t.encode() + b"\0" for t in tokens):
+            h = (h ^ byte) * 0x100000001B3 % (1 << 64)
+        return h
+
+    assert [x.tolist() for x in S.fnv64a_windows_of_all(lists, 3)] == [[plain(t[i : i + 3]) for i in range(len(t) - 2)] for t in lists]
+    assert S.fnv64a_windows_of_all([], 3) == [] and S.fnv64a_windows_of_all([["a"]], 3)[0].tolist() == []
