@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -59,55 +60,65 @@ def decide(children: dict, parent: int | None, ttl: int, now: int) -> tuple[list
     return matched, alone, again
 
 
+BUCKETS = 512  # keys of the state: a link's own would be as many calls into the state store as there are spans
+
+
 class _LateParents(StatefulProcessor):
-    """State of a link: the parent, if it has come, and the children that wait (a map by span)."""
+    """State of a bucket of links: the parents that have come, and the children that wait, in one list; a timer for the first of them that is due."""
 
-    def __init__(self, ttl: int, span_type: str, columns: list[str]):
-        self.ttl, self.span_type, self.columns = ttl, span_type, columns
+    def __init__(self, ttl: int, fields: str, columns: list[str]):
+        self.ttl, self.fields, self.columns = ttl, fields, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.parent = handle.getValueState("parent", "at long, method string")
-        self.waiting = handle.getMapState("waiting", f"span_id {self.span_type}", "at long, method string, duration_ms double")
-
-    def _settle(self, key: tuple, fresh: dict, now: int) -> pd.DataFrame:
-        """What can be said now of the children, with those in fresh ({span: (at, method, duration)}) added."""
-        held = dict(fresh)
-        old = {k[0]: tuple(v) for k, v in self.waiting.iterator()} if self.waiting.exists() else {}
-        held = {**old, **fresh}
-        parent = self.parent.get() if self.parent.exists() else None
-        matched, alone, again = decide({s: v[0] for s, v in held.items()}, parent[0] if parent else None, self.ttl, now)
-        done = set(matched) | set(alone)
-        for span, value in held.items():
-            if span in done:
-                if span in old:
-                    self.waiting.removeKey((span,))
-            elif span not in old:
-                self.waiting.updateValue((span,), value)
-        if parent is not None and now > parent[0] + self.ttl and not again:
-            self.parent.clear()
-        for due in {*again, *([parent[0] + self.ttl] if parent is not None and now <= parent[0] + self.ttl else [])}:
-            self.handle.registerTimer(due // 1000 + 1)
-        rows = []
-        for span in [*matched, *alone]:
-            at, method, duration = held[span]
-            caller = parent[1] if parent is not None and span in matched and parent[1] != method else None
-            rows.append((key[0], span, pd.Timestamp(at, unit="us"), method, duration, caller, caller is None))
-        return pd.DataFrame(rows, columns=self.columns)
+        self.held = handle.getListState("held", self.fields)
+
+    def _settle(self, fresh: Iterator[tuple], now: int) -> pd.DataFrame:
+        """What can be said now of the children of the bucket, with fresh rows (trace, link, child, span, at, method, duration) added."""
+        parents, children = {}, {}
+        for trace, link, child, span, at, method, duration in chain(self.held.get() if self.held.exists() else (), fresh):
+            if child:
+                children.setdefault((trace, link), {})[span] = (at, method, duration)
+            elif (trace, link) not in parents or (at, method) < parents[trace, link]:
+                parents[trace, link] = (at, method)
+        rows, kept, due, waited = [], [], [], set()
+        for key, held in children.items():
+            parent = parents.get(key)
+            matched, alone, again = decide({s: v[0] for s, v in held.items()}, parent[0] if parent else None, self.ttl, now)
+            mine = set(matched)
+            for span in [*matched, *alone]:
+                at, method, duration = held.pop(span)
+                caller = parent[1] if span in mine and parent[1] != method else None
+                rows.append((key[0], span, at, method, duration, caller, caller is None))
+            kept += [(*key, True, span, *value) for span, value in held.items()]
+            if again:
+                due += again
+                waited.add(key)
+        for key, (at, method) in parents.items():
+            if now <= at + self.ttl or key in waited:
+                kept.append((*key, False, None, at, method, None))
+            if now <= at + self.ttl:
+                due.append(at + self.ttl)
+        if kept:
+            self.held.put(kept)
+        else:
+            self.held.clear()
+        if due:
+            self.handle.registerTimer(min(due) // 1000 + 1)
+        out = pd.DataFrame(rows, columns=self.columns)
+        out["started_at"] = pd.to_datetime(out["started_at"].astype("int64"), unit="us")
+        return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = {}
-        for frame in rows:
-            times = _micros(frame["started_at"])
-            for child, span, at, method, duration in zip(frame["child"], frame["span_id"], times, frame["method"], frame["duration_ms"], strict=True):
-                if child:
-                    fresh[span] = (int(at), method, None if duration is None else float(duration))
-                elif not self.parent.exists() or (int(at), method) < tuple(self.parent.get()):
-                    self.parent.update((int(at), method))
-        yield self._settle(key, fresh, timerValues.getCurrentWatermarkInMs() * 1000)
+        def fresh() -> Iterator[tuple]:
+            for frame in rows:
+                durations = [None if pd.isna(d) else float(d) for d in frame["duration_ms"]]
+                yield from zip(*(frame[c].tolist() for c in ("trace_id", "link", "child", "span_id")), _micros(frame["started_at"]).tolist(), frame["method"].tolist(), durations, strict=True)
+
+        yield self._settle(fresh(), timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._settle(key, {}, max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000)
+        yield self._settle(iter(()), max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000)
 
 
 _CALLS = ["trace_id", "span_id", "started_at", "method", "duration_ms", "caller", "solo"]
@@ -117,15 +128,16 @@ def late_parents(spans: DataFrame, ttl_seconds: int, delay: str = "1 hour") -> D
     """Each span of a stream with its caller, as soon as the parent is there, or solo when no parent can come.
 
     spans: trace_id, span_id, parent_span_id (null: a root, solo at once), started_at (timestamp), method,
-    duration_ms. The state of a link (a span and its children) is its own key, so a trace of any size is spread
-    out. Solo rows come by timer, ttl after the last sibling; delay: how far arrival may be out of order. A call of a method by itself is solo.
+    duration_ms. Links (a span and its children) are dealt to BUCKETS by hash, so a trace of any size is spread
+    out, and a bucket's state is read and written once a batch. Solo rows come by timer, ttl after the last sibling; delay: how far arrival may be out of order. A call of a method by itself is solo.
     """
     spans.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     kinds = {f.name: f.dataType.simpleString() for f in spans.schema.fields}
     schema = f"trace_id {kinds['trace_id']}, span_id {kinds['span_id']}, started_at timestamp, method string, duration_ms double, caller string, solo boolean"
     marked = spans.withWatermark("started_at", delay)
-    processor = _LateParents(ttl_seconds * 1_000_000, kinds["span_id"], _CALLS)
-    linked = _roles(marked).groupBy("trace_id", "link").transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    fields = f"trace_id {kinds['trace_id']}, link {kinds['span_id']}, child boolean, span_id {kinds['span_id']}, at long, method string, duration_ms double"
+    processor = _LateParents(ttl_seconds * 1_000_000, fields, _CALLS)
+    linked = _roles(marked).withColumn("bucket", F.pmod(F.xxhash64("trace_id", "link"), F.lit(BUCKETS))).groupBy("bucket").transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
     roots = marked.where("parent_span_id IS NULL").select(*_CALLS[:5], F.lit(None).cast("string").alias("caller"), F.lit(True).alias("solo"))
     return linked.unionByName(roots)
 

@@ -60,6 +60,20 @@ def test_late_parents_equal_the_batch(spark, tmp_path):
     assert len(want) == len(rows) and {s for *_, s in want} == {True, False}
 
 
+def test_links_share_the_keys_of_the_state(spark, tmp_path, monkeypatch):
+    """Thousands of links, few keys: the state is asked once a bucket and batch; links of a bucket stay apart."""
+    monkeypatch.setattr(K, "BUCKETS", 3)
+    minute, rng = 60_000_000, random.Random(2)
+    rows = [(t, s, None if s == 0 else rng.choice([0, 1, 77]), 10**15 + rng.randrange(90) * minute, f"m{s % 3}", None if s == 2 else float(s)) for t in range(700) for s in range(4) if s or t % 5]
+    stream = arriving(spark, str(tmp_path / "in"), rows, 2, 4)
+    folder_calls = K.late_parents(stream, 900, "3 hours")
+    got = drain(folder_calls, "buckets-test").where("trace_id >= 0")
+    frame = spark.createDataFrame(rows, FIELDS.replace("timestamp", "long")).withColumn("started_at", F.timestamp_micros("started_at"))
+    want = K.late_parents_batch(frame, 900)
+    assert got.count() == len(rows) and got.select(*want.columns).exceptAll(want).count() == 0
+    assert "bucket" in folder_calls._jdf.queryExecution().analyzed().toString()
+
+
 def test_rolling_forgets_idle_keys(spark, tmp_path):
     """Two spans of a key, and one after the time to live: the window starts anew; a busy key keeps its own."""
     second = 1_000_000
