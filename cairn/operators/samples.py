@@ -30,20 +30,17 @@ def repo_snapshot(rows: DataFrame) -> DataFrame:
     return percentiles(rows, REPO, "value", **SHARES)
 
 
-def _both(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pooled and per-repository summaries from one count of values, which is written down once."""
-    counted = cut(value_counts(rows, REPO, "value"), "value-counts")
-    return order_statistics(counted, ["metric_kind", "scope_kind"], **SHARES), order_statistics(counted, REPO, **SHARES)
-
-
 def cross_repo(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Percentiles over the pooled values of all repositories, and the repositories' own (one row each, their history)."""
-    return _both(rows)
+    counted = cut(value_counts(rows, REPO, "value"), "value-counts")
+    return order_statistics(counted, ["metric_kind", "scope_kind"], **SHARES), order_statistics(counted, REPO, **SHARES)
 
 
 def portfolio(rows: DataFrame) -> DataFrame:
     """Totals, weighted and plain means of the repositories' means, pooled percentiles, by metric and scope kind."""
-    pooled, own = _both(rows)
+    counted = cut(value_counts(rows, REPO, "value"), "value-counts")
+    own = counted.groupBy(*REPO).agg(F.sum("_n").alias("n"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"))  # no order: only the pooled values have percentiles
+    pooled = order_statistics(counted, ["metric_kind", "scope_kind"], **SHARES)
     means = own.groupBy("metric_kind", "scope_kind").agg(
         F.sum("n").alias("total_observations"),
         F.count("*").alias("repo_count"),

@@ -461,3 +461,15 @@ def test_duplication_over_parts_of_a_long_text_and_by_null_keys(spark):
     assert {r["file"]: r["covered"] for r in K.duplication(df).collect()} == {"long": 120, "a": 0, "b": 0, "c": 0, "d": 0, "e": 0}
     got = {(r["k1"], r["k2"]): r["covered"] for r in K.duplication(df, ["k1", "k2"]).collect()}
     assert got == {("x", None): 120, ("p", None): 0, (None, "p"): 0, ("p", "q"): 140}
+
+
+def test_portfolio_sorts_the_pooled_values_only(spark, monkeypatch):
+    """Means of repositories come from the counts; one sort by ranges, of the pooled values."""
+    from cairn.operators import ordered, samples
+
+    names, held = [], ordered.cut
+    monkeypatch.setattr(ordered, "cut", lambda df, name: (names.append(name), held(df, name))[1])
+    rows = table(spark, [("r1", "k", "file", 1.0), ("r1", "k", "file", 1.0), ("r1", "k", "file", 4.0), ("r2", "k", "file", 8.0), ("r2", "k", "file", None)], "repo_id string, metric_kind string, scope_kind string, value double")
+    got = samples.portfolio(rows).collect()
+    assert [(r.total_observations, r.repo_count, r.weighted_mean, r.unweighted_mean, r.p50) for r in got] == [(4, 2, 3.5, 5.0, 2.5)]
+    assert names == ["ranks"]
