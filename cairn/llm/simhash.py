@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.common import cut, scratch
+from cairn.operators.common import cut, likely, scratch
 from cairn.operators.graph import components
 
 SEED, BITS = 42, 64
@@ -57,7 +57,10 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 def fingerprint(text: bytes, width: int = 3) -> int:
     """Unsigned 64-bit SimHash."""
-    hashes = shingle_hashes(text, width)
+    return fingerprint_of(shingle_hashes(text, width))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     counts = np.zeros(BITS, np.int64)
@@ -241,6 +244,7 @@ def keep_one(df: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_
 
 BUCKETS = 1 << 18
 PAIRS_A_TASK = 4096  # of one leader, in a group
+PARITY = 512
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -264,6 +268,12 @@ def rare_prefix(shingles: np.ndarray, seen: np.ndarray, least: float) -> np.ndar
     return shingles[np.lexsort((shingles, seen[(shingles % np.uint64(BUCKETS)).astype(np.int64)]))[:n]]
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the set's hashes falls into each of PARITY buckets, as longs. Two sets differ in as many elements at least as their parities in bits."""
+    counts = np.bincount((shingles >> np.uint64(32)).astype(np.int64) % PARITY, minlength=PARITY)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def keep_unlike(df: DataFrame, width: int = 5, least: float = 0.8, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of df of which no two have a Jaccard of ``least`` or more over shingles of ``width`` words; from each row left out a chain of such pairs leads to one that stays.
 
@@ -275,8 +285,10 @@ def keep_unlike(df: DataFrame, width: int = 5, least: float = 0.8, radius: int =
     Rows that share a shingle are not paired with each other but with the first of them, in the order of their
     ids (null last); a row whose exact Jaccard to it is ``least`` or more goes, at once for all shingles, and
     the first is done. So a group of copies costs a pair a row. What is left, texts that share a rare shingle
-    and are unlike, goes on with the next 8, 64, ... of each shingle until none is left. Texts meet in groups
-    of one leader and at most PAIRS_A_TASK others, as a stream. Columns of any names come back as they were.
+    and are unlike, goes on with the next 8, 64, ... of each shingle until none is left. Pairs whose sizes, ranks
+    or parities show them to be unlike go before any text is moved: ranks, as a pair also meets at the rarest
+    shingle it shares, and no more than what follows there can be shared. Texts meet in groups of one leader and
+    at most PAIRS_A_TASK others, as a stream. Columns of any names come back as they were.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -311,7 +323,19 @@ def keep_unlike(df: DataFrame, width: int = 5, least: float = 0.8, radius: int =
                 found = [rare_prefix(own, seen, least) for own in sets]
                 of = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 sizes = np.array([len(own) for own in sets], np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), part.column(2).take(pa.array(of)), part.column(0).take(pa.array(of)), pa.array(sizes[of])], names=["shingle", "id", "node", "size"])
+                ranks = np.concatenate([np.arange(1, len(f) + 1, dtype=np.int32) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), part.column(2).take(pa.array(of)), part.column(0).take(pa.array(of)), pa.array(sizes[of]), pa.array(ranks)], names=["shingle", "id", "node", "size", "rank"])
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sizes, parities = [], [], []
+            for t in batch.column(1):
+                hashes = shingle_hashes(t.as_py() or b"", width)
+                own = np.unique(hashes)
+                prints.append(fingerprint_of(hashes))
+                sizes.append(len(own))
+                parities.append(parity(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(parities, pa.list_(pa.int64()))], names=["node", "id", "fp", "size", "parity"])
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader = None
@@ -327,11 +351,16 @@ def keep_unlike(df: DataFrame, width: int = 5, least: float = 0.8, radius: int =
 
     def like(pairs: DataFrame) -> DataFrame:
         """node: the b of pairs (a, b) that are near. A leader with many others leads several groups."""
-        pairs = cut(pairs.where("a <> b").distinct(), "near-pairs")
+        end = lambda c: prints.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("parity").alias(f"{c}_parity"))
+        apart = F.aggregate(F.zip_with("a_parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+        pairs = pairs.where("a <> b").distinct().join(end("a"), "a").join(end("b"), "b")
+        pairs = cut(pairs.where(apart <= (F.col("a_size") + F.col("b_size")) * ((1 - least) / (1 + least)) + 1e-6).select("a", "b"), "near-pairs")
         parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_TASK).cast("int").alias("parts"))
-        led = parts.join(texts, parts["a"] == texts["node"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("leads"), "node", "text")
-        other = pairs.join(parts, "a").join(texts, F.col("b") == texts["node"]).select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(False).alias("leads"), "node", "text")
-        both = led.unionByName(other).repartition("a", "part").sortWithinPartitions("a", "part", F.desc("leads"))
+        led = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("leads"), F.col("a").alias("node"))
+        other = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(False).alias("leads"), F.col("b").alias("node"))
+        wanted = cut(led.unionByName(other), "near-wanted")
+        both = wanted.join(likely(texts.select("node", "text"), wanted, ["node"]), "node").select("a", "part", "leads", "node", "text")
+        both = both.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("leads"))
         return cut(both.mapInArrow(copies, "node long").distinct(), "near-gone")
 
     line = Window.partitionBy("shingle").orderBy(F.asc_nulls_last("id"), "node")
@@ -342,24 +371,24 @@ def keep_unlike(df: DataFrame, width: int = 5, least: float = 0.8, radius: int =
         return cut(met.where("met").drop("met"), "near-members")
 
     with scratch(df.sparkSession) as keep:
-        prints = fingerprints(texts, width, "node", "text").select(F.col("doc_id").alias("node"), "fp").join(texts.select("node", "id"), "node")
-        prints = cut(prints, "fingerprints")
+        prints = cut(texts.mapInArrow(sketches, f"node long, id {kind}, fp long, size int, parity array<long>"), "fingerprints")
         head = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("head"))
         near = links(head.select("fp"), radius)
         a, b = head.select(F.col("fp").alias("a"), F.col("head").alias("x")), head.select(F.col("fp").alias("b"), F.col("head").alias("y"))
         linked = near.join(a, "a").join(b, "b").select(F.least("x", "y")["node"].alias("a"), F.greatest("x", "y")["node"].alias("b"))
         linked = linked.unionByName(prints.join(head, "fp").select(F.col("head.node").alias("a"), F.col("node").alias("b")))
 
-        members = shared(texts.select("node", "text", "id").mapInArrow(prefixes, f"shingle long, id {kind}, node long, size int"))
+        members = shared(texts.select("node", "text", "id").mapInArrow(prefixes, f"shingle long, id {kind}, node long, size int, rank int"))
         gone, leaders = None, 1
         while True:
             placed = members.withColumn("at", F.row_number().over(line))
-            heads = placed.where(F.col("at") <= leaders).select("shingle", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("at").alias("a_at"))
+            heads = placed.where(F.col("at") <= leaders).select("shingle", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("rank").alias("a_rank"), F.col("at").alias("a_at"))
             sizes = F.least("size", "a_size") >= F.greatest("size", "a_size") * least - 1e-9
-            pairs = placed.join(heads, "shingle").where((F.col("a_at") < F.col("at")) & sizes).select("a", F.col("node").alias("b"))
+            ranks = F.least(F.col("size") - F.col("rank"), F.col("a_size") - F.col("a_rank")) + 1 >= (F.col("size") + F.col("a_size")) * (least / (1 + least)) - 1e-6
+            pairs = placed.join(heads, "shingle").where((F.col("a_at") < F.col("at")) & sizes & ranks).select("a", F.col("node").alias("b"))
             new = like(pairs if gone is not None else pairs.unionByName(linked))
             gone = new if gone is None else gone.unionByName(new)
-            members = shared(placed.where(F.col("at") > leaders).drop("at").join(new, "node", "left_anti").select("shingle", "id", "node", "size"))
+            members = shared(placed.where(F.col("at") > leaders).drop("at").join(new, "node", "left_anti").select("shingle", "id", "node", "size", "rank"))
             if not members.take(1):
                 break
             leaders *= 8

@@ -5,6 +5,7 @@ import random
 import zlib
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,3 +292,29 @@ def test_near_dedup_odd_rows(spark):
     kept = sorted((r.doc_id or 0, r.text or "") for r in simhash.keep_unlike(table).collect())
     assert kept == [(0, "alone here"), (1, ""), (3, "A b c d e f"), (4, "other words"), (4, "x")]
     assert simhash.keep_unlike(docs(spark, [])).count() == 0
+
+
+def test_pairs_that_share_little_move_no_text(spark, monkeypatch):
+    """Texts that share a rare passage and are unlike go before their texts are read; a near copy among them is found."""
+    rng, counts, held = random.Random(4), {}, simhash.cut
+    passage = [f"p{i}" for i in range(12)]
+    texts = [" ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(300)]) for _ in range(40)]
+    near = " ".join(w if i != 200 else "edit" for i, w in enumerate(texts[7].split()))
+
+    def recorded(df, name):
+        out = held(df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "cut", recorded)
+    kept = simhash.keep_unlike(docs(spark, [*texts, near])).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(40)) and counts["near-pairs"] == 1
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 40, 900):
+        a = np.unique(rng.integers(0, 2**64, size, np.uint64))
+        b = np.unique(np.concatenate([a[: size // 2], rng.integers(0, 2**64, 60, np.uint64)]))
+        bits = sum((int(x) & (2**64 - 1)).bit_count() for x in simhash.parity(a) ^ simhash.parity(b))
+        assert bits <= len(np.setxor1d(a, b)) and (bits - len(np.setxor1d(a, b))) % 2 == 0
