@@ -65,7 +65,10 @@ def invert(fraction: Column, start: Column, end: Column) -> Column:
 
 
 def positions(df: DataFrame, size: Column, share: float = 1.5, most: int = 2, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """in (a struct of df's columns), id and mix: size, source_size, target, taken, and passes: array of (pass_no, words, position)."""
+    """in (a struct of df's columns), id and mix: size, source_size, target, taken, and passes: array of (pass_no, words, position).
+
+    A bucket of a source is one key, that of the window and of the join after it, so df's columns are shuffled once.
+    """
     keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("in"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), size.alias("words"))
     keyed = keyed.withColumn("order", F.md5(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("words")).cast("binary")))
     keyed = keyed.withColumn("bucket", hex_bucket(F.col("order"), digits_for(df.count(), BUCKET)))
@@ -74,10 +77,11 @@ def positions(df: DataFrame, size: Column, share: float = 1.5, most: int = 2, id
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = held.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
     info = F.struct("start", "source_size", "from_w", "to_w", "target").alias("info")
-    starts = starts.alias("s").join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select(F.col("s.source").alias("from_source"), F.col("s.bucket").alias("from_bucket"), info)
-    placed = keyed.join(starts, F.col("source").eqNullSafe(F.col("from_source")) & (F.col("bucket") == F.col("from_bucket")))
-    inside = Window.partitionBy("from_source", "bucket").orderBy("order", "id", "words").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("start", F.col("info.start") + F.coalesce(F.sum("words").over(inside), F.lit(0)))
+    lane = F.struct("source", "bucket").alias("lane")  # structs are equal where a null source is on both sides
+    starts = starts.alias("s").join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select(F.struct("s.source", "s.bucket").alias("lane"), info)
+    inside = Window.partitionBy("lane").orderBy("order", "id", "words").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.select("in", "id", "words", "order", lane).withColumn("earlier", F.coalesce(F.sum("words").over(inside), F.lit(0)))
+    placed = placed.join(starts, "lane").withColumn("start", F.col("info.start") + F.col("earlier"))
     info = F.col("info")
     goal_words = F.floor(info["target"])
 

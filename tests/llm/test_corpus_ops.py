@@ -511,6 +511,25 @@ def test_mix_holds_what_the_report_says(spark):
     assert sum(taken.values()) > sum(r.size for r in report.values())
 
 
+def test_mix_moves_texts_by_bucket_once(spark):
+    """The window and the join of a bucket share one shuffle of the rows, the range sort is the other."""
+    frame = docs(spark, ["a b c", "d e", "f", "g h i j"], ["a", "a", None, "b"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = mixing.mix(frame)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+    def exchanges(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return exchanges(node.executedPlan())
+        own = [node.outputPartitioning().toString()] if node.nodeName() == "Exchange" and "in#" in node.output().toString() else []
+        return own + [x for k in range(node.children().size()) for x in exchanges(node.children().apply(k))]
+
+    moves = exchanges(plan)
+    assert len(moves) == 2 and "rangepartitioning" in moves[0] and "hashpartitioning" in moves[1], moves
+
+
 def test_mix_orders_by_position_and_keeps_columns(spark):
     names = [f"'{i}' as {c}" for i, c in enumerate(["_mix", "_pass", "_mix_source", "_mix_size", "position", "passes", "mix", "id", "words", "`in`", "part", "bucket", "`a.b`"])]
     frame = docs(spark, ["a b c", "d e", "f", "g h i j"], ["a", "a", "b", "b"]).selectExpr("*", *names)
