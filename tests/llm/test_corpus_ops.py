@@ -7,6 +7,7 @@ import math
 import random
 import zlib
 from collections import defaultdict
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -50,6 +51,35 @@ def test_bpe_equals_library(spark, library):
         assert short[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def test_bpe_shared_queue_equals_single_merges(monkeypatch):
+    """Pre-tokens merged together against a search for the lowest pair in each alone; later tokens may have lower ranks here."""
+    rng = random.Random(8)
+    words = sorted({bytes(rng.choice(b"abc") for _ in range(rng.choice([2, 2, 3, 4]))) for _ in range(60)})
+    ranks = {token: rank for rank, token in enumerate(rng.sample([b"a", b"b", b"c", *words], 3 + len(words)))}
+
+    def alone(piece):
+        spans = [piece] if piece in ranks else [bytes([b]) for b in piece]
+        while found := [(ranks[x + y], k) for k, (x, y) in enumerate(zip(spans, spans[1:], strict=False)) if x + y in ranks]:
+            k = min(found)[1]
+            spans[k : k + 2] = [spans[k] + spans[k + 1]]
+        return [ranks[x] for x in spans]
+
+    monkeypatch.setattr(bpe, "MEMORY", 50)
+    monkeypatch.setattr(bpe, "SHARED", 400)
+    coder, joins = bpe.Encoder(ranks, "[a-z]+"), []
+    merge = coder.merge
+    monkeypatch.setattr(coder, "merge", lambda pieces: (joins.append(len(pieces)), merge(pieces))[1])
+    texts = [None, "", " ", *(" ".join("".join(rng.choice("abc") for _ in range(rng.choice([1, 5, 9, 9, 120]))) for _ in range(12)) for _ in range(60))]
+    for part in (texts, texts[30:], texts[:3]):
+        ids, bounds = coder.encode(part)
+        assert [ids[a:b].tolist() for a, b in pairwise(bounds.tolist())] == [[x for w in (t or "").split() for x in alone(w.encode())] for t in part]
+        assert [bytes(x).decode() for x in bpe._spelled(coder.tokens, ids, bounds)] == ["".join((t or "").split()) for t in part]
+    assert len(joins) < sum(joins) / 5 and not coder.queue.mid[0] and not any(coder.queue.buckets)
+    assert not any(len(piece) > bpe.MEMORY_LENGTH for piece in coder.memory)
+    with pytest.raises(ValueError, match="no rank"):
+        bpe.Encoder({b"a": 0}, "[a-z]+").encode(["ax"])
+
+
 def test_bpe_empty_table(spark):
     assert bpe.digests(docs(spark, []), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
