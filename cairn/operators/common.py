@@ -81,20 +81,47 @@ def without(df: DataFrame, tombstones: DataFrame, key: str) -> DataFrame:
     return df.join(tombstones.select(key), key, "left_anti")
 
 
+PAIR_ROWS, PAIR_DST = 4096, 1024  # about so many rows of the left and of the right in a block: pairs are met as two blocks, and written as them
+PAIR_TILES = 32  # about so many blocks of the right with the same keys are held at a time
+
+
 def pairs_once(left: DataFrame, right: DataFrame, keys: Sequence[str], dst: str = "dst") -> DataFrame:
     """left's columns and dst of rows that share the keys, each (left's other columns, dst) once. left: keys, others; right: keys, dst.
 
-    Where a dst has one key only, pairs of distinct rows are distinct already, so they are written as the join
-    finds them; only the pairs of a dst with several keys are compared with each other.
+    Where a dst has one key only, pairs of distinct rows are distinct already, so they are written as they are
+    met; only the pairs of a dst with several keys are compared with each other.
     """
     left, right = left.distinct(), right.distinct()
     others = [c for c in left.columns if c not in keys]
     many = right.where(F.col(dst).isNotNull()).groupBy(dst).agg(F.count("*").alias("_keys")).where("_keys > 1").select(dst)
-    plain = left.join(right.join(many, dst, "left_anti").where(F.col(dst).isNotNull()), list(keys)).select(*others, dst)
+    plain = _pairs(left, right.join(many, dst, "left_anti").where(F.col(dst).isNotNull()), keys, others, dst)
     several = left.join(right.join(many, dst, "left_semi").unionByName(right.where(F.col(dst).isNull())), list(keys)).select(*others, dst).distinct()
     return plain.unionByName(several)
 
 
+def _pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], others: Sequence[str], dst: str) -> DataFrame:
+    """others, dst of distinct rows that share the keys, block against block.
+
+    What is shuffled and sorted is pairs of blocks, dealt by ranges of keys and blocks, so that a key is no
+    task's alone. A block's pairs come together: a row of the left with all dst, then the next with the same,
+    which a columnar file keeps as runs and repeats.
+    """
+
+    def blocks(rows: DataFrame, each: Column, size: int, name: str) -> DataFrame:
+        counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+        dealt = rows.join(counts, list(keys)).withColumn(name, F.pmod(F.xxhash64(each), F.ceil(F.col("_n") / size)))
+        return dealt.groupBy(*keys, name).agg(F.collect_list(each).alias(f"{name}s"), F.first("_n").alias("_n"))
+
+    groups = F.ceil(F.col("_n") / (PAIR_DST * PAIR_TILES)).cast("int")
+    tiles = blocks(right, F.col(dst), PAIR_DST, "_dst").withColumn("_group", F.pmod("_dst", groups)).drop("_n")
+    held = right.groupBy(*keys).agg(F.count("*").alias("_n")).select(*keys, F.explode(F.sequence(F.lit(0), groups - 1)).alias("_group"))
+    rows = blocks(left, F.struct(*others), PAIR_ROWS, "_row").drop("_n").join(held, list(keys))
+    met = rows.join(tiles, [*keys, "_group"])
+    order, parts = [*keys, "_dst", "_row"], int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = met.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return dealt.select(F.inline("_rows"), "_dsts").select(*others, F.explode("_dsts").alias(dst))
+
+
 def likely(rows: DataFrame, chosen: DataFrame, named: Sequence[str]) -> DataFrame:
     """Rows whose names may be among the chosen, by 2^24 bits (a broadcast of fixed size); so the other texts are not shuffled."""
     slot = F.xxhash64(*[part for c in named for part in (F.col(c).isNull(), F.col(c))]).bitwiseAND(F.lit((1 << 24) - 1))
