@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.common import cut, pairs_once, without
-from cairn.operators.graph_survey import survey
+from cairn.operators.graph_survey import survey, survey_links
 
 CALLS = ("static_calls", "observed_calls")
 
@@ -63,9 +63,11 @@ def reachable(edges: DataFrame, sources: DataFrame, max_depth: int | None = None
     return _union(parts)
 
 
-def blast_radius(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """node, blast_radius: how many other nodes each source reaches."""
-    found = survey(edges, reach=True).select("node", F.col("reach").alias("blast_radius"))
+def blast_radius(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """node, blast_radius: how many other nodes each source reaches; without sources, each node that an edge leaves."""
+    held = cut(edges.select("src", "dst").where("src IS NOT NULL").distinct(), "blast-links")
+    found = survey_links(held.where("dst IS NOT NULL"), reach=True).select("node", F.col("reach").alias("blast_radius"))
+    sources = held.select(F.col("src").alias("node")) if sources is None else sources
     return sources.select("node").where("node IS NOT NULL").distinct().join(found, "node", "left").select("node", F.coalesce("blast_radius", F.lit(0)).alias("blast_radius"))
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from cairn.operators import graph as G
-from cairn.operators.common import shared_dir
+from cairn.operators.common import cut, shared_dir
 from cairn.plans.catalog import query
 from cairn.sources import linked
 
@@ -172,8 +172,7 @@ def method_blocks(documents):
 
 @query("sys_05_blast_radius", "edge", f"WITH RECURSIVE l AS (SELECT DISTINCT src_node_id AS s, dst_node_id AS d FROM edge WHERE kind IN {CALLS}), r AS (SELECT s, d FROM l UNION SELECT r.s, l.d FROM r JOIN l ON l.s = r.d) SELECT s AS node, count(*) FILTER (WHERE d <> s) AS blast_radius FROM r GROUP BY 1")
 def blast(edges):
-    links = _links(edges)
-    return G.blast_radius(links, links.select(F.col("src").alias("node")).distinct())
+    return G.blast_radius(_links(edges))
 
 
 LINKED_SQL = "WITH RECURSIVE l AS (SELECT DISTINCT src_node_id AS s, dst_node_id AS d FROM edge WHERE {0}), r AS (SELECT s, d FROM l UNION SELECT r.s, l.d FROM r JOIN l ON l.s = r.d) SELECT s AS node, count(*) FILTER (WHERE d <> s) AS blast_radius, {1} AS degraded_reason FROM r GROUP BY 1"
@@ -184,9 +183,10 @@ def _linked(edges, exported: bool):
     path = f"{shared_dir(edges.sparkSession)}/linked-{uuid.uuid4().hex}"
     named = edges.select(F.col("from_sha").alias("sha"), F.lit("r").alias("repo_id"), F.col("src_node_id").alias("src"), F.col("dst_node_id").alias("dst"), "kind")
     if exported:
+        named = cut(named, "linked-edges")
         linked.export(named.where("kind <> 'static_calls'"), path, 500)
     links, reason = linked.with_linked(named.where("kind = 'static_calls'"), path, ["observed_calls"])
-    found = G.blast_radius(links, links.select(F.col("src").alias("node")).distinct())
+    found = G.blast_radius(links)
     return found.select("node", "blast_radius", F.lit(reason).cast("string").alias("degraded_reason"))
 
 

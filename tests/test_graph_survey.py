@@ -45,6 +45,29 @@ def test_survey(spark, seed, most):
     assert got == brute(edges)
 
 
+@pytest.mark.parametrize("seed,most,sample", [(6, 30, 4_000_000), (7, 6, 60)])
+def test_survey_by_cores(spark, monkeypatch, seed, most, sample):
+    """Strong components become one node each, found whole or from a sample; the rest is one task's, or goes by levels with their sizes."""
+    rng = random.Random(seed)
+    edges = {(f"{g}{rng.randrange(20):02d}", f"{g}{rng.randrange(20):02d}") for g in "abc" for _ in range(60)}
+    edges |= {("a01", "u"), ("u", "v"), ("v", "b03"), ("z", "a07"), ("z", "zz"), ("zz", "z"), ("c01", "w"), ("w", "w"), ("0", "b01"), ("b02", "0")}
+    cuts, real = [], S.cut
+    monkeypatch.setattr(S, "cut", lambda df, name: cuts.append(name) or real(df, name))
+    monkeypatch.setattr(S, "CORE_NODES", 3, raising=False)
+    monkeypatch.setattr(S, "SAMPLE_EDGES", sample, raising=False)
+    df = spark.createDataFrame(sorted(edges), "src string, dst string")
+    got = [(r.node, r.root, r.size, r.depth, r.reach) for r in S.survey(df, True, most).collect()]
+    assert set(got) == brute(sorted(edges)) and len(got) == len(set(got))
+    assert "survey-names" in cuts and (most > 6 or "survey-reach" in cuts)
+
+
+def test_sources_whose_edges_have_no_end(spark):
+    from cairn.operators import graph as G
+
+    df = spark.createDataFrame([("a", "b"), ("c", None), (None, "a"), ("b", "b")], "src string, dst string")
+    assert {tuple(r) for r in G.blast_radius(df).collect()} == {("a", 1), ("b", 0), ("c", 0)}
+
+
 def test_blocks_of_bitmaps_and_no_edges(spark, monkeypatch):
     edges = graph(5)
     monkeypatch.setattr(S, "BITMAP_WORDS", 1)
